@@ -26,6 +26,9 @@ from marlstone.llm.text import BLANKS, let, words
 #: A window of words that counts as repeated when it is found twice in a text.
 WINDOW = 5
 
+#: A word of letters, with an apostrophe or hyphen inside and one mark at its end at most.
+PLAIN = "(?<![^\\s])\\p{L}++(?:['-]\\p{L}++)*+[.,;:!?]?(?![^\\s])"
+
 
 def _repeated(ws: Column) -> Column:
     """Words inside windows that are found twice or more."""
@@ -59,6 +62,7 @@ def counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
             F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
             _repeated(ws).alias("n_repeat_words"),
             F.size(F.filter(ws, lambda w, i: w == F.get(ws, i + 1))).cast("long").alias("n_stutters"),
+            F.size(F.array_distinct(ws)).cast("long").alias("n_distinct"),
         )
 
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
@@ -68,76 +72,74 @@ def counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         line_counts.alias("l"),
         F.regexp_count("body", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("body", F.lit("\\p{Lu}{3,}")).cast("long").alias("n_shouts"),
-        F.regexp_count("body", F.lit("[!?]{2,}")).cast("long").alias("n_bangs"),
+        F.regexp_count("body", F.lit(PLAIN)).cast("long").alias("n_plain"),
     )
-    return out.select("doc_id", "w.*", "l.*", "n_symbols", "n_shouts", "n_bangs")
+    return out.select("doc_id", "w.*", "l.*", "n_symbols", "n_shouts", "n_plain")
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    vote = F.when(bad, -1)
+    return (vote if good is None else vote.when(good, 1)).otherwise(0)
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote over the columns of counts()."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    share = lambda c, of=n: F.col(c) / of
-    mean = F.col("word_chars") / n
-    lines = F.greatest(F.col("n_lines"), F.lit(1))
+    """Each rule's vote over the columns of counts(). Most rules only know what is bad; two also know what is good."""
+    share = lambda c, of: F.col(c) / F.greatest(F.col(of), F.lit(1))
+    plain, distinct, mean = (share(c, "n_words") for c in ("n_plain", "n_distinct", "word_chars"))
     return {
-        "symbols": _vote(share("n_symbols") > 0.2, share("n_symbols") < 0.02),
-        "lines": _vote(share("n_dup_lines", lines) > 0.3, (F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1)),
-        "windows": _vote(share("n_repeat_words") > 0.2, share("n_repeat_words") < 0.02),
-        "stutters": _vote(share("n_stutters") > 0.2, share("n_stutters") < 0.05),
-        "shouts": _vote(share("n_shouts") > 0.3, share("n_shouts") < 0.05),
-        "bangs": _vote(share("n_bangs") > 0.2, share("n_bangs") < 0.02),
-        "lengths": _vote((mean < 2) | (mean > 15), (mean >= 3) & (mean <= 10)),
-        "size": _vote(F.col("n_words") < 10, F.col("n_words") >= 50),
+        "plain": _vote(plain < 0.6, plain > 0.9),
+        "variety": _vote(distinct < 0.2, distinct > 0.3),
+        "symbols": _vote(share("n_symbols", "n_words") > 0.2),
+        "lines": _vote(share("n_dup_lines", "n_lines") > 0.5),
+        "windows": _vote(share("n_repeat_words", "n_words") > 0.2),
+        "stutters": _vote(share("n_stutters", "n_words") > 0.2),
+        "shouts": _vote(share("n_shouts", "n_words") > 0.3),
+        "lengths": _vote((F.col("n_words") > 0) & ((mean < 2) | (mean > 20))),
     }
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.8, weight: float = 20.0) -> dict:
     """Expectation-maximisation over counts of vote patterns.
 
-    Returns good (share of good documents) and, by rule, the chance that its
-    vote is bad, given that it votes, on bad and on good documents. An
-    abstention tells nothing. A bad document breaks few rules, so a good vote
-    is weak evidence at the start and a bad one strong. weight is the number of
-    made-up documents per rule and class that vote as expected; it keeps the
-    two classes from trading names and every chance off 0 and 1.
+    Returns good (share of good documents) and, by rule, the chances of the
+    votes -1, 0 and 1 on bad and on good documents. At the start a bad vote is
+    strong evidence and any other vote weak, for a bad document breaks few
+    rules. weight is the number of made-up documents per rule and class that
+    vote as expected; it keeps the classes from trading names and all chances
+    above 0.
     """
     n_rules = len(patterns[0][0]) if patterns else 0
-    expected = (0.3, 0.003)
-    chance = [list(expected) for _ in range(n_rules)]
+    expected = ((0.3, 0.35, 0.35), (0.003, 0.4985, 0.4985))
+    chance = [[list(row) for row in expected] for _ in range(n_rules)]
     good = prior
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
-        bad_votes = [[weight * p for p in expected] for _ in range(n_rules)]
-        all_votes = [[weight, weight] for _ in range(n_rules)]
+        seen = [[[weight * p for p in row] for row in expected] for _ in range(n_rules)]
         good_n = weight * prior
         for votes, n in patterns:
             p = n * posterior(votes, good, chance)
             good_n += p
             for j, v in enumerate(votes):
-                for label, part in enumerate((n - p, p)) if v else ():
-                    all_votes[j][label] += part
-                    bad_votes[j][label] += part * (v < 0)
+                seen[j][0][v + 1] += n - p
+                seen[j][1][v + 1] += p
         before, good = good, good_n / (total + weight)
-        chance = [[b / a for b, a in zip(*both, strict=True)] for both in zip(bad_votes, all_votes, strict=True)]
+        chance = [[[x / sum(row) for x in row] for row in rule] for rule in seen]
         if abs(before - good) < 1e-9:
             break
     return {"good": good, "chance": chance}
 
 
-def gains(chance: list[float]) -> tuple[float, float]:
-    """What a bad and a good vote of a rule add to the log odds of being good."""
-    bad, good = chance
-    return math.log(good) - math.log(bad), math.log1p(-good) - math.log1p(-bad)
+def logit(p: float) -> float:
+    return math.log(p) - math.log1p(-p)
+
+
+def gains(chance: list[list[float]]) -> list[float]:
+    """What the votes -1, 0 and 1 of a rule add to the log odds of being good."""
+    return [math.log(g) - math.log(b) for b, g in zip(*chance, strict=True)]
 
 
-def posterior(votes: tuple[int, ...], good: float, chance: list[list[float]]) -> float:
-    odds = math.log(good) - math.log1p(-good)
-    for v, c in zip(votes, chance, strict=True):
-        odds += gains(c)[v > 0] if v else 0.0
+def posterior(votes: tuple[int, ...], good: float, chance: list) -> float:
+    odds = logit(good) + sum(gains(c)[v + 1] for v, c in zip(votes, chance, strict=True))
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
@@ -148,10 +150,10 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float
     cols = [f"vote_{k}" for k in named]
     found = voted.groupBy(*cols).count().collect()  # at most 3^rules rows
     model = estimate([(tuple(r[c] for c in cols), r["count"]) for r in sorted(found, key=lambda r: tuple(r[:-1]))])
-    odds = F.lit(math.log(model["good"]) - math.log1p(-model["good"]))
-    for c, chance in zip(cols, model["chance"] or [[0.5, 0.5]] * len(cols), strict=True):
-        bad, good = gains(chance)
-        odds = odds + F.when(F.col(c) < 0, bad).when(F.col(c) > 0, good).otherwise(0.0)
+    odds = F.lit(logit(model["good"]))
+    for c, chance in zip(cols, model["chance"], strict=False):  # no chances of an empty table
+        bad, none, good = gains(chance)
+        odds = odds + F.when(F.col(c) < 0, bad).when(F.col(c) > 0, good).otherwise(none)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = voted.withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= least))
