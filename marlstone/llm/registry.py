@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import quality
+from marlstone.llm import packing, quality
 from marlstone.llm.exact_dedup import ExactDedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.score(_read(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
+
+
+@_query()
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = packing.pack(_read(spark, sf_dir, "documents"))
+    return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
