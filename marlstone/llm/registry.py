@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import chat, packing, quality
 from marlstone.llm.exact_dedup import ExactDedup
+from marlstone.llm.store import for_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +26,7 @@ def _query(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return for_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @_query(

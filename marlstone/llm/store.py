@@ -20,6 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def for_texts(spark: SparkSession) -> SparkSession:
+    """The session, set to move rows with long texts in small batches: 4096 texts of 100 KB would fill an executor."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return spark
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared folder and read again. Files go when the driver's Python ends."""
     spark = df.sparkSession
