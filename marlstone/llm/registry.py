@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import chat, packing, quality
 from marlstone.llm.exact_dedup import ExactDedup
+from marlstone.llm.minhash import NearDedup
 from marlstone.llm.store import for_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("p_good", 6).alias("p_good"))
 
 
+@_query()
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = NearDedup(size=2).decide(_read(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 @_query(
     r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
