@@ -11,6 +11,7 @@ from marlstone.llm import chat, packing, quality
 from marlstone.llm.exact_dedup import ExactDedup
 from marlstone.llm.minhash import NearDedup
 from marlstone.llm.store import for_texts
+from marlstone.llm.substrings import SubstringDedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +41,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@_query()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = SubstringDedup().remove(_read(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @_query()
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.score(_read(spark, sf_dir, "documents"))
