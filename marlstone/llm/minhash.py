@@ -4,17 +4,17 @@
    one class (a 128-bit digest of the sorted set); only classes go on, so a
    group of copies costs one row.
 2. 24 bands of 4 minima each name a bucket. In every bucket, each class meets
-   one centre, drawn anew per bucket: pairs grow with the rows, not with their
-   square.
+   three centres (the least by three hashes of the class, so that one family
+   mostly has the same ones): pairs grow with the rows, not with their square.
 3. The low 2 bits of the minima, packed into three longs, estimate each pair's
    similarity from the number of equal lanes, corrected for chance (a quarter
    of unequal minima agree). Pairs below the threshold by over six standard
    errors go.
-4. What is left is confirmed on the full sets of both texts.
-5. Where a bucket still holds several components, the classes outside its most
-   frequent one meet all others of the bucket, estimated within the join and
-   confirmed as before: the exact rest, so that no link of a bucket is lost to
-   the choice of centres.
+4. What is left is confirmed on the full sets of both texts; components follow.
+5. The exact rest: where the classes around one centre still fall into several
+   components, those outside the most frequent one are a query set that is held
+   against all of them on full sets, in blocks of bounded size. It reports one
+   link per query and component, so no family is written out as pairs.
 6. Components by alternating stars.
 
 Two sets at 0.8 share no band with a chance of 3e-6. Null, empty and blank texts
@@ -41,6 +41,11 @@ BANDS, ROWS, BITS = 24, 4, 2
 HASHES = BANDS * ROWS
 #: Six standard errors of the estimate at 0.8.
 SLACK = 0.3
+#: Classes of at least this estimate to a centre are its family: a linked pair, one of it at 0.4 or more, is in it whole.
+FAMILY = 0.2
+CENTRES = 3
+#: Sets of one block of queries, and rows that a cell streams past them.
+BLOCK_QUERIES, BLOCK_ROWS = 256, 4096
 _LANES = 64 // BITS
 _LONGS = HASHES // _LANES
 _draw = np.random.Generator(np.random.PCG64(77))
@@ -131,9 +136,7 @@ class NearDedup:
         """pairs: u, v. Those whose full sets are similar enough."""
         size, percent = self.size, self.percent
         pairs = written(pairs)
-        needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "body", F.struct("id").alias("who"))
-        rows = docs.select(F.struct(F.col(self.key).alias("id")).alias("who"), F.xxhash64(self.text).alias("body"), F.col(self.text).alias("text"))
-        texts = written(needed.join(rows, ["who", "body"]).select("node", "text").dropDuplicates(["node"]))
+        texts = self._texts(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs)
         left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
         right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
         met = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
@@ -170,33 +173,83 @@ class NearDedup:
         nodes = written(nodes.join(first.groupBy("node").agg(F.min("body").alias("body")), "node"))
         # rows of one id and class have one list of bands
         members = written(first.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")))
-        centre = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("h"), "node")).alias("c"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("c.node").alias("v"))
-        pairs = members.join(centre, "bucket").where("node <> v").select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
+        by = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")).alias(f"c{k}") for k in range(CENTRES)]
+        centre = members.groupBy("bucket").agg(*by, F.count("*").alias("n")).where("n > 1")
+        centre = centre.select("bucket", F.col("c0.node").alias("home"), F.array_distinct(F.array(*(F.col(f"c{k}.node") for k in range(CENTRES)))).alias("centres"))
+        star = members.join(centre, "bucket").select("node", F.explode("centres").alias("centre"), "home").where("node <> centre")
+        pairs = star.groupBy("node", "centre").agg(F.max(F.col("home") == F.col("centre")).alias("home"))
         signed = nodes.select("node", *longs)
-        for side in "uv":
-            pairs = pairs.join(signed.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c[1:]}") for c in longs)), side)
-        near = pairs.where(estimated("u_", "v_") >= self.percent / 100 - SLACK).select("u", "v")
-        edges = self._confirm(near, nodes, docs)
-        parts = components(edges)
-        rest = self._rest(members, nodes, parts, near)
-        if rest is not None:
-            parts = components(parts.unionByName(self._confirm(rest, nodes, docs)))
+        for side, name in (("a", "node"), ("b", "centre")):
+            pairs = pairs.join(signed.select(F.col("node").alias(name), *(F.col(c).alias(f"{side}_{c[1:]}") for c in longs)), name)
+        met = written(pairs.withColumn("near", estimated("a_", "b_")).where(F.col("near") >= FAMILY).select("node", "centre", "home", "near"))
+        close = met.where(F.col("near") >= self.percent / 100 - SLACK).select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+        parts = components(self._confirm(close, nodes, docs))
+        around = met.where("home").select("node", "centre")
+        around = around.unionByName(around.select(F.col("centre").alias("node"), "centre").distinct())
+        rest = self._rest(around, nodes, parts, docs)
+        if rest.limit(1).count():
+            parts = components(parts.unionByName(rest))
         return sketches, nodes, parts
 
-    def _rest(self, members: DataFrame, nodes: DataFrame, parts: DataFrame, tried: DataFrame) -> DataFrame | None:
-        """Pairs of one bucket, of two components, that are similar by estimate and were not tried."""
-        longs = [f"s{k}" for k in range(_LONGS)]
-        part = nodes.select("node", *longs).join(parts.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        sizes = members.join(part.select("node", "part"), "node").groupBy("bucket", "part").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("top.n < n AND n > 2").select("bucket", F.col("top.part").alias("top"))
-        rows = written(members.join(mixed, "bucket").join(part, "node"))
-        few = rows.where("part <> top").select("bucket", F.col("node").alias("u"), F.col("part").alias("part_u"), *(F.col(c).alias(f"u_{c[1:]}") for c in longs))
-        all_ = rows.select("bucket", F.col("node").alias("v"), F.col("part").alias("part_v"), *(F.col(c).alias(f"v_{c[1:]}") for c in longs))
-        close = estimated("u_", "v_") >= self.percent / 100 - SLACK
-        met = few.join(all_, (few["bucket"] == all_["bucket"]) & (F.col("part_u") != F.col("part_v")) & close)
-        met = met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        met = written(met.join(tried, ["u", "v"], "left_anti"))
-        return met if met.limit(1).count() else None
+    def _texts(self, wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+        """wanted: node. One row (node, text) each."""
+        needed = wanted.join(nodes, "node").select("node", "body", F.struct("id").alias("who"))
+        rows = docs.select(F.struct(F.col(self.key).alias("id")).alias("who"), F.xxhash64(self.text).alias("body"), F.col(self.text).alias("text"))
+        return written(needed.join(rows, ["who", "body"]).select("node", "text").dropDuplicates(["node"]))
+
+    def _rest(self, around: DataFrame, nodes: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
+        """around: node, centre. Links (u, v) between components of the nodes around one centre."""
+        size, percent = self.size, self.percent
+        part = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
+        rows = written(around.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        sizes = rows.groupBy("centre", "part").agg(F.count("*").alias("n"))
+        mixed = sizes.groupBy("centre").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+        mixed = mixed.select("centre", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("queries"), "n")
+        rows = written(rows.join(mixed, "centre").select("node", "centre", "part", (F.col("part") != F.col("top")).alias("query"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("blocks")))
+        texts = self._texts(rows.select("node").distinct(), nodes, docs)
+        spread = F.xxhash64("node", "centre")
+        # a query stands in its block under every salt; a row under its salt in every block
+        each = lambda n, own: F.array(F.pmod(spread, F.col(n)).cast("int")) if own else F.sequence(F.lit(0), F.col(n) - 1)
+        cell = lambda own: (F.explode(each("blocks", own)).alias("block"), each("salts", not own).alias("salts"))
+        asked = rows.where("query").select("node", "centre", "part", F.lit(0).alias("role"), *cell(True))
+        told = rows.select("node", "centre", "part", F.lit(1).alias("role"), *cell(False))
+        cells = asked.unionByName(told).select("node", "centre", "part", "role", "block", F.explode("salts").alias("salt")).join(texts, "node")
+        dealt = cells.repartition("centre", "block", "salt").sortWithinPartitions("centre", "block", "salt", "role", "node")
+
+        def run(batches):
+            own, queries, index, seen = None, [], None, set()
+            for batch in batches:
+                out = []
+                found = _sets(batch.column("text").to_pylist(), size)
+                for values, node, centre, p, role, block, salt in zip(found, *(batch.column(c).to_pylist() for c in ("node", "centre", "part", "role", "block", "salt")), strict=True):
+                    if (centre, block, salt) != own:
+                        own, queries, index, seen = (centre, block, salt), [], None, set()
+                    if role == 0:
+                        queries.append((node, p, values))
+                        continue
+                    if index is None and queries:
+                        owner = np.repeat(np.arange(len(queries)), [len(q[2]) for q in queries])
+                        flat = np.concatenate([q[2] for q in queries])
+                        order = np.argsort(flat, kind="stable")
+                        index = flat[order], owner[order], np.array([len(q[2]) for q in queries]), np.array([q[1] for q in queries])
+                    if index is None:
+                        continue
+                    low, high = np.searchsorted(index[0], values, "left"), np.searchsorted(index[0], values, "right")
+                    n = high - low
+                    total = int(n.sum())
+                    if not total:
+                        continue
+                    at = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                    both = np.bincount(index[1][at], minlength=len(queries))
+                    linked = (both > 0) & (100 * both >= percent * (len(values) + index[2] - both)) & (index[3] != p)
+                    for k in np.flatnonzero(linked):
+                        if (k, p) not in seen:
+                            seen.add((k, p))
+                            out.append((max(node, queries[k][0]), min(node, queries[k][0])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+        return written(dealt.select("node", "centre", "part", "role", "block", "salt", "text").mapInArrow(run, "u bigint, v bigint"))
 
     def decide(self, docs: DataFrame) -> DataFrame:
         """One row per row: id, n_shingles, component_id, kept."""
