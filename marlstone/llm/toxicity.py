@@ -221,3 +221,14 @@ class Toxicity:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([j[0] for j in judged], pa.float64()), pa.array(shown, shape)], names=["id", "score", "evidence"])
 
         return rows.mapInArrow(run, f"id {kind}, score double, evidence array<struct<example:string,cosine:double>>")
+
+    def keep(self, docs: DataFrame, least: float = 0.7) -> DataFrame:
+        """The rows whose score is below least, with the columns of docs; nothing is shuffled."""
+        model, place = self, docs.columns.index(self.text)
+
+        def run(batches):
+            words = Vocabulary(model.chosen)
+            for batch in batches:
+                yield batch.filter(pa.array([model.judge(words.count(text))[0] < least for text in batch.column(place).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
