@@ -2,7 +2,8 @@
 
 Terms are words and the first letters of words (for languages that compound).
 From a bounded sample of labelled rows (``examples``, the ones of least id hash)
-the terms that mark label 1 are chosen by the z-score of their log odds; their
+the terms that mark label 1 are chosen by the z-score of their log odds, where at least half of the
+examples that have one are of label 1; their
 document frequencies are counted over all documents. Examples and documents
 become TF-IDF vectors over these terms, of length 1.
 
@@ -10,7 +11,8 @@ The examples lie in an inverted index in blocks. For every term the index keeps
 its greatest weight in each block, so that a query bounds what a block can hold,
 visits blocks by falling bound and stops when no block can better the k-th
 example found: the k nearest by exact cosine, ties by place in the index.
-Their votes count by nearness, drawn a little towards the share of label 1. A
+Their votes count by nearness (little at a low cosine), drawn a little towards
+the share of label 1. A
 text without terms gets the label's share among examples without terms.
 
 Scores come from texts alone. Null and blank texts have no terms. Labels that
@@ -70,6 +72,21 @@ class Vocabulary:
         return out
 
 
+def remembered(judge, most: int = 50_000):
+    """judge, which gives the same for the same counts, without doing so twice in a row of few kinds."""
+    known: dict = {}
+
+    def run(counts: dict[int, int]):
+        kind = tuple(sorted(counts.items()))
+        if kind not in known:
+            if len(known) >= most:
+                known.clear()
+            known[kind] = judge(counts)
+        return known[kind]
+
+    return run
+
+
 class BlockMaxIndex:
     """The nearest of a set of sparse vectors of length 1 by exact cosine."""
 
@@ -80,40 +97,45 @@ class BlockMaxIndex:
         self.terms = np.array([c[0] for c in cells], dtype=np.int64)
         self.rows = np.array([c[1] for c in cells], dtype=np.int64)
         self.weights = np.array([c[2] for c in cells])
-        #: Where each term's postings of each block begin.
-        self.begins = np.searchsorted(self.terms * self.n_blocks + self.rows // block, np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
+        #: Where each term's postings begin; each posting's block; each term's greatest weight in each block.
+        self.begins = np.searchsorted(self.terms, np.arange(n_terms + 1)).tolist()
+        self.blocks = self.rows // block
         self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most, (self.terms, self.rows // block), self.weights)
+        np.maximum.at(self.most, (self.terms, self.blocks), self.weights)
+
+    def _cosines(self, query: dict[int, float], alive: np.ndarray) -> np.ndarray:
+        """Cosines of the rows of the blocks that are alive; 0 for others."""
+        at = [slice(self.begins[t], self.begins[t + 1]) for t in query]
+        blocks, rows = np.concatenate([self.blocks[s] for s in at]), np.concatenate([self.rows[s] for s in at])
+        weights = np.concatenate([self.weights[s] * w for s, w in zip(at, query.values(), strict=True)])
+        keep = alive[blocks]
+        return np.bincount(rows[keep], weights[keep], minlength=self.n)
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a cosine above 0, nearest first."""
-        t, w = np.fromiter(query.keys(), dtype=np.int64), np.fromiter(query.values(), dtype=float)
-        bound = w @ self.most[t]
-        found, scores, least = np.empty(0, dtype=np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            cosine = np.zeros(self.block)
-            for term, weight in zip(t, w, strict=True):
-                at = slice(*self.begins[term * self.n_blocks + b : term * self.n_blocks + b + 2])
-                cosine[self.rows[at] - b * self.block] += weight * self.weights[at]
-            hit = np.flatnonzero(cosine > 0)
-            found, scores = np.concatenate((found, hit + b * self.block)), np.concatenate((scores, cosine[hit]))
-            if len(found) > k:
-                best = np.lexsort((found, -np.round(scores, 12)))[:k]
-                found, scores = found[best], scores[best]
-            if len(found) == k:
-                least = scores.min()
-        best = np.lexsort((found, -np.round(scores, 12)))
-        return found[best], scores[best]
+        """Places and cosines of the k nearest with a cosine above 0, nearest first.
+
+        The blocks of greatest bound give k rows to beat; then only blocks are
+        looked at whose bound reaches the k-th of these.
+        """
+        bound = np.array(list(query.values())) @ self.most[list(query)]
+        first = np.zeros(self.n_blocks, dtype=bool)
+        first[np.argsort(-bound, kind="stable")[: 1 + -(-k // self.block)]] = True
+        cosine = self._cosines(query, first)
+        least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
+        alive = (bound > 0) & (bound >= least - 1e-9)
+        if (alive & ~first).any():
+            cosine = self._cosines(query, alive | first)
+        hit = np.flatnonzero(cosine > max(0.0, (np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0) - 1e-9))
+        best = hit[np.lexsort((hit, -np.round(cosine[hit], 12)))[:k]]
+        return best, cosine[best]
 
 
 class Toxicity:
     """fit() learns from labelled rows; score() gives every row a score and its evidence."""
 
-    def __init__(self, text: str = "text", key: str = "doc_id", label: str = "toxic", examples: int = 10_000, most_terms: int = 2048, z: float = 3.0, k: int = 16, pull: float = 0.5):
+    def __init__(self, text: str = "text", key: str = "doc_id", label: str = "toxic", examples: int = 10_000, most_terms: int = 2048, z: float = 3.0, sure: float = 0.5, k: int = 16, pull: float = 0.5):
         self.text, self.key, self.label = text, key, label
-        self.examples, self.most_terms, self.z, self.k, self.pull = examples, most_terms, z, k, pull
+        self.examples, self.most_terms, self.z, self.sure, self.k, self.pull = examples, most_terms, z, sure, k, pull
 
     def _rows(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.key).alias("id"), F.col(self.text).alias("text"))
@@ -152,7 +174,7 @@ class Toxicity:
             return []
         odds = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
         z = (odds("yes", self.yes) - odds("no", self.no)) / F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
-        best = counts.where("term IS NOT NULL").select("term", z.alias("z")).where(F.col("z") >= self.z).orderBy(F.desc("z"), "term").limit(self.most_terms)
+        best = counts.where(F.col("term").isNotNull() & (F.col("yes") >= self.sure * (F.col("yes") + F.col("no")))).select("term", z.alias("z")).where(F.col("z") >= self.z).orderBy(F.desc("z"), "term").limit(self.most_terms)
         return sorted(r["term"] for r in best.collect())
 
     def _index(self, rows: DataFrame) -> None:
@@ -202,7 +224,7 @@ class Toxicity:
         if not counts or not self.ids:
             return self.blank_score, [], []
         near, cosine = self.index.nearest(self.vector(counts), self.k)
-        weight = 1 / (0.05 + np.maximum(0.0, 1 - cosine))
+        weight = cosine**2 / (0.05 + np.maximum(0.0, 1 - cosine))
         votes = np.array([self.votes[k] for k in near])
         return float((weight @ votes + self.pull * self.share) / (weight.sum() + self.pull)), near.tolist(), cosine.tolist()
 
@@ -213,10 +235,10 @@ class Toxicity:
         model = self
 
         def run(batches):
-            words = Vocabulary(model.chosen)
+            words, judge = Vocabulary(model.chosen), remembered(model.judge)
             shape = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64())]))
             for batch in batches:
-                judged = [model.judge(words.count(text)) for text in batch.column("text").to_pylist()]
+                judged = [judge(words.count(text)) for text in batch.column("text").to_pylist()]
                 shown = [[{"example": str(model.ids[k]), "cosine": c} for k, c in zip(near[:evidence], cosine[:evidence], strict=True)] for _, near, cosine in judged]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([j[0] for j in judged], pa.float64()), pa.array(shown, shape)], names=["id", "score", "evidence"])
 
@@ -227,8 +249,8 @@ class Toxicity:
         model, place = self, docs.columns.index(self.text)
 
         def run(batches):
-            words = Vocabulary(model.chosen)
+            words, judge = Vocabulary(model.chosen), remembered(model.judge)
             for batch in batches:
-                yield batch.filter(pa.array([model.judge(words.count(text))[0] < least for text in batch.column(place).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([judge(words.count(text))[0] < least for text in batch.column(place).to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
