@@ -45,7 +45,7 @@ SLACK = 0.3
 FAMILY = 0.2
 CENTRES = 3
 #: Sets of one block of queries, and rows that a cell streams past them.
-BLOCK_QUERIES, BLOCK_ROWS = 256, 4096
+BLOCK_QUERIES, BLOCK_ROWS = 256, 512
 _LANES = 64 // BITS
 _LONGS = HASHES // _LANES
 _draw = np.random.Generator(np.random.PCG64(77))
