@@ -1,34 +1,8 @@
-"""Queries and their DuckDB counterparts, filled by the plan modules."""
+"""All queries of the engine's own operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from marlstone.plans import catalog, chat, retrieval, review, texts, usage  # noqa: F401  they register themselves
+from marlstone.plans.base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from marlstone.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Register a query under its function's name, with its DuckDB SQL if there is one."""
-
-    def add(fn):
-        key = name or fn.__name__
-        QUERIES[key] = fn
-        if sql:
-            ORACLES[key] = sql
-        return fn
-
-    return add
-
-
-@query("SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, count(event_id) AS calls, CAST(coalesce(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS tokens FROM events GROUP BY 1")
-def usage_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = table(spark, sf_dir, "events")
-    hour = F.date_format("ts", "yyyy-MM-dd HH:00")
-    tokens = F.get_json_object("props", "$.k").cast("bigint")
-    return logs.groupBy(hour.alias("hour")).agg(F.count("event_id").alias("calls"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens")).orderBy("hour")
+__all__ = ["ORACLES", "QUERIES"]
