@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "DOUBLE": T.DoubleType(), "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP_NTZ": T.TimestampNTZType()}
+
+
 def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(" ".join(text.split()))
+    """A flat schema; unlike StructType.fromDDL it needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (part.split() for part in text.split(","))])
 
 
 SESSIONS = _ddl("id BIGINT, name STRING, user_id STRING, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ")
@@ -28,9 +32,12 @@ RAG_CONFIGS = _ddl(
     """id BIGINT, user_id STRING, retrieval_method STRING, retrieval_k INT, similarity_threshold DOUBLE, model_name STRING,
     temperature DOUBLE, max_tokens INT, is_active BOOLEAN, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"""
 )
-CHUNKS = _ddl(
-    """chunk_id BIGINT, kb_id BIGINT, doc_id BIGINT, chunk_no INT, content STRING,
-    metadata STRUCT<source: STRING, page: INT, filename: STRING, upload_time: STRING>, embedding ARRAY<FLOAT>"""
+CHUNKS = T.StructType(
+    [
+        *_ddl("chunk_id BIGINT, kb_id BIGINT, doc_id BIGINT, chunk_no INT, content STRING"),
+        T.StructField("metadata", _ddl("source STRING, page INT, filename STRING, upload_time STRING")),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+    ]
 )
 
 #: One change of a review; each detector fills its own fields.
@@ -38,9 +45,13 @@ CHANGE_DDL = """id INT, type STRING, category STRING, paragraph_index INT, origi
 position STRING, reason STRING, issue STRING, suggestion STRING, reference STRING, severity STRING, paragraph_index_1 INT,
 paragraph_index_2 INT, content_1 STRING, content_2 STRING, similarity DOUBLE"""
 CHANGE = _ddl(CHANGE_DDL)
-REVIEW_RESULT = _ddl(
-    f"""original_content STRING, revised_content STRING, all_changes ARRAY<STRUCT<{CHANGE_DDL}>>, total_changes INT, typo_count INT,
-    fluency_count INT, duplicate_count INT, compliance_count INT, errors ARRAY<STRING>"""
+REVIEW_RESULT = T.StructType(
+    [
+        *_ddl("original_content STRING, revised_content STRING"),
+        T.StructField("all_changes", T.ArrayType(CHANGE)),
+        *_ddl("total_changes INT, typo_count INT, fluency_count INT, duplicate_count INT, compliance_count INT"),
+        T.StructField("errors", T.ArrayType(T.StringType())),
+    ]
 )
 
 BY_NAME = {
