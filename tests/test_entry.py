@@ -3,7 +3,7 @@ import shutil
 import subprocess
 import sys
 
-from conftest import ROOT
+from shared import ROOT
 
 
 def test_entry_works_without_the_training_data_part(tmp_path):

@@ -1,5 +1,5 @@
 import pytest
-from conftest import DATA, same_as_duckdb
+from shared import DATA, same_as_duckdb
 
 from marlstone.plans import registry
 
