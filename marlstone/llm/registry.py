@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat, packing, pii, quality
+from marlstone.llm import chat, packing, pii, quality, warc
 from marlstone.llm.exact_dedup import ExactDedup
 from marlstone.llm.minhash import NearDedup
 from marlstone.llm.mixing import Mixer
@@ -63,6 +63,28 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written_out("base"), 256).alias("base_sha256"), pii.written_out("spans").alias("spans"))
 
 
+@_query(
+    r"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * page_id AS t,
+  regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+c AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '') || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|mc_[ce]id)(=|$)'))), '&') AS q FROM p),
+r AS (SELECT page_id, place || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical_url, t, t + INTERVAL 7 DAY AS later, '"' || md5(html) || '"' AS tag, strlen(html) AS n, sha256(html) AS sha FROM c),
+h AS (SELECT *, strftime(t, '%a, %d %b %Y %H:%M:%S GMT') AS d1, strftime(later, '%a, %d %b %Y %H:%M:%S GMT') AS d2 FROM r),
+v AS (SELECT a.page_id, a.canonical_url, a.tag, a.d2, arg_max(b.page_id, b.t) AS other FROM h a JOIN h b ON a.canonical_url = b.canonical_url AND b.t < a.later GROUP BY ALL)
+SELECT 'urn:page:' || page_id || ':response' AS record_id, canonical_url, 'urn:page:' || page_id || ':response' AS response_id, 'response' AS resolution, 200 AS status,
+  sha256('Date: ' || d1 || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(10) || 'ETag: ' || tag || chr(10) || 'Last-Modified: ' || d1 || chr(10) || 'Cache-Control: max-age=60' || chr(10) || 'Content-Length: ' || n) AS headers_sha256, sha AS payload_sha256 FROM h
+UNION ALL SELECT 'urn:page:' || v.page_id || ':revisit', v.canonical_url, CASE WHEN o.tag = v.tag THEN 'urn:page:' || o.page_id || ':response' END, CASE WHEN o.tag = v.tag THEN 'resolved' ELSE 'validators differ' END, CASE WHEN o.tag = v.tag THEN 200 ELSE 304 END,
+  CASE WHEN o.tag = v.tag THEN sha256('Date: ' || v.d2 || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(10) || 'ETag: W/' || v.tag || chr(10) || 'Last-Modified: ' || o.d1 || chr(10) || 'Cache-Control: max-age=604800' || chr(10) || 'Content-Length: ' || o.n || chr(10) || 'Vary: Accept-Encoding')
+  ELSE sha256('Date: ' || v.d2 || chr(10) || 'ETag: W/' || v.tag || chr(10) || 'Cache-Control: max-age=604800' || chr(10) || 'Vary: Accept-Encoding' || chr(10) || 'Content-Length: 0') END,
+  CASE WHEN o.tag = v.tag THEN o.sha END FROM v JOIN h o ON o.page_id = v.other"""
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.captures(_read(spark, sf_dir, "pages"))
+    rows = warc.records(files).withColumn("payload_sha256", F.sha2("payload", 256)).drop("payload")
+    lines = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
+    return warc.resolve(rows).select("record_id", "canonical_url", "response_id", "resolution", "status", F.sha2(lines, 256).alias("headers_sha256"), "payload_sha256")
+
+
 @_query()
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
