@@ -148,11 +148,9 @@ class Mixer:
             name = "more" if sign > 0 else "less"
             own = {x["row"]: x for y in found if y["source"] == r["source"] for k in range(PICKS) if (x := y[f"{name}{k}"])}
             for x in sorted(own.values(), key=lambda x: (-x["size"], x["h"])):
-                if x["size"] <= 2 * abs(lack) and abs(lack - sign * x["size"]) < abs(lack):
+                if x["size"] <= abs(lack) + 0.5:
                     lack -= sign * x["size"]
                     moves.append((x["row"], sign))
-                if lack * sign <= 0:
-                    break
         if not moves:
             return rows
         # a few documents of each power of two of sizes by source: a bounded table, checked as the table of sources is
