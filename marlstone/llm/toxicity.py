@@ -38,7 +38,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms.
 STEMS = (4, 5, 6, 7)
 #: Words whose terms are remembered.
-MEMORY = 200_000
+MEMORY = 50_000
 
 
 def terms(word: str) -> list[str]:
@@ -72,7 +72,7 @@ class Vocabulary:
         return out
 
 
-def remembered(judge, most: int = 50_000):
+def remembered(judge, most: int = 5_000):
     """judge, which gives the same for the same counts, without doing so twice in a row of few kinds."""
     known: dict = {}
 
