@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.store import written
+
 #: The profile of such revisits, and the headers that a 304 response may bring up to date.
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -161,6 +163,7 @@ def resolve(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """
     plain = rows.select("record_id", "warc_type", canonical(F.col("target_uri")).alias("canonical_url"), "date", "profile", "status", F.coalesce("headers", F.array().cast("array<struct<name:string,value:string>>")).alias("headers"), "payload_digest", "payload_sha256")
     plain = plain.withColumn("at", F.unix_micros("date")).withColumn("bin", F.floor(F.col("at") / (stretch * 1_000_000)))
+    plain = written(plain)  # read several times below
     is_revisit = (F.col("warc_type") == "revisit") & F.coalesce(F.col("profile").contains("not-modified") | (F.col("status") == 304), F.lit(False))
     full = plain.where((F.col("warc_type") == "response") & (F.col("status") == 200))
     known = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
