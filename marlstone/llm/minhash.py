@@ -204,7 +204,7 @@ class NearDedup:
         rows = written(around.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
         sizes = rows.groupBy("centre", "part").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("centre").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
-        mixed = mixed.select("centre", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("queries"), "n")
+        mixed = written(mixed.select("centre", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("queries"), "n"))  # so that the join may split a hot centre
         rows = written(rows.join(mixed, "centre").select("node", "centre", "part", (F.col("part") != F.col("top")).alias("query"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("blocks")))
         texts = self._texts(rows.select("node").distinct(), nodes, docs)
         spread = F.xxhash64("node", "centre")
