@@ -37,7 +37,7 @@ from marlstone.llm.store import written
 #: Words of a mer.
 MER = 6
 #: Most mers that are set back.
-HEAVY = 4096
+HEAVY = 16_384
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
