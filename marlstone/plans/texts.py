@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions import chunking, text
+from marlstone.functions import chunking, text, views
 from marlstone.operators.review import split_paragraphs
 from marlstone.plans.base import query
 from marlstone.session import table
@@ -87,3 +87,22 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(list(enumerate(replies)), "reply_id int, reply string")
     found = F.explode(text.json_records(F.col("reply"), "original string, id int"))
     return rows.select("reply_id", found.alias("c")).select("reply_id", "c.original", "c.id")
+
+
+@query(
+    """SELECT '{"eventId":' || event_id || ',"eventType":"' || event_type || '","userId":' || user_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')
+|| CASE WHEN strftime(ts, '%f') <> '000000' THEN '.' || strftime(ts, '%f') ELSE '' END || 'Z","errorMsg":null}' AS json FROM events"""
+)
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").withColumn("error_msg", F.lit(None).cast("string"))
+    return views.json_rows(rows, "event_id", "event_type", "user_id", "ts", "error_msg", mark="Z")
+
+
+@query(
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS name, printf('%.2f MB', o_totalprice * 100 / 1048576.0) AS size, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS uploaded,
+CASE o_orderstatus WHEN 'F' THEN '已索引' WHEN 'O' THEN '处理中' ELSE '待处理' END AS state FROM orders"""
+)
+def document_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "indexed").when(F.col("o_orderstatus") == "O", "processing").otherwise("pending")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), (F.col("o_totalprice") * 100).alias("file_size"), F.col("o_orderdate").alias("upload_time"), status.alias("status"))
+    return views.document_view(rows)
