@@ -255,7 +255,7 @@ class NearDedup:
         """One row per row: id, n_shingles, component_id, kept."""
         sketches, nodes, parts = self.links(docs)
         whole = nodes.select("class", "node", "id").join(parts.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
-        least = whole.groupBy("part").agg(F.min("id").alias("component_id"))
+        least = written(whole.groupBy("part").agg(F.min("id").alias("component_id")))  # so that the join may split a hot component
         by_class = whole.join(least, "part").select("class", "component_id")
         some = sketches.select("id", "n_shingles", "class").where("class IS NOT NULL").join(by_class, "class").drop("class")
         none = sketches.where("class IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
