@@ -1,5 +1,6 @@
 import random
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -10,11 +11,15 @@ from marlstone.llm import packing
 from marlstone.llm.tokens import default_files, encoder
 
 
-def exact_ids(text):
+@lru_cache(1)
+def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(default_files()[0])
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(default_files()[0])
+
+
+def exact_ids(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 def check(rows, got, tiers=(256, 512, 1024)):
