@@ -65,8 +65,12 @@ def exact_classes(rows: DataFrame, key: str, text: str, by: list[str] | None = N
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct runs of size words; all words as one run where there are fewer."""
     ws = F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - size + 1)), lambda i: F.array_join(F.slice(ws, i, size), " "))
-    return F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+
+    def runs(w: Column) -> Column:  # w is bound once: inside the inner function ws would be split anew for every run
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - size + 1)), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return F.transform(F.array(ws), runs)[0]
 
 
 def near_pairs(paras: DataFrame, key: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
