@@ -262,8 +262,11 @@ class NearDedup:
         return some.unionByName(none).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
     def keep(self, docs: DataFrame) -> DataFrame:
-        """The rows that stay, one of each group, with the columns of docs."""
-        kept = self.decide(docs).where("kept").select(F.struct(F.col("id").alias(self.key)).alias("who")).distinct()
-        rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(self.key)).alias("who"))
-        rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("who").orderBy(F.lit(0)))).where("copy = 1")
-        return rows.join(kept, "who", "left_semi").select("row.*")
+        """The rows that stay, with the columns of docs: of each component one row of the least id (and of the least body), and all rows with an empty set."""
+        _, nodes, parts = self.links(docs)
+        whole = nodes.select("node", "id", "body").join(parts.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        best = whole.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "body")).alias("b"))
+        best = written(best.select(F.struct(F.col("b.id").alias(self.key)).alias("who"), F.col("b.body").alias("body")))
+        rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(self.key)).alias("who"), F.xxhash64(self.text).alias("body"), F.coalesce(F.col(self.text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+        some = rows.where("worded").withColumn("copy", F.row_number().over(Window.partitionBy("who", "body").orderBy(F.lit(0)))).where("copy = 1")
+        return some.join(best, ["who", "body"], "left_semi").select("row.*").unionByName(rows.where("NOT worded").select("row.*"))

@@ -113,5 +113,21 @@ def test_kept_rows(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_kept_rows_of_null_and_shared_ids(spark):
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(60)]
+    plain = [" ".join(f"{k}-{rng.randrange(900)}" for _ in range(30)) for k in range(12)]
+    rows = [(None, t, None) for t in plain[:6]] + [(7, t, None) for t in plain[6:]]  # linked with nothing
+    rows += [(None, plain[0], None), (7, plain[6], None)]  # repeated rows
+    rows += [(None, t, None) for t in family(rng, base, 4, 2)]  # a component of null ids alone
+    rows += [(k, t, None) for k, t in zip((None, 7, 7, 9), family(rng, ["x" + w for w in base], 4, 2), strict=True)]
+    rows += [(None, None, None), (None, "", None), (None, " \t", None), (8, None, None), (8, "", None)]
+    got = [(r["doc_id"], r["text"]) for r in NearDedup(2).keep(awkward(spark, rows).repartition(3)).collect()]
+    lone = [(None, t) for t in plain[:6]] + [(7, t) for t in plain[6:]] + [(None, None), (None, ""), (None, " \t"), (8, None), (8, "")]
+    families = [r for r in got if r[1] and r[1] not in plain and r[1].strip()]
+    assert sorted((r for r in got if r not in families), key=str) == sorted(lone, key=str)
+    assert sorted((k for k, _ in families), key=str) == [7, None]
+
+
 def test_nothing(spark):
     assert NearDedup().decide(empty(spark)).count() == 0 == NearDedup().keep(empty(spark)).count()
