@@ -11,10 +11,12 @@
    of unequal minima agree). Pairs below the threshold by over six standard
    errors go.
 4. What is left is confirmed on the full sets of both texts; components follow.
-5. The exact rest: where the classes around one centre still fall into several
-   components, those outside the most frequent one are a query set that is held
-   against all of them on full sets, in blocks of bounded size. It reports one
-   link per query and component, so no family is written out as pairs.
+5. The exact rest: all classes that share a bucket with its first centre are
+   around it, like it or not. Where they still fall into several components,
+   those outside the most frequent one are a query set that is held against all
+   of them in blocks of bounded size, first by their estimates (as in 3), and
+   what may be linked with a class of another component then on full sets. It
+   reports one link per query and component, so no family is written out as pairs.
 6. Components by alternating stars.
 
 Two sets at 0.8 share no band with a chance of 3e-6. Null, empty and blank texts
@@ -41,8 +43,6 @@ BANDS, ROWS, BITS = 24, 4, 2
 HASHES = BANDS * ROWS
 #: Six standard errors of the estimate at 0.8.
 SLACK = 0.3
-#: Classes of at least this estimate to a centre are its family: a linked pair, one of it at 0.4 or more, is in it whole.
-FAMILY = 0.2
 CENTRES = 3
 #: Sets of one block of queries, and rows that a cell streams past them.
 BLOCK_QUERIES, BLOCK_ROWS = 256, 512
@@ -181,8 +181,8 @@ class NearDedup:
         signed = nodes.select("node", *longs)
         for side, name in (("a", "node"), ("b", "centre")):
             pairs = pairs.join(signed.select(F.col("node").alias(name), *(F.col(c).alias(f"{side}_{c[1:]}") for c in longs)), name)
-        met = written(pairs.withColumn("near", estimated("a_", "b_")).where(F.col("near") >= FAMILY).select("node", "centre", "home", "near"))
-        close = met.where(F.col("near") >= self.percent / 100 - SLACK).select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+        met = written(pairs.select("node", "centre", "home", (estimated("a_", "b_") >= self.percent / 100 - SLACK).alias("near")).where("near OR home"))
+        close = met.where("near").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
         parts = components(self._confirm(close, nodes, docs))
         around = met.where("home").select("node", "centre")
         around = around.unionByName(around.select(F.col("centre").alias("node"), "centre").distinct())
@@ -197,24 +197,61 @@ class NearDedup:
         rows = docs.select(F.struct(F.col(self.key).alias("id")).alias("who"), F.xxhash64(self.text).alias("body"), F.col(self.text).alias("text"))
         return written(needed.join(rows, ["who", "body"]).select("node", "text").dropDuplicates(["node"]))
 
-    def _rest(self, around: DataFrame, nodes: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
-        """around: node, centre. Links (u, v) between components of the nodes around one centre."""
-        size, percent = self.size, self.percent
-        part = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
-        rows = written(around.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    def _cells(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
+        """rows: node, centre, part; carried: node and what else is needed. Around each centre, the queries (role 0) and the rows (role 1) that they are held against, in sorted cells."""
         sizes = rows.groupBy("centre", "part").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("centre").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
         mixed = written(mixed.select("centre", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("queries"), "n"))  # so that the join may split a hot centre
-        rows = written(rows.join(mixed, "centre").select("node", "centre", "part", (F.col("part") != F.col("top")).alias("query"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("blocks")))
-        texts = self._texts(rows.select("node").distinct(), nodes, docs)
+        rows = rows.join(mixed, "centre").select("node", "centre", "part", (F.col("part") != F.col("top")).alias("query"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("blocks"))
+        rows = written(rows)
         spread = F.xxhash64("node", "centre")
         # a query stands in its block under every salt; a row under its salt in every block
         each = lambda n, own: F.array(F.pmod(spread, F.col(n)).cast("int")) if own else F.sequence(F.lit(0), F.col(n) - 1)
         cell = lambda own: (F.explode(each("blocks", own)).alias("block"), each("salts", not own).alias("salts"))
         asked = rows.where("query").select("node", "centre", "part", F.lit(0).alias("role"), *cell(True))
         told = rows.select("node", "centre", "part", F.lit(1).alias("role"), *cell(False))
-        cells = asked.unionByName(told).select("node", "centre", "part", "role", "block", F.explode("salts").alias("salt")).join(texts, "node")
-        dealt = cells.repartition("centre", "block", "salt").sortWithinPartitions("centre", "block", "salt", "role", "node")
+        cells = asked.unionByName(told).select("node", "centre", "part", "role", "block", F.explode("salts").alias("salt")).join(carried, "node")
+        return cells.repartition("centre", "block", "salt").sortWithinPartitions("centre", "block", "salt", "role", "node")
+
+    def _alike(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """rows: node, centre, part. Those whose estimate to one of another part around their centre may be a link."""
+        longs = [f"s{k}" for k in range(_LONGS)]
+        own = ["centre", "block", "salt", "role", "node", "part", *longs]
+        most = int(HASHES * (1 - 0.5**BITS) * (1 - (self.percent / 100 - SLACK)) + 1e-9)  # unequal lanes
+
+        def judged(cell):
+            asked, told = cell[cell[:, 3] == 0], cell[cell[:, 3] == 1]
+            if not len(asked):
+                return []
+            unequal = np.zeros((len(asked), len(told)), dtype=np.uint8)
+            for k in range(6, 6 + _LONGS):
+                x = asked[:, k].view(np.uint64)[:, None] ^ told[:, k].view(np.uint64)[None]
+                unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+            hit = (unequal <= most) & (asked[:, 5][:, None] != told[:, 5][None])
+            found = np.unique(np.concatenate((asked[hit.any(axis=1), 4], told[hit.any(axis=0), 4])))
+            return [pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), cell[0, 0]))], names=["node", "centre"])] if len(found) else []
+
+        def run(batches):
+            held = np.empty((0, len(own)), dtype=np.int64)
+            for batch in batches:
+                held = np.concatenate((held, np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in own])))
+                edges = [0, *(1 + np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)))]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    yield from judged(held[a:b])
+                held = held[edges[-1] :]
+            if len(held):
+                yield from judged(held)
+
+        cells = self._cells(rows, nodes.select("node", *longs)).select(own)
+        return rows.join(written(cells.mapInArrow(run, "node bigint, centre bigint")).distinct(), ["node", "centre"], "left_semi")
+
+    def _rest(self, around: DataFrame, nodes: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
+        """around: node, centre. Links (u, v) between components of the nodes around one centre."""
+        size, percent = self.size, self.percent
+        part = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
+        rows = written(around.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        rows = written(self._alike(rows, nodes))
+        dealt = self._cells(rows, self._texts(rows.select("node").distinct(), nodes, docs))
 
         def run(batches):
             own, queries, index, seen = None, [], None, set()

@@ -77,6 +77,44 @@ def test_the_exact_rest_in_many_blocks(spark, monkeypatch):
     assert got(spark, rows, 2) == expected(rows, 2)
 
 
+def stranger(rng, passage, least, band, n):
+    """passage and n more words none of whose shingles is among the minima of band, so that texts of the passage share its bucket."""
+    ws = passage + ["-"] * n
+    at = list(range(len(passage), len(ws)))
+    while at:
+        for k in at:
+            ws[k] = f"{rng.getrandbits(48):x}"
+        own, _ = shingles(words_of([" ".join(ws).encode()]), 2)
+        low = (own[:, None] * minhash._A[4 * band : 4 * band + 4] + minhash._B[4 * band : 4 * band + 4]) >> np.uint64(32)
+        at = sorted({k + 1 for k in np.flatnonzero((low < least[4 * band : 4 * band + 4]).any(axis=1)) if k + 1 >= len(passage)})
+    return " ".join(ws)
+
+
+def test_near_copies_among_strangers_of_one_passage(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CENTRES", 1)
+    rng = random.Random(15)
+    rows, pairs = [], []
+    for p in range(4):
+        passage = [f"p{p}-{rng.getrandbits(30):x}" for _ in range(20)]
+        two = [" ".join([*passage, *(f"{c}{p}{k}" for k in range(2))]) for c in "ab"]
+        sets = minhash._sets([" ".join(passage), *two], 2)
+        low = minhash.minima(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))))
+        same = [b for b in range(24) if (low[:, 4 * b : 4 * b + 4] == low[0, 4 * b : 4 * b + 4]).all()]
+        for band in same:
+            n = 0
+            while n < 30:
+                text = stranger(rng, passage, low[0], band, 95)
+                own = minhash.minima(x := minhash._sets([text], 2)[0], np.array([0, len(x)]))[0]
+                if all(((own & np.uint64(3)) == (s & np.uint64(3))).mean() < 0.37 for s in low[1:]):  # an estimate below 0.16
+                    rows.append((len(rows), text, None))
+                    n += 1
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + k, t, None) for k, t in enumerate(two)]
+    found = {k: c for k, _, c in got(spark, rows, 2)}
+    assert [found[b] for _, b in pairs] == [a for a, _ in pairs]
+    assert sum(k == c for k, c in found.items()) == len(rows) - len(pairs)
+
+
 def test_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()]
     assert got(spark, rows, 2) == expected(rows, 2)
