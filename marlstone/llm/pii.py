@@ -43,7 +43,7 @@ _SECRET_WORDS = "token secret password passwort passwd pwd contraseña clave api
 _NUMBER_WORDS = "card account iban konto cuenta compte tarjeta carte karte phone tel telefon teléfono téléphone ssn passport id no nr".split()
 _WORD_BEFORE = re.compile(r"([^\W\d_][\w-]*)\W{0,4}\Z")
 _VALUE = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+")
-_ANNOUNCED = re.compile(r"(?i)\b(?:" + "|".join(_SECRET_WORDS) + r")\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,200})")
+_ANNOUNCED = re.compile(r"(?i)\b(?:" + "|".join(_SECRET_WORDS) + r")\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,}+)")
 _MAY = re.compile(r"[0-9@+=:]")
 
 

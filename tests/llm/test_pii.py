@@ -82,3 +82,10 @@ def test_em_and_classifier():
 
 def test_nothing(spark):
     assert pii.PiiFinder().find(empty(spark)).count() == 0
+
+
+def test_a_long_announced_secret_is_whole():
+    value = ".".join(("abX9" * 84)[k:] for k in range(3))
+    text = f"token: {value} and more"
+    assert len(value) > 1000
+    assert pii.candidates(text, pii.base_spans(text)) == [("secret", 7, 7 + len(value))]
