@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import preview
 from marlstone.models import RuleModel, complete
 from marlstone.operators import retrieval
 from marlstone.plans.base import query
@@ -76,8 +75,9 @@ def rag_context_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contexts = rag_context(spark, sf_dir).withColumnRenamed("query_id", "doc_id")
-    questions = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", preview(F.col("text")).alias("question"))
+    whole = retrieval.cited(F.col("rank"), F.col("source"), F.lit(None).cast("int"), F.col("text"))
+    contexts = retrieval.context(_cited(spark, sf_dir), whole, ["query_id"]).withColumnRenamed("query_id", "doc_id")
+    questions = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", F.col("text").alias("question"))
     return retrieval.answered(questions, contexts, "doc_id", "question")
 
 

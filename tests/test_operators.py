@@ -257,3 +257,19 @@ def test_streamed_trend_equals_the_batch(spark, tmp_path):
     q = stream_usage.to_table(stream_usage.trend(stream), str(tmp_path / "cp"), lambda df, _: df.write.mode("overwrite").parquet(out), mode="complete")
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, usage.trend(rows).collect()))
+
+
+def test_answers_see_whole_texts(spark, monkeypatch):
+    from shared import DATA
+
+    from marlstone.plans import retrieval as plans
+
+    seen = []
+    monkeypatch.setattr(plans.retrieval, "answered", lambda questions, contexts, *a: seen.append((questions, contexts)))
+    plans.rag_answer(spark, DATA)
+    (questions, contexts), texts = seen[0], {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    asked = {r["doc_id"]: r["question"] for r in questions.collect()}
+    assert asked and all(q == texts[k] for k, q in asked.items())
+    hits = plans._cited(spark, DATA).select("query_id", "text").collect()
+    context = {r["doc_id"]: r["context"] for r in contexts.collect()}
+    assert any(len(h["text"] or "") > 400 for h in hits) and all((h["text"] or "") in context[h["query_id"]] for h in hits)
