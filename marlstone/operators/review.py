@@ -57,9 +57,10 @@ def exact_classes(rows: DataFrame, key: str, text: str, by: list[str] | None = N
     Equal texts are folded by digest on the map side first; only digests are joined.
     """
     by = by or []
-    marked = rows.select(*by, key, F.sha2(F.col(text), 256).alias("__digest"))
-    groups = marked.groupBy(*by, "__digest").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
-    return marked.join(groups, [*by, "__digest"]).drop("__digest")
+    # a struct, which is equal to another one with the same nulls
+    marked = rows.select(*by, key, F.struct(*by, F.sha2(F.col(text), 256).alias("__digest")).alias("__class"))
+    groups = marked.groupBy("__class").agg(F.min(key).alias("class_id"), F.count("*").alias("class_size"))
+    return marked.join(groups, "__class").drop("__class")
 
 
 def shingles(text: Column, size: int = 5) -> Column:

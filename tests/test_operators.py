@@ -259,6 +259,14 @@ def test_streamed_trend_equals_the_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == sorted(map(tuple, usage.trend(rows).collect()))
 
 
+def test_exact_classes_of_null_texts_and_groups(spark):
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, None), (None, 3, "a"), (None, 4, "a"), (2, 5, "a"), (2, 6, None)], "g int, k int, text string")
+    assert sorted((r["k"], r["class_id"], r["class_size"]) for r in review.exact_classes(rows, "k", "text").collect()) == [(1, 1, 3), (2, 1, 3), (3, 3, 3), (4, 3, 3), (5, 3, 3), (6, 1, 3)]
+    by = review.exact_classes(rows, "k", "text", ["g"])
+    assert by.columns == ["g", "k", "class_id", "class_size"]
+    assert sorted((r["k"], r["class_id"], r["class_size"]) for r in by.collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 3, 2), (5, 5, 1), (6, 6, 1)]
+
+
 def test_answers_see_whole_texts(spark, monkeypatch):
     from shared import DATA
 
