@@ -155,7 +155,11 @@ def _differ(a: Column, b: Column) -> Column:
 
 
 def resolve(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """rows: the columns of RECORD but payload, and any others. Every response, and every revisit with its response.
+    """rows: the columns of RECORD but payload, and any others. Every response of status 200, and every not-modified revisit with its response.
+
+    Responses of any other status, other revisits and other records are left out,
+    and a revisit is never resolved to them.
+
 
     record_id, warc_type, canonical_url, date, response_id, resolution, status,
     headers, payload_sha256. resolution: response, resolved, unchecked (the
