@@ -51,7 +51,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: SQL can express neither the scores nor the packing; tests compare with brute force.
+#: SQL can express neither the scores nor the packing; tests compare the operators with brute force, not the five stages as a whole.
 ORACLE_SQL = None
 
 
