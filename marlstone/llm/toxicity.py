@@ -1,31 +1,38 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and the first letters of words (for languages that compound).
-From a bounded sample of labelled rows (``examples``, the ones of least id hash)
-the terms that mark label 1 are chosen by the z-score of their log odds, where at least half of the
-examples that have one are of label 1; their
-document frequencies are counted over all documents. Examples and documents
-become TF-IDF vectors over these terms, of length 1.
-
-The examples lie in an inverted index in blocks. For every term the index keeps
-its greatest weight in each block, so that a query bounds what a block can hold,
-visits blocks by falling bound and stops when no block can better the k-th
-example found: the k nearest by exact cosine, ties by place in the index.
-Their votes count by nearness (little at a low cosine), drawn a little towards
-the share of label 1. A
-text without terms gets the label's share among examples without terms.
+Terms are words and the first letters of words (for languages that inflect and
+compound). The vocabulary is all terms of a bounded sample of labelled rows
+(``examples``, the ones of least id hash), of either label and of whole texts;
+their document frequencies are counted over all documents. A term weighs
+(1 + log of its count) * idf * (1 + boost * its surplus), where the surplus is
+the lower bound (``sure`` standard errors) of the log odds by which label 1 has
+it more often: labels weigh terms, but take none away. Vectors have length 1.
+
+The examples lie in an inverted index in blocks. Postings are laid out by term
+and block, with the greatest weight of each term in each block, so that a query
+bounds what a block can hold; the blocks of greatest bound give k rows to beat,
+and of the others only those are read whose bound reaches the k-th of these.
+The few terms that a large part of the examples have are columns of a matrix,
+which is multiplied by a batch of queries at once before any block is bounded.
+The result is the k nearest by exact cosine. Examples are placed by their
+vectors, then their labels, and ties fall by place: ids decide nothing.
+
+Votes count by nearness, drawn a little towards the share of label 1. A logistic
+curve, fitted to the votes that each example gets from all others, turns them
+into chances. A text without any known term (blank texts above all) gets the
+label's share among examples without terms.
 
 Scores come from texts alone. Null and blank texts have no terms. Labels that
 are null are not used; of repeated labels of an id the greatest counts. Repeated
 rows and null ids get a score each. Without labels of both kinds all scores are
-the (smoothed) share of label 1. An empty table gives no rows.
+drawn from the (smoothed) share of label 1. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,106 +43,246 @@ from marlstone.llm.store import written
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms.
-STEMS = (4, 5, 6, 7)
+STEMS = (4, 5)
 #: Words whose terms are remembered.
-MEMORY = 50_000
+MEMORY = 100_000
+#: Texts that are scored together.
+TOGETHER = 128
 
 
 def terms(word: str) -> list[str]:
     """A word's terms: each run of letters (marked by a bar) and its beginnings."""
     out = []
-    for w in _LETTERS.findall(word):
+    for w in (word,) if word.isalpha() else _LETTERS.findall(word):
         out.append(w + "|")
         out += [w[:n] for n in STEMS if len(w) > n]
     return out
 
 
+def counted(text: str | None) -> dict[str, int]:
+    """How often each term stands in a text."""
+    out: dict[str, int] = {}
+    for word, n in Counter((text or "").lower().split()).items():
+        for t in terms(word):
+            out[t] = out.get(t, 0) + n
+    return out
+
+
+class _Places(dict):
+    """The places of each word's known terms, found once."""
+
+    def __init__(self, place: dict[str, int]):
+        super().__init__()
+        self.place = place
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = tuple(k for t in terms(word) if (k := self.place.get(t)) is not None)
+        if len(self) >= MEMORY:
+            self.clear()
+        if len(word) < 100:  # longer ones are looked up anew
+            self[word] = found
+        return found
+
+
 class Vocabulary:
-    """Counts the chosen terms of texts."""
-
-    def __init__(self, chosen: list[str]):
-        self.place = {t: k for k, t in enumerate(chosen)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def count(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        for word, n in Counter((text or "").lower().split()).items():
-            found = self.known.get(word)
-            if found is None:
-                if len(self.known) >= MEMORY:
-                    self.known.clear()
-                found = tuple(self.place[t] for t in terms(word) if t in self.place)
-                if len(word) < 100:
-                    self.known[word] = found
-            for t in found:
-                out[t] = out.get(t, 0) + n
-        return out
+    """Counts the known terms of texts by their places."""
 
+    def __init__(self, known: list[str]):
+        self.words = _Places({t: k for k, t in enumerate(known)})
 
-def remembered(judge, most: int = 5_000):
-    """judge, which gives the same for the same counts, without doing so twice in a row of few kinds."""
-    known: dict = {}
+    def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The places of a text's terms, in order, and how often each stands there."""
+        found = chain.from_iterable(map(self.words.__getitem__, (text or "").lower().split()))
+        return np.unique(np.fromiter(found, dtype=np.int64), return_counts=True)
 
-    def run(counts: dict[int, int]):
-        kind = tuple(sorted(counts.items()))
-        if kind not in known:
-            if len(known) >= most:
-                known.clear()
-            known[kind] = judge(counts)
-        return known[kind]
 
-    return run
+def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of all ranges, one after the other."""
+    n = ends - begins
+    return np.repeat(begins - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
 
 class BlockMaxIndex:
     """The nearest of a set of sparse vectors of length 1 by exact cosine."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int, block: int = 64):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]] | list[dict[int, float]], n_terms: int, block: int = 64):
+        """vectors: (terms, weights) each, or dictionaries."""
+        vectors = [(list(v), list(v.values())) if isinstance(v, dict) else v for v in vectors]
         self.block, self.n = block, len(vectors)
         self.n_blocks = -(-self.n // block) or 1
-        cells = sorted((t, k, w) for k, v in enumerate(vectors) for t, w in v.items())
-        self.terms = np.array([c[0] for c in cells], dtype=np.int64)
-        self.rows = np.array([c[1] for c in cells], dtype=np.int64)
-        self.weights = np.array([c[2] for c in cells])
-        #: Where each term's postings begin; each posting's block; each term's greatest weight in each block.
-        self.begins = np.searchsorted(self.terms, np.arange(n_terms + 1)).tolist()
-        self.blocks = self.rows // block
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most, (self.terms, self.blocks), self.weights)
-
-    def _cosines(self, query: dict[int, float], alive: np.ndarray) -> np.ndarray:
-        """Cosines of the rows of the blocks that are alive; 0 for others."""
-        at = [slice(self.begins[t], self.begins[t + 1]) for t in query]
-        blocks, rows = np.concatenate([self.blocks[s] for s in at]), np.concatenate([self.rows[s] for s in at])
-        weights = np.concatenate([self.weights[s] * w for s, w in zip(at, query.values(), strict=True)])
-        keep = alive[blocks]
-        return np.bincount(rows[keep], weights[keep], minlength=self.n)
+        sizes = [len(t) for t, _ in vectors]
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        own = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]).astype(np.int32)
+        weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        #: Terms in a sixteenth of all rows have a list that is nearly whole: these are columns of a matrix.
+        dense = np.bincount(own, minlength=n_terms) > max(self.n // 16, 8)
+        self.column = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.common = dense[own].nonzero()[0]
+        self.common = rows[self.common], self.column[own[self.common]], weights[self.common]
+        order = np.lexsort((rows, own))
+        order = order[~dense[own[order]]]
+        own, self.rows, self.weights = own[order], rows[order], weights[order]
+        #: One entry per term and block: its block, where its postings begin (and the next one's), its greatest weight.
+        blocks = self.rows // block
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (blocks[1:] != blocks[:-1])
+        at = np.flatnonzero(new)
+        self.blocks = blocks[at]
+        self.begins = np.concatenate((at, [len(own)]))
+        self.most = np.maximum.reduceat(self.weights, at) if len(at) else np.zeros(0)
+        #: Where each term's entries begin.
+        self.entries = np.searchsorted(own[at], np.arange(n_terms + 1))
+        self._matrix = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_matrix": None}  # tasks build it from the lists
+
+    @property
+    def matrix(self) -> np.ndarray:
+        """Weights of the common terms, by column and row; the rows of a block are padded to its size."""
+        if self._matrix is None:
+            rows, columns, weights = self.common
+            self._matrix = np.zeros((max(1, int(self.column.max(initial=-1)) + 1), self.n_blocks * self.block))
+            self._matrix[columns, rows] = weights
+        return self._matrix
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a cosine above 0, nearest first.
+        """search() of one vector as a dictionary."""
+        return self.search([(np.array(list(query), dtype=np.int64), np.array(list(query.values()), dtype=float))], k)[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the k nearest rows with a cosine above 0, nearest first, for each query (different terms, their weights)."""
+        common = np.zeros((len(queries), len(self.matrix)))
+        for own, (t, q) in zip(common, queries, strict=True):
+            column = self.column[t]
+            own[column[column >= 0]] = q[column >= 0]
+        return [self._search(t, q, sums, k) for (t, q), sums in zip(queries, common @ self.matrix, strict=True)]
+
+    def _search(self, t: np.ndarray, q: np.ndarray, sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """sums: what the common terms give each row."""
+        low, high = self.entries[t], self.entries[t + 1]
+        entries, weights = _ranges(low, high), np.repeat(q, high - low)
+        blocks = self.blocks[entries]
+        bound = sums.reshape(self.n_blocks, self.block).max(axis=1) + np.bincount(blocks, self.most[entries] * weights, minlength=self.n_blocks)
+
+        def rare(which: np.ndarray) -> np.ndarray:
+            """What the other terms give the rows of some blocks."""
+            use = which[blocks]
+            begins, ends = self.begins[entries[use]], self.begins[entries[use] + 1]
+            at = _ranges(begins, ends)
+            return np.bincount(self.rows[at], self.weights[at] * np.repeat(weights[use], ends - begins), minlength=len(sums))
 
-        The blocks of greatest bound give k rows to beat; then only blocks are
-        looked at whose bound reaches the k-th of these.
-        """
-        bound = np.array(list(query.values())) @ self.most[list(query)]
         first = np.zeros(self.n_blocks, dtype=bool)
         first[np.argsort(-bound, kind="stable")[: 1 + -(-k // self.block)]] = True
-        cosine = self._cosines(query, first)
-        least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
-        alive = (bound > 0) & (bound >= least - 1e-9)
-        if (alive & ~first).any():
-            cosine = self._cosines(query, alive | first)
-        hit = np.flatnonzero(cosine > max(0.0, (np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0) - 1e-9))
+        cosine = np.where(np.repeat(first, self.block), sums + rare(first), 0)
+        least = np.partition(cosine, -k)[-k] if self.n > k else 0.0
+        more = (bound > 0) & (bound >= least - 1e-9) & ~first
+        if more.any():
+            cosine += np.where(np.repeat(more, self.block), sums + rare(more), 0)
+            least = np.partition(cosine, -k)[-k] if self.n > k else 0.0
+        hit = np.flatnonzero(cosine > max(1e-15, least - 1e-9))
         best = hit[np.lexsort((hit, -np.round(cosine[hit], 12)))[:k]]
         return best, cosine[best]
 
 
+def surplus(yes: np.ndarray, no: np.ndarray, n_yes: int, n_no: int, sure: float) -> np.ndarray:
+    """By how much at least (in log odds) examples of label 1 have a term more often; 0 where that isn't sure."""
+    odds = lambda c, n: np.log((c + 0.5) / (n - c + 0.5))
+    return np.maximum(0.0, odds(yes, n_yes) - odds(no, n_no) - sure * np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)))
+
+
+def _logit(p):
+    return np.log(p) - np.log1p(-p)
+
+
+def calibrated(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from votes (their log odds) to chances of label 1; (1, 0) where it can't be fitted."""
+    yes, no = int(labels.sum()), int((~labels).sum())
+    if not yes or not no:
+        return 1.0, 0.0
+    goal = np.where(labels, (yes + 1) / (yes + 2), 1 / (no + 2))
+    x = np.column_stack((_logit(np.clip(votes, 1e-6, 1 - 1e-6)), np.ones(len(votes))))
+    w = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (goal - p))
+        w = w + np.clip(step, -2, 2)
+        if abs(step).max() < 1e-9:
+            break
+    return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
+
+
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+class Model:
+    """What tasks need to score texts: the known terms, their weights, the index and the examples' labels and ids."""
+
+    def __init__(self, known: list[str], weight: np.ndarray, examples: list[tuple[Counts, bool, str]], k: int, pull: float):
+        self.known, self.weight, self.k, self.pull = known, weight, k, pull
+        # like ones share blocks: by their most frequent terms (those of least weight), then by all, then by label
+        rank = np.empty(len(weight), dtype=np.int64)
+        rank[np.argsort(weight, kind="stable")] = np.arange(len(weight))
+        some = sorted(((sorted(rank[t].tolist()), n[np.argsort(rank[t])].tolist(), label, i, (t, n)) for (t, n), label, i in examples if len(t)), key=lambda e: e[:3])
+        self.votes, self.ids = np.array([e[2] for e in some], dtype=bool), [e[3] for e in some]
+        self.index = BlockMaxIndex([(e[4][0], self.vector(e[4])) for e in some], len(known))
+        blank = [label for (t, _), label, _ in examples if not len(t)]
+        self.share = (sum(label for _, label, _ in examples) + 0.5) / (len(examples) + 1)
+        self.blank_score = (sum(blank) + self.share) / (len(blank) + 1)
+        self.curve = (1.0, 0.0)
+
+    def vector(self, counts: Counts) -> np.ndarray:
+        """The weights of counted terms, of length 1."""
+        raw = (1 + np.log(counts[1])) * self.weight[counts[0]]
+        return raw / (np.sqrt(raw @ raw) or 1.0)
+
+    def vote(self, cosine: np.ndarray, labels: np.ndarray) -> float:
+        """The votes of near examples, drawn towards the share of label 1."""
+        near = cosine**2 / (0.05 + np.maximum(0.0, 1 - cosine))
+        return float((near @ labels + self.pull * self.share) / (near.sum() + self.pull))
+
+    def chance(self, vote: float) -> float:
+        slope, offset = self.curve
+        return float(1 / (1 + np.exp(-(slope * _logit(min(1 - 1e-6, max(1e-6, vote))) + offset))))
+
+    def nearest(self, texts: list[Counts], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and cosines of the examples nearest to each text."""
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            out += self.index.search([(c[0], self.vector(c)) for c in texts[at : at + TOGETHER]], k)
+        return out
+
+    def judge(self, texts: list[Counts]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Each text's score, and the examples it rests on with their cosines."""
+        none = self.blank_score, np.zeros(0, np.int64), np.zeros(0)
+        if not self.ids:
+            return [none] * len(texts)
+        found = self.nearest(texts, self.k)
+        return [(round(self.chance(self.vote(cosine, self.votes[near])), 9), near, cosine) if len(c[0]) else none for c, (near, cosine) in zip(texts, found, strict=True)]
+
+    def left_out(self, texts: list[Counts], labels: list[bool]) -> list[float]:
+        """The vote on each example by all others: one of its own vector and label is left out."""
+        out = []
+        for (near, cosine), label in zip(self.nearest(texts, self.k + 1), labels, strict=True):
+            same = np.flatnonzero((cosine > 1 - 1e-9) & (self.votes[near] == label))
+            keep = np.delete(np.arange(len(near)), same[:1])[: self.k]
+            out.append(self.vote(cosine[keep], self.votes[near[keep]]))
+        return out
+
+
+def _judged(model: Model, words: Vocabulary, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The judgement of each text; equal texts of a batch are judged once."""
+    kinds = list(dict.fromkeys(texts))
+    known = dict(zip(kinds, model.judge([words.count(t) for t in kinds]), strict=True))
+    return [known[t] for t in texts]
+
+
 class Toxicity:
     """fit() learns from labelled rows; score() gives every row a score and its evidence."""
 
-    def __init__(self, text: str = "text", key: str = "doc_id", label: str = "toxic", examples: int = 10_000, most_terms: int = 2048, z: float = 3.0, sure: float = 0.5, k: int = 16, pull: float = 0.5):
+    def __init__(self, text: str = "text", key: str = "doc_id", label: str = "toxic", examples: int = 5_000, sure: float = 1.5, boost: float = 2.0, k: int = 16, pull: float = 0.1):
         self.text, self.key, self.label = text, key, label
-        self.examples, self.most_terms, self.z, self.sure, self.k, self.pull = examples, most_terms, z, sure, k, pull
+        self.examples, self.sure, self.boost, self.k, self.pull = examples, sure, boost, k, pull
 
     def _rows(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.key).alias("id"), F.col(self.text).alias("text"))
@@ -143,114 +290,100 @@ class Toxicity:
     def fit(self, docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Toxicity:
         known = labels.where(F.col(self.label).isNotNull() & F.col(self.key).isNotNull() & (F.lit(True) if usable is None else usable))
         known = known.groupBy(F.col(self.key).alias("id")).agg((F.max(self.label) > 0).alias("label"))
-        # at most `examples` narrow rows: a proven bound for the broadcasts
+        # at most `examples` narrow rows: a proven bound for the broadcast
         sample = written(known.orderBy(F.xxhash64("id"), "id").limit(self.examples))
-        self.chosen = self._choose(self._rows(docs).join(F.broadcast(sample), "id"))
-        self._index(self._rows(docs).join(F.broadcast(sample), "id", "left"))
+        found = written(self._rows(docs).join(F.broadcast(sample), "id").select(F.col("id").cast("string").alias("id"), "text", "label"))
+        counted = written(found.mapInArrow(_all_terms, "id string, label boolean, terms array<string>, n array<int>")).toArrow()  # one row per example
+        lists = counted.column("terms").combine_chunks()
+        coded = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        coded = coded.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        own, n = coded.indices.to_numpy(zero_copy_only=False), np.concatenate([np.zeros(0, np.int64), *(x.as_py() or [] for x in counted.column("n"))]).astype(np.int64)
+        sizes = [len(x) for x in counted.column("terms")]
+        order = np.argsort(np.array(known, dtype=object), kind="stable") if known else np.zeros(0, np.int64)
+        place = np.empty(len(known), dtype=np.int64)
+        place[order] = np.arange(len(known))
+        known, own = [known[k] for k in order], place[own] if len(own) else np.zeros(0, np.int64)
+        marks = np.array(counted.column("label").to_pylist(), dtype=bool)
+        frequency, total = self._frequencies(docs, known)
+        by_label = [np.bincount(own[np.repeat(marks == want, sizes)], minlength=len(known)) if len(own) else np.zeros(len(known)) for want in (True, False)]
+        weight = np.log((total + 1) / (frequency + 0.5))
+        if marks.any() and not marks.all():
+            weight = weight * (1 + self.boost * surplus(*by_label, int(marks.sum()), int((~marks).sum()), self.sure))
+        ends = np.cumsum(sizes)
+        counts = [(own[b - s : b], n[b - s : b]) for s, b in zip(sizes, ends, strict=True)]
+        self.model = Model(known, weight, list(zip(counts, marks.tolist(), counted.column("id").to_pylist(), strict=True)), self.k, self.pull)
+        self._calibrate(found)
+        self.shared = docs.sparkSession.sparkContext.broadcast(self.model)  # its size is that of at most `examples` texts
         return self
 
-    def _choose(self, labelled: DataFrame) -> list[str]:
-        def run(batches):
-            seen: dict[str, list[int]] = {}
-            n = [0, 0]
-
-            def rows():
-                return pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.string()), pa.array([n[1], *(v[1] for v in seen.values())], pa.int64()), pa.array([n[0], *(v[0] for v in seen.values())], pa.int64())], names=["term", "yes", "no"])
-
-            for batch in batches:
-                for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                    n[label] += 1
-                    for t in {t for w in set((text or "").lower().split()) if len(w) < 100 for t in terms(w)}:
-                        seen.setdefault(t, [0, 0])[label] += 1
-                if len(seen) > MEMORY:
-                    yield rows()
-                    seen, n = {}, [0, 0]
-            yield rows()
-
-        counts = written(labelled.select("text", "label").mapInArrow(run, "term string, yes bigint, no bigint").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
-        total = counts.where("term IS NULL").first()
-        self.yes, self.no = (int(total["yes"]), int(total["no"])) if total else (0, 0)
-        if not self.yes or not self.no:
-            return []
-        odds = lambda c, n: F.log((F.col(c) + 0.5) / (n - F.col(c) + 0.5))
-        z = (odds("yes", self.yes) - odds("no", self.no)) / F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5))
-        best = counts.where(F.col("term").isNotNull() & (F.col("yes") >= self.sure * (F.col("yes") + F.col("no")))).select("term", z.alias("z")).where(F.col("z") >= self.z).orderBy(F.desc("z"), "term").limit(self.most_terms)
-        return sorted(r["term"] for r in best.collect())
-
-    def _index(self, rows: DataFrame) -> None:
-        chosen = self.chosen
-        kind = rows.schema["id"].dataType.simpleString()
+    def _frequencies(self, docs: DataFrame, known: list[str]) -> tuple[np.ndarray, int]:
+        """In how many documents each known term stands, and the number of documents."""
+        shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(batches):
-            words = Vocabulary(chosen)
-            frequency: Counter = Counter()
-            n = 0
-            id_type = None
+            words, frequency, n = Vocabulary(shared.value), np.zeros(len(shared.value) + 1, dtype=np.int64), 0
             for batch in batches:
-                id_type = batch.column("id").type
-                out = []
-                for k, text, label in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "label")), strict=True):
-                    found = words.count(text)
-                    frequency.update(found.keys())
+                for text in batch.column(0).to_pylist():
+                    frequency[words.count(text)[0]] += 1
                     n += 1
-                    if label is not None:
-                        out.append((k, label, list(found), list(found.values())))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (id_type, pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], names=["id", "label", "terms", "n"])
+            frequency[-1] = n
+            some = np.flatnonzero(frequency)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([None], id_type), pa.array([None], pa.bool_()), pa.array([[-1, *frequency]], pa.list_(pa.int32())), pa.array([[n, *frequency.values()]], pa.list_(pa.int64()))], names=["id", "label", "terms", "n"])
-
-        counted = written(rows.select("id", "text", "label").mapInArrow(run, f"id {kind}, label boolean, terms array<int>, n array<bigint>"))
-        frequency = counted.where("label IS NULL").select(F.explode(F.arrays_zip("terms", "n")).alias("x")).groupBy("x.terms").agg(F.sum("x.n").alias("n")).collect()
-        frequency = {r[0]: r[1] for r in frequency}
-        total = frequency.pop(-1, 0)
-        self.idf = {t: math.log((total + 1) / (frequency.get(t, 0) + 1)) + 1 for t in range(len(chosen))}
-        found = counted.where("label IS NOT NULL").collect()  # one row per example
-        found.sort(key=lambda r: (sorted(r["terms"]), str(r["id"])))  # like ones share blocks
-        some = [r for r in found if r["terms"]]
-        self.ids, self.votes = [r["id"] for r in some], [int(r["label"]) for r in some]
-        self.index = BlockMaxIndex([self.vector(dict(zip(r["terms"], r["n"], strict=True))) for r in some], len(chosen))
-        blank = [int(r["label"]) for r in found if not r["terms"]]
-        self.share = (self.yes + 0.5) / (self.yes + self.no + 1)
-        self.blank_score = (sum(blank) + self.share) / (len(blank) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(frequency[some])], names=["term", "n"])
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
-        length = math.sqrt(sum(w * w for w in raw.values())) or 1.0
-        return {t: w / length for t, w in raw.items()}
+        rows = docs.select(self.text).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row per known term
+        out = np.zeros(len(known) + 1, dtype=np.int64)
+        out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
+        return out[:-1], int(out[-1])
 
-    def judge(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        """The score, and the examples it rests on with their cosines."""
-        if not counts or not self.ids:
-            return self.blank_score, [], []
-        near, cosine = self.index.nearest(self.vector(counts), self.k)
-        weight = cosine**2 / (0.05 + np.maximum(0.0, 1 - cosine))
-        votes = np.array([self.votes[k] for k in near])
-        return float((weight @ votes + self.pull * self.share) / (weight.sum() + self.pull)), near.tolist(), cosine.tolist()
+    def _calibrate(self, found: DataFrame) -> None:
+        shared = found.sparkSession.sparkContext.broadcast(self.model)
+
+        def run(batches):
+            model = shared.value
+            words = Vocabulary(model.known)
+            for batch in batches:
+                rows = [(words.count(t), bool(label)) for t, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True)]
+                counts, labels = [c for c, _ in rows if len(c[0])], [label for c, label in rows if len(c[0])]
+                if counts:
+                    yield pa.RecordBatch.from_arrays([pa.array(model.left_out(counts, labels)), pa.array(labels)], names=["vote", "label"])
+
+        rows = found.mapInArrow(run, "vote double, label boolean").toArrow()  # one row per example
+        votes, labels = rows.column("vote").to_numpy(), np.array(rows.column("label").to_pylist(), dtype=bool)
+        order = np.lexsort((labels, votes))  # sums in one order
+        self.model.curve = calibrated(votes[order], labels[order])
 
     def score(self, docs: DataFrame, evidence: int = 3) -> DataFrame:
         """One row per row: id, score, evidence (ids of the nearest examples, as text, with their cosines)."""
         rows = self._rows(docs)
         kind = rows.schema["id"].dataType.simpleString()
-        model = self
+        shared = self.shared
 
         def run(batches):
-            words, judge = Vocabulary(model.chosen), remembered(model.judge)
+            model = shared.value
+            words = Vocabulary(model.known)
             shape = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64())]))
             for batch in batches:
-                judged = [judge(words.count(text)) for text in batch.column("text").to_pylist()]
-                shown = [[{"example": str(model.ids[k]), "cosine": c} for k, c in zip(near[:evidence], cosine[:evidence], strict=True)] for _, near, cosine in judged]
+                judged = _judged(model, words, batch.column("text").to_pylist())
+                shown = [[{"example": model.ids[k], "cosine": c} for k, c in zip(near[:evidence].tolist(), cosine[:evidence].tolist(), strict=True)] for _, near, cosine in judged]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([j[0] for j in judged], pa.float64()), pa.array(shown, shape)], names=["id", "score", "evidence"])
 
         return rows.mapInArrow(run, f"id {kind}, score double, evidence array<struct<example:string,cosine:double>>")
 
     def keep(self, docs: DataFrame, least: float = 0.7) -> DataFrame:
         """The rows whose score is below least, with the columns of docs; nothing is shuffled."""
-        model, place = self, docs.columns.index(self.text)
+        shared, place = self.shared, docs.columns.index(self.text)
 
         def run(batches):
-            words, judge = Vocabulary(model.chosen), remembered(model.judge)
+            words = Vocabulary(shared.value.known)
             for batch in batches:
-                yield batch.filter(pa.array([judge(words.count(text))[0] < least for text in batch.column(place).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([score < least for score, *_ in _judged(shared.value, words, batch.column(place).to_pylist())], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
+
+
+def _all_terms(batches):
+    for batch in batches:
+        found = [counted(text) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "label", "terms", "n"])

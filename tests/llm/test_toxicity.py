@@ -5,7 +5,7 @@ import numpy as np
 from frames import awkward, awkward_rows, empty
 from pyspark.sql import functions as F
 
-from marlstone.llm.toxicity import BlockMaxIndex, Toxicity, terms
+from marlstone.llm.toxicity import BlockMaxIndex, Toxicity, Vocabulary, terms
 
 
 def test_index_is_brute_force():
@@ -60,3 +60,53 @@ def test_without_labels(spark):
     one = spark.createDataFrame([(3, 0), (4, 0)], "doc_id long, toxic int")
     assert all(r["score"] < 0.5 for r in Toxicity().fit(docs, one).score(docs).collect())
     assert Toxicity().fit(empty(spark), labels).score(empty(spark)).count() == 0
+
+
+def dense(model, texts):
+    """Scores of counted texts by all cosines with all examples, and the number of known terms of each."""
+    index = model.index
+    vectors = np.zeros((index.n, len(model.known)))
+    rows, columns, weights = index.common
+    vectors[rows, np.flatnonzero(index.column >= 0)[columns]] = weights
+    own = np.repeat(np.arange(len(model.known)), np.diff(np.concatenate((index.begins[index.entries[:-1]], [len(index.rows)]))))
+    vectors[index.rows, own] = index.weights
+    assert np.allclose(np.linalg.norm(vectors, axis=1), 1)
+    out = []
+    for t, n in texts:
+        raw = (1 + np.log(n)) * model.weight[t]
+        cosine = vectors[:, t] @ (raw / (np.linalg.norm(raw) or 1))
+        near = sorted(np.flatnonzero(cosine > 1e-15), key=lambda k: (-round(cosine[k], 12), k))[: model.k]
+        out.append(model.chance(model.vote(cosine[near], model.votes[near])) if len(t) else model.blank_score)
+    return out
+
+
+def test_scores_are_those_of_all_cosines(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fitted = Toxicity().fit(docs, labels)
+    rows = fitted.score(docs).join(docs.withColumnRenamed("doc_id", "id"), "id").collect()
+    words = Vocabulary(fitted.model.known)
+    want = dense(fitted.model, [words.count(r["text"]) for r in rows])
+    assert np.allclose([r["score"] for r in rows], want, atol=1e-7)
+    assert len({r["score"] for r in rows if r["text"].strip()}) > 0.8 * len({r["text"] for r in rows})  # no constant
+
+
+def test_no_word_is_left_out(spark):
+    """Texts without blanks, and terms that one example alone has."""
+    rng = random.Random(8)
+    own = lambda k: f"{k:02}".translate(str.maketrans("0123456789", "qrstuvwxyz"))
+    rows = [(k, rng.choice(["ab", "cd"]) * 40 + ("x" * 200 + "y" if k % 3 == 0 else "") + " " + own(k), None) for k in range(60)]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+    fitted = Toxicity().fit(awkward(spark, rows), labels)
+    got = {r["id"]: r for r in fitted.score(awkward(spark, rows), evidence=1).collect()}
+    assert all(got[k]["evidence"][0]["example"] == str(k) and abs(got[k]["evidence"][0]["cosine"] - 1) < 1e-9 for k in range(60) if k % 3 == 0)
+    assert all((r["score"] > 0.5) == (k % 3 == 0) for k, r in got.items())
+
+
+def test_recall_by_its_method(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    got = Toxicity().fit(docs, labels, ~held).score(docs.join(labels.where(held).select("doc_id"), "doc_id", "left_semi")).join(labels, F.col("id") == F.col("doc_id")).collect()
+    clean, toxic = [r["score"] for r in got if r["toxic"] == 0], [r["score"] for r in got if r["toxic"] == 1]
+    assert sum(s >= 0.7 for s in toxic) >= 0.9 * len(toxic) and sum(s >= 0.7 for s in clean) <= 0.01 * len(clean)
+    # calibrated: the mean score is the share of label 1
+    assert abs(sum(clean + toxic) / len(got) - len(toxic) / len(got)) < 0.03
