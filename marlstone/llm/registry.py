@@ -89,7 +89,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     held = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 3 == 1, F.lit(False))
-    model = Toxicity().fit(docs, _read(spark, sf_dir, "labels"), ~held("doc_id"))
+    model = Toxicity().fit(docs, _read(spark, sf_dir, "labels"), ~held("doc_id"), hold=True)
     return model.score(docs).select(F.col("id").alias("doc_id"), held("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 

@@ -52,8 +52,10 @@ TOGETHER = 128
 
 def terms(word: str) -> list[str]:
     """A word's terms: each run of letters (marked by a bar) and its beginnings."""
+    if word.isalpha() and len(word) > STEMS[-1]:
+        return [word + "|", *[word[:n] for n in STEMS]]
     out = []
-    for w in (word,) if word.isalpha() else _LETTERS.findall(word):
+    for w in _LETTERS.findall(word):
         out.append(w + "|")
         out += [w[:n] for n in STEMS if len(w) > n]
     return out
@@ -71,12 +73,12 @@ def counted(text: str | None) -> dict[str, int]:
 class _Places(dict):
     """The places of each word's known terms, found once."""
 
-    def __init__(self, place: dict[str, int]):
+    def __init__(self, known: list[str]):
         super().__init__()
-        self.place = place
+        self.place = {t: k for k, t in enumerate(known)}.get
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(k for t in terms(word) if (k := self.place.get(t)) is not None)
+        found = tuple([k for k in map(self.place, terms(word)) if k is not None])
         if len(self) >= MEMORY:
             self.clear()
         if len(word) < 100:  # longer ones are looked up anew
@@ -88,11 +90,11 @@ class Vocabulary:
     """Counts the known terms of texts by their places."""
 
     def __init__(self, known: list[str]):
-        self.words = _Places({t: k for k, t in enumerate(known)})
+        self.words = _Places(known)
 
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The places of a text's terms, in order, and how often each stands there."""
-        found = chain.from_iterable(map(self.words.__getitem__, (text or "").lower().split()))
+        found = chain.from_iterable(map(self.words.__getitem__, _LETTERS.findall((text or "").lower())))
         return np.unique(np.fromiter(found, dtype=np.int64), return_counts=True)
 
 
@@ -114,8 +116,8 @@ class BlockMaxIndex:
         rows = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         own = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]).astype(np.int32)
         weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
-        #: Terms in a sixteenth of all rows have a list that is nearly whole: these are columns of a matrix.
-        dense = np.bincount(own, minlength=n_terms) > max(self.n // 16, 8)
+        #: Terms in a twentieth of all rows have a list that is nearly whole: these are columns of a matrix.
+        dense = np.bincount(own, minlength=n_terms) > max(self.n // 20, 8)
         self.column = np.where(dense, np.cumsum(dense) - 1, -1)
         self.common = dense[own].nonzero()[0]
         self.common = rows[self.common], self.column[own[self.common]], weights[self.common]
@@ -134,9 +136,6 @@ class BlockMaxIndex:
         self.entries = np.searchsorted(own[at], np.arange(n_terms + 1))
         self._matrix = None
 
-    def __getstate__(self):
-        return self.__dict__ | {"_matrix": None}  # tasks build it from the lists
-
     @property
     def matrix(self) -> np.ndarray:
         """Weights of the common terms, by column and row; the rows of a block are padded to its size."""
@@ -219,21 +218,34 @@ class Model:
     """What tasks need to score texts: the known terms, their weights, the index and the examples' labels and ids."""
 
     def __init__(self, known: list[str], weight: np.ndarray, examples: list[tuple[Counts, bool, str]], k: int, pull: float):
-        self.known, self.weight, self.k, self.pull = known, weight, k, pull
+        self.known, self.weight, self.k, self.pull, self._index = known, weight, k, pull, None
         # like ones share blocks: by their most frequent terms (those of least weight), then by all, then by label
         rank = np.empty(len(weight), dtype=np.int64)
         rank[np.argsort(weight, kind="stable")] = np.arange(len(weight))
         some = sorted(((sorted(rank[t].tolist()), n[np.argsort(rank[t])].tolist(), label, i, (t, n)) for (t, n), label, i in examples if len(t)), key=lambda e: e[:3])
         self.votes, self.ids = np.array([e[2] for e in some], dtype=bool), [e[3] for e in some]
-        self.index = BlockMaxIndex([(e[4][0], self.vector(e[4])) for e in some], len(known))
+        shortest = lambda parts, kind: np.concatenate([np.zeros(0, np.int64), *parts]).astype(kind)
+        self.lists = [len(e[4][0]) for e in some], shortest((e[4][0] for e in some), np.int32), shortest((e[4][1] for e in some), np.uint16)
         blank = [label for (t, _), label, _ in examples if not len(t)]
         self.share = (sum(label for _, label, _ in examples) + 0.5) / (len(examples) + 1)
         self.blank_score = (sum(blank) + self.share) / (len(blank) + 1)
         self.curve = (1.0, 0.0)
 
+    def __getstate__(self):
+        return self.__dict__ | {"_index": None}  # each worker builds it once from the counts, which are a fraction of its size
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self._index is None:
+            sizes, t, n = self.lists
+            ends = np.cumsum(sizes, dtype=np.int64)
+            rows = [(t[b - s : b].astype(np.int64), n[b - s : b]) for s, b in zip(sizes, ends, strict=True)]
+            self._index = BlockMaxIndex([(c[0], self.vector(c)) for c in rows], len(self.known))
+        return self._index
+
     def vector(self, counts: Counts) -> np.ndarray:
         """The weights of counted terms, of length 1."""
-        raw = (1 + np.log(counts[1])) * self.weight[counts[0]]
+        raw = (1 + np.log(counts[1].astype(np.float64))) * self.weight[counts[0]]
         return raw / (np.sqrt(raw @ raw) or 1.0)
 
     def vote(self, cosine: np.ndarray, labels: np.ndarray) -> float:
@@ -277,17 +289,24 @@ def _judged(model: Model, words: Vocabulary, texts: list[str | None]) -> list[tu
     return [known[t] for t in texts]
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column without nulls."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 class Toxicity:
     """fit() learns from labelled rows; score() gives every row a score and its evidence."""
 
-    def __init__(self, text: str = "text", key: str = "doc_id", label: str = "toxic", examples: int = 5_000, sure: float = 1.5, boost: float = 2.0, k: int = 16, pull: float = 0.1):
+    def __init__(self, text: str = "text", key: str = "doc_id", label: str = "toxic", examples: int = 2_500, sure: float = 1.5, boost: float = 2.0, k: int = 16, pull: float = 0.1):
         self.text, self.key, self.label = text, key, label
         self.examples, self.sure, self.boost, self.k, self.pull = examples, sure, boost, k, pull
 
     def _rows(self, docs: DataFrame) -> DataFrame:
         return docs.select(F.col(self.key).alias("id"), F.col(self.text).alias("text"))
 
-    def fit(self, docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> Toxicity:
+    def fit(self, docs: DataFrame, labels: DataFrame, usable: Column | None = None, hold: bool = False) -> Toxicity:
+        """hold: the terms of docs are written down, so that score() of the same frame need not count them again."""
         known = labels.where(F.col(self.label).isNotNull() & F.col(self.key).isNotNull() & (F.lit(True) if usable is None else usable))
         known = known.groupBy(F.col(self.key).alias("id")).agg((F.max(self.label) > 0).alias("label"))
         # at most `examples` narrow rows: a proven bound for the broadcast
@@ -305,6 +324,7 @@ class Toxicity:
         place[order] = np.arange(len(known))
         known, own = [known[k] for k in order], place[own] if len(own) else np.zeros(0, np.int64)
         marks = np.array(counted.column("label").to_pylist(), dtype=bool)
+        self.held = (docs, self._counts(docs, known)) if hold else None
         frequency, total = self._frequencies(docs, known)
         by_label = [np.bincount(own[np.repeat(marks == want, sizes)], minlength=len(known)) if len(own) else np.zeros(len(known)) for want in (True, False)]
         weight = np.log((total + 1) / (frequency + 0.5))
@@ -313,32 +333,51 @@ class Toxicity:
         ends = np.cumsum(sizes)
         counts = [(own[b - s : b], n[b - s : b]) for s, b in zip(sizes, ends, strict=True)]
         self.model = Model(known, weight, list(zip(counts, marks.tolist(), counted.column("id").to_pylist(), strict=True)), self.k, self.pull)
-        self._calibrate(found)
         self.shared = docs.sparkSession.sparkContext.broadcast(self.model)  # its size is that of at most `examples` texts
+        self._calibrate(found)
         return self
 
+    def _counts(self, docs: DataFrame, known: list[str]) -> DataFrame:
+        """id, and places and counts of each row's terms."""
+        rows = self._rows(docs)
+        kind = rows.schema["id"].dataType.simpleString()
+        shared = docs.sparkSession.sparkContext.broadcast(known)
+
+        def run(batches):
+            words = Vocabulary(shared.value)
+            for batch in batches:
+                found = [words.count(text) for text in batch.column("text").to_pylist()]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(t) for t, _ in found]))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int32))) for part in zip(*found, strict=True)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "terms", "n"])
+
+        return written(rows.mapInArrow(run, f"id {kind}, terms array<int>, n array<int>"))
+
     def _frequencies(self, docs: DataFrame, known: list[str]) -> tuple[np.ndarray, int]:
         """In how many documents each known term stands, and the number of documents."""
+        counted, size = self.held is not None, len(known)
         shared = docs.sparkSession.sparkContext.broadcast(known)
 
         def run(batches):
-            words, frequency, n = Vocabulary(shared.value), np.zeros(len(shared.value) + 1, dtype=np.int64), 0
+            words, frequency, n = None if counted else Vocabulary(shared.value), np.zeros(size + 1, dtype=np.int64), 0
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    frequency[words.count(text)[0]] += 1
-                    n += 1
+                found = _lists(batch.column(0)) if counted else [words.count(text)[0] for text in batch.column(0).to_pylist()]
+                frequency += np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=size + 1)
+                n += len(found)
             frequency[-1] = n
             some = np.flatnonzero(frequency)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(frequency[some])], names=["term", "n"])
 
-        rows = docs.select(self.text).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row per known term
-        out = np.zeros(len(known) + 1, dtype=np.int64)
+        rows = self.held[1].select("terms") if counted else docs.select(self.text)
+        rows = rows.mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # one row per known term
+        out = np.zeros(size + 1, dtype=np.int64)
         out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
         return out[:-1], int(out[-1])
 
     def _calibrate(self, found: DataFrame) -> None:
-        shared = found.sparkSession.sparkContext.broadcast(self.model)
+        shared = self.shared
 
         def run(batches):
             model = shared.value
@@ -356,16 +395,21 @@ class Toxicity:
 
     def score(self, docs: DataFrame, evidence: int = 3) -> DataFrame:
         """One row per row: id, score, evidence (ids of the nearest examples, as text, with their cosines)."""
-        rows = self._rows(docs)
+        held = self.held is not None and self.held[0] is docs
+        rows = self.held[1] if held else self._rows(docs)
         kind = rows.schema["id"].dataType.simpleString()
-        shared = self.shared
+        shared, curve = self.shared, self.model.curve
 
         def run(batches):
             model = shared.value
-            words = Vocabulary(model.known)
+            model.curve = curve
+            words = None if held else Vocabulary(model.known)
             shape = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64())]))
             for batch in batches:
-                judged = _judged(model, words, batch.column("text").to_pylist())
+                if held:
+                    judged = model.judge(list(zip(_lists(batch.column("terms")), _lists(batch.column("n")), strict=True)))
+                else:
+                    judged = _judged(model, words, batch.column("text").to_pylist())
                 shown = [[{"example": model.ids[k], "cosine": c} for k, c in zip(near[:evidence].tolist(), cosine[:evidence].tolist(), strict=True)] for _, near, cosine in judged]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([j[0] for j in judged], pa.float64()), pa.array(shown, shape)], names=["id", "score", "evidence"])
 
@@ -373,12 +417,14 @@ class Toxicity:
 
     def keep(self, docs: DataFrame, least: float = 0.7) -> DataFrame:
         """The rows whose score is below least, with the columns of docs; nothing is shuffled."""
-        shared, place = self.shared, docs.columns.index(self.text)
+        shared, curve, place = self.shared, self.model.curve, docs.columns.index(self.text)
 
         def run(batches):
-            words = Vocabulary(shared.value.known)
+            model = shared.value
+            model.curve = curve
+            words = Vocabulary(model.known)
             for batch in batches:
-                yield batch.filter(pa.array([score < least for score, *_ in _judged(shared.value, words, batch.column(place).to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([score < least for score, *_ in _judged(model, words, batch.column(place).to_pylist())], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
 
