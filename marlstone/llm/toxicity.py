@@ -45,7 +45,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of words that are terms.
 STEMS = (4, 5)
 #: Words whose terms are remembered.
-MEMORY = 100_000
+MEMORY = 300_000
 #: Texts that are scored together.
 TOGETHER = 128
 
@@ -95,7 +95,10 @@ class Vocabulary:
     def count(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The places of a text's terms, in order, and how often each stands there."""
         found = chain.from_iterable(map(self.words.__getitem__, _LETTERS.findall((text or "").lower())))
-        return np.unique(np.fromiter(found, dtype=np.int64), return_counts=True)
+        places = np.fromiter(found, dtype=np.int64)
+        places.sort()
+        new = np.flatnonzero(np.concatenate((places[:1] == places[:1], places[1:] != places[:-1])))
+        return places[new], np.diff(new, append=len(places))
 
 
 def _ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -289,10 +292,12 @@ def _judged(model: Model, words: Vocabulary, texts: list[str | None]) -> list[tu
     return [known[t] for t in texts]
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The lists of a column without nulls."""
-    offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+#: How places and counts are written down: as the bytes of arrays.
+_PLACES, _COUNTS = "<i4", "<u4"
+
+
+def _arrays(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
 
 
 class Toxicity:
@@ -346,13 +351,13 @@ class Toxicity:
         def run(batches):
             words = Vocabulary(shared.value)
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 found = [words.count(text) for text in batch.column("text").to_pylist()]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(t) for t, _ in found]))).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int32))) for part in zip(*found, strict=True)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), *lists], names=["id", "terms", "n"])
+                bytes_of = [pa.array([x.astype(kind).tobytes() for x in part], pa.binary()) for part, kind in zip(zip(*found, strict=True), (_PLACES, _COUNTS), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *bytes_of], names=["id", "terms", "n"])
 
-        return written(rows.mapInArrow(run, f"id {kind}, terms array<int>, n array<int>"))
+        return written(rows.mapInArrow(run, f"id {kind}, terms binary, n binary"))
 
     def _frequencies(self, docs: DataFrame, known: list[str]) -> tuple[np.ndarray, int]:
         """In how many documents each known term stands, and the number of documents."""
@@ -362,7 +367,7 @@ class Toxicity:
         def run(batches):
             words, frequency, n = None if counted else Vocabulary(shared.value), np.zeros(size + 1, dtype=np.int64), 0
             for batch in batches:
-                found = _lists(batch.column(0)) if counted else [words.count(text)[0] for text in batch.column(0).to_pylist()]
+                found = _arrays(batch.column(0), _PLACES) if counted else [words.count(text)[0] for text in batch.column(0).to_pylist()]
                 frequency += np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=size + 1)
                 n += len(found)
             frequency[-1] = n
@@ -407,7 +412,7 @@ class Toxicity:
             shape = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64())]))
             for batch in batches:
                 if held:
-                    judged = model.judge(list(zip(_lists(batch.column("terms")), _lists(batch.column("n")), strict=True)))
+                    judged = model.judge(list(zip(_arrays(batch.column("terms"), _PLACES), _arrays(batch.column("n"), _COUNTS), strict=True)))
                 else:
                     judged = _judged(model, words, batch.column("text").to_pylist())
                 shown = [[{"example": model.ids[k], "cosine": c} for k, c in zip(near[:evidence].tolist(), cosine[:evidence].tolist(), strict=True)] for _, near, cosine in judged]
