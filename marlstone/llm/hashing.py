@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _random = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _random.integers(0, 2**64, 256, dtype=np.uint64)
-_BASE, _LEFT, _RIGHT, _ALONE = (int(x) | 1 for x in _random.integers(0, 2**64, 4, dtype=np.uint64))
-#: Bytes that are hashed at once; a word is never cut.
-CHUNK = 1 << 20
+_LEFT, _RIGHT, _ALONE = (int(x) | 1 for x in _random.integers(0, 2**64, 3, dtype=np.uint64))
+#: Words whose digests are remembered.
+MEMORY = 200_000
+
+
+def digest(words: bytes) -> bytes:
+    """128 bits that no two different strings are known to share."""
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+class _Digests(dict):
+    def __missing__(self, word: bytes) -> bytes:
+        found = digest(word)
+        if len(self) >= MEMORY:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+_known = _Digests()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -24,24 +41,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_FORWARD = _powers(_BASE, CHUNK)
-_BACK = _powers(pow(_BASE, -1, 2**64), CHUNK)
-
-
 @dataclass
 class Words:
-    """Words of several texts: the bytes they lie in, where each starts and ends, its hash, and each text's first word."""
+    """Words of several texts: all of them with one space between, where each starts and ends there, the halves of its digest, and each text's first word."""
 
     data: bytes
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
+    others: np.ndarray
     firsts: np.ndarray  # one more than texts: the last is the number of words
 
     def of(self, k: int) -> slice:
@@ -49,40 +57,27 @@ class Words:
 
     def joined(self, a: int, b: int) -> bytes:
         """Words a to b (exclusive) with one space between."""
-        return b" ".join(self.data[self.starts[a] : self.ends[b - 1]].split()) if b > a else b""
+        return self.data[self.starts[a] : self.ends[b - 1]] if b > a else b""
 
 
 def words_of(texts: list[bytes]) -> Words:
-    """Splits at the six blanks of ASCII. Equal words have equal hashes; others differ but for a chance of about 2^-64."""
-    data = b" ".join([*texts, b""])
-    raw = np.frombuffer(data, dtype=np.uint8)
-    blank = _BLANK[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True]))))
-    starts, ends = edge[::2], edge[1::2]
-    hashes = np.empty(len(starts), dtype=np.uint64)
-    k = 0
-    while k < len(starts):
-        low = starts[k]
-        to = max(k + 1, int(np.searchsorted(ends, low + CHUNK, side="right")))
-        n = int(ends[to - 1] - low)
-        forward, back = (_FORWARD, _BACK) if n <= CHUNK else (_powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n))
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[raw[low : low + n]] * forward[:n], out=total[1:])
-        s, e = starts[k:to] - low, ends[k:to] - low
-        hashes[k:to] = (total[e] - total[s]) * back[s]
-        k = to
-    sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
-    firsts = np.searchsorted(starts, np.concatenate(([0], np.cumsum(sizes))))
-    return Words(data, starts, ends, mix(hashes), firsts)
-
-
-def shingles(ws: Words, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's runs of size words, repeats and all, and each text's first one.
+    """Splits at the six blanks of ASCII."""
+    split = [t.split() for t in texts]
+    words = list(chain.from_iterable(split))
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    halves = np.frombuffer(b"".join(map(_known.__getitem__, words)), dtype="<u8").reshape(-1, 2)
+    firsts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))))
+    return Words(b" ".join(words), ends - sizes, ends, np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1]), firsts)
+
+
+def shingles(ws: Words, size: int = 2, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's runs of size words, repeats and all, and each text's first one, from either half of the words' digests.
 
     A text of fewer words has one run, all of its words; one without words has none.
     """
     n = np.diff(ws.firsts)
-    h = ws.hashes
+    h = ws.hashes if hashes is None else hashes
     runs = np.zeros(max(0, len(h) - size + 1), dtype=np.uint64)
     for k in range(size):
         part = h[k : len(h) - size + 1 + k]
@@ -108,3 +103,11 @@ def shingles(ws: Words, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
                 whole = whole * np.uint64(_RIGHT) + x
             out[firsts[k]] = mix(whole)[0]
     return out, firsts
+
+
+def shingle_set(text: bytes, size: int) -> set[bytes]:
+    """The distinct runs of size words themselves; of a text of fewer words, all of them as one."""
+    ws = text.split()
+    if len(ws) < size:
+        return {b" ".join(ws)} if ws else set()
+    return set(map(b" ".join, zip(*(ws[k:] for k in range(size)))))  # noqa: B905  the shortest ends it

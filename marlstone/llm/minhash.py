@@ -1,25 +1,30 @@
 """Near-duplicates by b-bit MinHash.
 
-1. Each document's distinct shingles give 96 minima. Documents of equal sets are
-   one class (a 128-bit digest of the sorted set); only classes go on, so a
-   group of copies costs one row.
-2. 24 bands of 4 minima each name a bucket. In every bucket, each class meets
-   three centres (the least by three hashes of the class, so that one family
-   mostly has the same ones): pairs grow with the rows, not with their square.
-3. The low 2 bits of the minima, packed into three longs, estimate each pair's
+1. Each document's distinct shingles give 352 minima. Documents of equal sets are
+   one class (a digest of both halves of the shingles' 128-bit hashes); only
+   classes go on, so a group of copies costs one row.
+2. 48 bands of 7 minima each name a bucket; buckets with one class go. In every
+   bucket, each class meets three centres (the least by three hashes of the
+   class, so that one family mostly has the same ones): pairs grow with the rows,
+   not with their square.
+3. The low 2 bits of the minima, packed into eleven longs, estimate each pair's
    similarity from the number of equal lanes, corrected for chance (a quarter
    of unequal minima agree). Pairs below the threshold by over six standard
    errors go.
-4. What is left is confirmed on the full sets of both texts; components follow.
+4. What is left is confirmed on the full sets of both texts, by the words
+   themselves and not by their hashes; components follow.
 5. The exact rest: all classes that share a bucket with its first centre are
    around it, like it or not. Where they still fall into several components,
    those outside the most frequent one are a query set that is held against all
    of them in blocks of bounded size, first by their estimates (as in 3), and
    what may be linked with a class of another component then on full sets. It
    reports one link per query and component, so no family is written out as pairs.
+   The bands are steep: of a family that shares half of its shingles (a
+   template), one in twenty-five shares a given bucket with the template, and its
+   estimates are eight standard errors below a link, so texts don't travel.
 6. Components by alternating stars.
 
-Two sets at 0.8 share no band with a chance of 3e-6. Null, empty and blank texts
+Two sets at 0.8 share no band with a chance of 1.3e-5. Null, empty and blank texts
 have an empty set and are linked with nothing. Repeated rows share a class.
 Null ids don't count as least; a component of null ids alone has a null id. An
 empty table gives no rows.
@@ -27,7 +32,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections import OrderedDict
 
 import numpy as np
@@ -36,14 +40,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.hashing import mix, shingles, words_of
-from marlstone.llm.store import written
+from marlstone.llm.hashing import digest, mix, shingle_set, shingles, words_of
+from marlstone.llm.store import drop, written
 
-BANDS, ROWS, BITS = 24, 4, 2
-HASHES = BANDS * ROWS
-#: Six standard errors of the estimate at 0.8.
-SLACK = 0.3
+BANDS, ROWS, BITS = 48, 7, 2
+#: Minima: those of the bands, and more to fill whole longs.
+HASHES = 352
 CENTRES = 3
+#: Shingles of the sets that a task remembers while it confirms pairs.
+MEMORY = 500_000
 #: Sets of one block of queries, and rows that a cell streams past them.
 BLOCK_QUERIES, BLOCK_ROWS = 256, 512
 _LANES = 64 // BITS
@@ -62,9 +67,8 @@ def minima(values: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     for k in range(HASHES):
         np.multiply(values, _A[k], out=work)
         work += _B[k]
-        work >>= np.uint64(32)
         out[:, k] = np.minimum.reduceat(work, firsts[:-1])
-    return out
+    return out >> np.uint64(32)
 
 
 def signatures(low: np.ndarray) -> np.ndarray:
@@ -74,7 +78,7 @@ def signatures(low: np.ndarray) -> np.ndarray:
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    return mix((low.reshape(len(low), BANDS, ROWS) * _ROW).sum(axis=2, dtype=np.uint64) + _BAND).view(np.int64)
+    return mix((low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS) * _ROW).sum(axis=2, dtype=np.uint64) + _BAND).view(np.int64)
 
 
 def estimated(a: str, b: str) -> Column:
@@ -87,6 +91,17 @@ def estimated(a: str, b: str) -> Column:
     return (1 - unequal / HASHES - chance) / (1 - chance)
 
 
+def slack(percent: int) -> float:
+    """Six standard errors of an estimate of percent / 100."""
+    equal = percent / 100 + (1 - percent / 100) * 0.5**BITS
+    return 6 * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - 0.5**BITS)
+
+
+def _linked(a: set[bytes], b: set[bytes], percent: int) -> bool:
+    both = len(a & b)
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _sets(texts: list[str | None], size: int):
     """Sorted distinct shingles of each text."""
     values, firsts = shingles(words_of([(t or "").encode().lower() for t in texts]), size)
@@ -119,48 +134,52 @@ class NearDedup:
                     at = to
 
         def sketched(own, texts):
-            sets = _sets(texts, size)
-            n = np.array([len(s) for s in sets])
+            ws = words_of([(t or "").encode().lower() for t in texts])
+            (values, firsts), (others, _) = shingles(ws, size), shingles(ws, size, ws.others)
+            sets, halves = ([np.unique(x[a:b]) for a, b in zip(firsts[:-1], firsts[1:], strict=True)] for x in (values, others))
+            n = np.array([max(len(s), len(o)) for s, o in zip(sets, halves, strict=True)])
             full = np.flatnonzero(n)
             names, sigs, keys = [None] * len(sets), np.zeros((len(sets), _LONGS), dtype=np.int64), [None] * len(sets)
             if len(full):
-                low = minima(np.concatenate([sets[k] for k in full]), np.concatenate(([0], np.cumsum(n[full]))))
+                low = minima(np.concatenate([sets[k] for k in full]), np.concatenate(([0], np.cumsum([len(sets[k]) for k in full]))))
                 sigs[full] = signatures(low)
                 for k, row in zip(full, band_keys(low), strict=True):
-                    names[k], keys[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), row
+                    names[k], keys[k] = digest(sets[k].tobytes() + halves[k].tobytes()), row
             return pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), pa.array(names, pa.binary()), *(pa.array(sigs[:, k]) for k in range(_LONGS)), pa.array(keys, pa.list_(pa.int64()))], names=["id", "body", "n_shingles", "class", *longs, "bands"])
 
         return rows.mapInArrow(run, f"id {kind}, body bigint, n_shingles bigint, class binary, {', '.join(f'{c} bigint' for c in longs)}, bands array<bigint>")
 
     def _confirm(self, pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-        """pairs: u, v. Those whose full sets are similar enough."""
+        """pairs: u, v, a written table. Those whose full sets are similar enough."""
         size, percent = self.size, self.percent
-        pairs = written(pairs)
         texts = self._texts(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), nodes, docs)
         left = texts.select(F.col("node").alias("u"), F.col("text").alias("text_u"))
         right = texts.select(F.col("node").alias("v"), F.col("text").alias("text_v"))
         met = pairs.join(left, "u").join(right, "v").select("u", "v", "text_u", "text_v")
 
         def run(batches):
-            known: OrderedDict[str, np.ndarray] = OrderedDict()
+            known: OrderedDict[str, set[bytes]] = OrderedDict()
+            held = 0
 
             def set_of(text):
+                nonlocal held
                 if text not in known:
-                    known[text] = _sets([text], size)[0]
-                    while len(known) > 64:
-                        known.popitem(last=False)
+                    known[text] = shingle_set(text.encode().lower(), size)
+                    held += len(known[text])
+                    while held > MEMORY and len(known) > 2:
+                        held -= len(known.popitem(last=False)[1])
                 known.move_to_end(text)
                 return known[text]
 
             for batch in batches:
                 yes = []
                 for a, b in zip(batch.column("text_u").to_pylist(), batch.column("text_v").to_pylist(), strict=True):
-                    x, y = set_of(a), set_of(b)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    yes.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                    yes.append(_linked(set_of(a), set_of(b), percent))
                 yield batch.select(["u", "v"]).filter(pa.array(yes, pa.bool_()))
 
-        return written(met.mapInArrow(run, "u bigint, v bigint").distinct())
+        out = written(met.mapInArrow(run, "u bigint, v bigint").distinct())
+        drop(texts, pairs)
+        return out
 
     def links(self, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The sketches, the nodes (node, class, id: the least of the class) and the components of nodes (u, v)."""
@@ -168,27 +187,32 @@ class NearDedup:
         longs = [f"s{k}" for k in range(_LONGS)]
         named = sketches.where("class IS NOT NULL")
         classes = named.groupBy("class").agg(F.min("id").alias("id"), *(F.min(c).alias(c) for c in longs)).withColumn("node", F.monotonically_increasing_id())
-        nodes = written(classes)  # from here on node numbers are data
-        first = named.select("class", F.struct("id").alias("who"), "body", "bands").join(nodes.select("class", F.struct("id").alias("who"), "node"), ["class", "who"])
-        nodes = written(nodes.join(first.groupBy("node").agg(F.min("body").alias("body")), "node"))
+        named_nodes = written(classes)  # from here on node numbers are data
+        first = named.select("class", F.struct("id").alias("who"), "body", "bands").join(named_nodes.select("class", F.struct("id").alias("who"), "node"), ["class", "who"])
+        nodes = written(named_nodes.join(first.groupBy("node").agg(F.min("body").alias("body")), "node"))
         # rows of one id and class have one list of bands
-        members = written(first.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")))
+        every = written(first.dropDuplicates(["node"]).select("node", F.explode("bands").alias("bucket")))
+        shared = written(every.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
+        members = written(every.join(shared, "bucket"))
+        drop(named_nodes, every, shared)
         by = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")).alias(f"c{k}") for k in range(CENTRES)]
-        centre = members.groupBy("bucket").agg(*by, F.count("*").alias("n")).where("n > 1")
+        centre = members.groupBy("bucket").agg(*by)
         centre = centre.select("bucket", F.col("c0.node").alias("home"), F.array_distinct(F.array(*(F.col(f"c{k}.node") for k in range(CENTRES)))).alias("centres"))
         star = members.join(centre, "bucket").select("node", F.explode("centres").alias("centre"), "home").where("node <> centre")
         pairs = star.groupBy("node", "centre").agg(F.max(F.col("home") == F.col("centre")).alias("home"))
         signed = nodes.select("node", *longs)
         for side, name in (("a", "node"), ("b", "centre")):
             pairs = pairs.join(signed.select(F.col("node").alias(name), *(F.col(c).alias(f"{side}_{c[1:]}") for c in longs)), name)
-        met = written(pairs.select("node", "centre", "home", (estimated("a_", "b_") >= self.percent / 100 - SLACK).alias("near")).where("near OR home"))
-        close = met.where("near").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+        met = written(pairs.select("node", "centre", "home", (estimated("a_", "b_") >= self.percent / 100 - slack(self.percent)).alias("near")).where("near OR home"))
+        drop(members)
+        close = written(met.where("near").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct())
         parts = components(self._confirm(close, nodes, docs))
         around = met.where("home").select("node", "centre")
         around = around.unionByName(around.select(F.col("centre").alias("node"), "centre").distinct())
         rest = self._rest(around, nodes, parts, docs)
-        if rest.limit(1).count():
+        if not rest.isEmpty():
             parts = components(parts.unionByName(rest))
+        drop(met, rest)
         return sketches, nodes, parts
 
     def _texts(self, wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -217,13 +241,13 @@ class NearDedup:
         """rows: node, centre, part. Those whose estimate to one of another part around their centre may be a link."""
         longs = [f"s{k}" for k in range(_LONGS)]
         own = ["centre", "block", "salt", "role", "node", "part", *longs]
-        most = int(HASHES * (1 - 0.5**BITS) * (1 - (self.percent / 100 - SLACK)) + 1e-9)  # unequal lanes
+        most = int(HASHES * (1 - 0.5**BITS) * (1 - (self.percent / 100 - slack(self.percent))) + 1e-9)  # unequal lanes
 
         def judged(cell):
             asked, told = cell[cell[:, 3] == 0], cell[cell[:, 3] == 1]
             if not len(asked):
                 return []
-            unequal = np.zeros((len(asked), len(told)), dtype=np.uint8)
+            unequal = np.zeros((len(asked), len(told)), dtype=np.uint16)
             for k in range(6, 6 + _LONGS):
                 x = asked[:, k].view(np.uint64)[:, None] ^ told[:, k].view(np.uint64)[None]
                 unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
@@ -250,19 +274,20 @@ class NearDedup:
         size, percent = self.size, self.percent
         part = parts.select(F.col("u").alias("node"), F.col("v").alias("part"))
         rows = written(around.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
-        rows = written(self._alike(rows, nodes))
+        before, rows = rows, written(self._alike(rows, nodes))
+        drop(before)
         dealt = self._cells(rows, self._texts(rows.select("node").distinct(), nodes, docs))
 
         def run(batches):
             own, queries, index, seen = None, [], None, set()
             for batch in batches:
                 out = []
-                found = _sets(batch.column("text").to_pylist(), size)
-                for values, node, centre, p, role, block, salt in zip(found, *(batch.column(c).to_pylist() for c in ("node", "centre", "part", "role", "block", "salt")), strict=True):
+                texts = batch.column("text").to_pylist()
+                for text, values, node, centre, p, role, block, salt in zip(texts, _sets(texts, size), *(batch.column(c).to_pylist() for c in ("node", "centre", "part", "role", "block", "salt")), strict=True):
                     if (centre, block, salt) != own:
                         own, queries, index, seen = (centre, block, salt), [], None, set()
                     if role == 0:
-                        queries.append((node, p, values))
+                        queries.append((node, p, values, text))
                         continue
                     if index is None and queries:
                         owner = np.repeat(np.arange(len(queries)), [len(q[2]) for q in queries])
@@ -280,7 +305,7 @@ class NearDedup:
                     both = np.bincount(index[1][at], minlength=len(queries))
                     linked = (both > 0) & (100 * both >= percent * (len(values) + index[2] - both)) & (index[3] != p)
                     for k in np.flatnonzero(linked):
-                        if (k, p) not in seen:
+                        if (k, p) not in seen and _linked(*(shingle_set(t.encode().lower(), size) for t in (text, queries[k][3])), percent):
                             seen.add((k, p))
                             out.append((max(node, queries[k][0]), min(node, queries[k][0])))
                 if out:

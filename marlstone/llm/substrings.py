@@ -9,14 +9,21 @@ windows have equal minimisers, so all places of a window meet in one bucket.
    stands for that share of all mers. They become minimisers only where a
    window has no other, so that a passage in a third of all documents draws
    none of those documents' own words into its buckets.
-2. Each super-k-mer becomes a short row: bucket, a hash of its words, place.
-   Buckets with a single one hold no repeated window and go. Equal super-k-mers
-   are folded into one, on the map side first.
+2. Each super-k-mer becomes a short row: bucket, a digest of its words (blake2b,
+   128 bits), place. Buckets with a single one hold no repeated window and go.
+   Super-k-mers of equal words are folded into one, on the map side first.
 3. One of each, as a packed string, travels to its bucket. There its windows are
    sorted by a hash and compared by their words, so counts are exact.
+   A bucket of over ``SPLIT`` words is not held by one task: its windows become
+   rows of their own, counted by the digests of their words, on the map side
+   first, so that neither a hot minimiser nor a hot window gathers in a task.
 4. The repeated stretches go back to all places of the super-k-mers, and the
    words they cover are removed.
 
+Where only digests are compared, two different word sequences would have to
+share 128 bits of blake2b to be taken for one. Rows of one id are told apart by
+a 64-bit hash and the length of their texts.
+
 Windows are judged on the input. Null and short texts have no windows. Repeated
 rows are places of their own, so all their windows are repeated. Ids may be null
 or repeat with other texts. An empty table gives no rows.
@@ -31,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.hashing import Words, mix, words_of
-from marlstone.llm.store import written
+from marlstone.llm.hashing import Words, digest, mix, words_of
+from marlstone.llm.store import drop, written
 
 #: Words of a mer.
 MER = 6
 #: Most mers that are set back.
 HEAVY = 16_384
+#: Words of a bucket's different super-k-mers from which its windows are counted as rows.
+SPLIT = 200_000
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,12 +99,12 @@ def heavy_mers(texts: DataFrame) -> np.ndarray:
 
 
 def super_kmers(ws: Words, size: int, heavy: np.ndarray) -> tuple[np.ndarray, ...]:
-    """bucket, hash, text, first word in it, windows, and whether the minimiser stands in it twice; one entry per super-k-mer."""
+    """bucket, digests, text, first word in it, windows, and whether the minimiser stands in it twice; one entry per super-k-mer."""
     none = np.array([], dtype=np.int64)
     mers = _runs(ws.hashes, MER)
     good = _inside(ws, size)
     if not good.any():
-        return none, none, none, none, none, none.astype(bool)
+        return none, [], none, none, none, none.astype(bool)
     order = mers >> np.uint64(1)
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, mers), len(heavy) - 1)
@@ -114,21 +123,13 @@ def super_kmers(ws: Words, size: int, heavy: np.ndarray) -> tuple[np.ndarray, ..
     begin = np.concatenate(([0], np.cumsum(spans)))
     inner = np.arange(begin[-1]) - np.repeat(begin[:-1] - first, spans)
     twice = np.add.reduceat((order[inner] == np.repeat(least[first], spans)).astype(np.int64), begin[:-1]) > 1
-    # the words' hash, from sums of powers
-    power = np.full(len(ws.hashes) + 1, _TURN, dtype=np.uint64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    back = np.full(len(ws.hashes) + 1, pow(int(_TURN), -1, 2**64), dtype=np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(ws.hashes * power[:-1], dtype=np.uint64)))
-    body = mix((total[last + size] - total[first]) * back[first] + n.astype(np.uint64))
+    body = [digest(ws.data[a:b]) for a, b in zip(ws.starts[first].tolist(), ws.ends[last + size - 1].tolist(), strict=True)]
     text = np.searchsorted(ws.firsts, first, side="right") - 1
-    return least[first].view(np.int64), body.view(np.int64), text, first - ws.firsts[text], n, twice
+    return least[first].view(np.int64), body, text, first - ws.firsts[text], n, twice
 
 
-def repeated_stretches(size: int, rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, list[int]]]:
-    """rows: bucket, hash, places, packed words; whole buckets. Gives bucket, hash and flat (start, end) pairs of repeated windows."""
+def repeated_stretches(size: int, rows: list[tuple[int, bytes, int, bytes]]) -> Iterator[tuple[int, bytes, list[int]]]:
+    """rows: bucket, digest, places, packed words; whole buckets. Gives bucket, digest and flat (start, end) pairs of repeated windows."""
     ws = words_of([r[3] for r in rows])
     good = _inside(ws, size)
     at = np.flatnonzero(good)
@@ -160,7 +161,7 @@ def repeated_stretches(size: int, rows: list[tuple[int, int, int, bytes]]) -> It
     cut = np.flatnonzero(np.diff(text)) + 1  # stretches end with their string
     out: dict[int, list[int]] = {}
     for a, z in zip(edge[::2], edge[1::2], strict=True):
-        inner = cut[(cut > a) & (cut < z)] if len(cut) else cut
+        inner = cut[np.searchsorted(cut, a, side="right") : np.searchsorted(cut, z)]
         for low, high in zip([a, *inner], [*inner, z], strict=True):
             t = int(text[low])
             place = int(at[low] - ws.firsts[t])
@@ -185,9 +186,9 @@ class SubstringDedup:
                 bucket, body, text, first, n, twice = super_kmers(ws, size, heavy)
                 if len(bucket):
                     at = pa.array(text)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(body), batch.column("id").take(at), batch.column("version").take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)], names=["bucket", "body", "id", "version", "first", "n", "twice"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(body, pa.binary()), batch.column("id").take(at), batch.column("version").take(at), batch.column("chars").take(at), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)], names=["bucket", "body", "id", "version", "chars", "first", "n", "twice"])
 
-        return rows.mapInArrow(run, f"bucket bigint, body bigint, id {kind}, version int, first int, n int, twice boolean")
+        return rows.mapInArrow(run, f"bucket bigint, body binary, id {kind}, version bigint, chars int, first int, n int, twice boolean")
 
     def _packed(self, found: DataFrame) -> DataFrame:
         """found: text and wanted (bucket, body, places, first, n). One row per wanted: bucket, body, places, words."""
@@ -200,9 +201,31 @@ class SubstringDedup:
                     words = text.encode().split()
                     out += [(w["bucket"], w["body"], w["places"], b" ".join(words[w["first"] : w["first"] + w["n"] + size - 1])) for w in wanted]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "body", "places", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "body", "places", "words"])
+
+        return found.mapInArrow(run, "bucket bigint, body binary, places bigint, words binary")
 
-        return found.mapInArrow(run, "bucket bigint, body bigint, places bigint, words binary")
+    def _windows(self, found: DataFrame) -> DataFrame:
+        """found: text and wanted, as in _packed. Repeated windows of the wanted: bucket, body, flat."""
+        size = self.size
+
+        def run(batches):
+            for batch in batches:
+                for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                    ws = words_of([text.encode()])
+                    n = [w["n"] for w in wanted]
+                    at = np.concatenate([np.arange(x) for x in n])
+                    begin = at + np.repeat([w["first"] for w in wanted], n)
+                    names = [digest(ws.data[a:b]) for a, b in zip(ws.starts[begin].tolist(), ws.ends[begin + size - 1].tolist(), strict=True)]
+                    whose = pa.array(np.repeat(np.arange(len(n)), n))
+                    own = [pa.array([w[c] for w in wanted], t).take(whose) for c, t in (("bucket", pa.int64()), ("body", pa.binary()), ("places", pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(at.astype(np.int32)), pa.array(names, pa.binary())], names=["bucket", "body", "places", "at", "window"])
+
+        # rows of one id and text send the same
+        windows = written(found.mapInArrow(run, "bucket bigint, body binary, places bigint, at int, window binary").dropDuplicates(["bucket", "body", "at"]))
+        often = written(windows.groupBy("window").agg(F.sum("places").alias("n")).where("n > 1").select("window"))  # so that the join may split a hot window
+        hit = windows.join(often, "window", "left_semi").groupBy("bucket", "body").agg(F.collect_list("at").alias("at"))
+        return hit.select("bucket", "body", F.flatten(F.transform("at", lambda x: F.array(x, x + 1))).alias("flat"))
 
     def _counted(self, packed: DataFrame) -> DataFrame:
         size = self.size
@@ -213,7 +236,7 @@ class SubstringDedup:
             def flush(own):
                 out = list(repeated_stretches(size, own))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], names=["bucket", "body", "flat"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int32())))], names=["bucket", "body", "flat"])
 
             for batch in batches:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "body", "places", "words")), strict=True):
@@ -227,35 +250,42 @@ class SubstringDedup:
             if rows:
                 yield from flush(rows)
 
-        return packed.repartition("bucket").sortWithinPartitions("bucket", "body").mapInArrow(run, "bucket bigint, body bigint, flat array<int>")
+        return packed.repartition("bucket").sortWithinPartitions("bucket", "body").mapInArrow(run, "bucket bigint, body binary, flat array<int>")
 
     def spans(self, rows: DataFrame) -> DataFrame:
-        """rows: id, version, text. Per (who, version): flat pairs of first word and end of repeated stretches."""
-        size = self.size
+        """rows: id, version, chars, text. Per (who, version, chars): flat pairs of first word and end of repeated stretches."""
+        size, row = self.size, ["who", "version", "chars"]
         heavy = heavy_mers(rows.select("text"))
-        places = written(self._places(rows, heavy))
-        shared = places.groupBy("bucket").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("bucket")
-        places = written(places.join(shared, "bucket"))
-        folded = places.groupBy("bucket", "body").agg(F.count("*").alias("places"), F.max("twice").alias("twice"), F.min(F.struct(F.struct("id").alias("who"), "version", "first", "n")).alias("one"))
+        every = written(self._places(rows, heavy))
+        shared = every.groupBy("bucket").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("bucket")
+        places = written(every.join(shared, "bucket"))
+        drop(every)
+        folded = places.groupBy("bucket", "body").agg(F.count("*").alias("places"), F.max("twice").alias("twice"), F.min(F.struct(F.struct("id").alias("who"), "version", "chars", "first", "n")).alias("one"))
         folded = written(folded.select("bucket", "body", "places", "twice", "one.*"))
-        alone = folded.groupBy("bucket").agg(F.count("*").alias("kinds"))
+        alone = written(folded.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + size - 1).alias("words")))
         folded = folded.join(alone, "bucket")
         simple = (F.col("kinds") == 1) & ~F.col("twice")
-        wanted = folded.where(~simple).groupBy("who", "version").agg(F.collect_list(F.struct("bucket", "body", "places", "first", "n")).alias("wanted"))
-        texts = rows.select(F.struct("id").alias("who"), "version", "text")
-        found = texts.join(wanted, ["who", "version"]).select("text", "wanted")
-        counted = self._counted(self._packed(found))
+        texts = rows.select(F.struct("id").alias("who"), "version", "chars", "text")
+
+        def found(which):
+            wanted = folded.where(~simple & which).groupBy(*row).agg(F.collect_list(F.struct("bucket", "body", "places", "first", "n")).alias("wanted"))
+            return texts.join(wanted, row).select("text", "wanted")
+
+        counted = self._counted(self._packed(found(F.col("words") <= SPLIT)))
+        if not alone.where(F.col("words") > SPLIT).isEmpty():
+            counted = counted.unionByName(self._windows(found(F.col("words") > SPLIT)))
         whole = folded.where(simple & (F.col("places") > 1)).select("bucket", "body", F.array(F.lit(0), F.col("n")).alias("flat"))
         back = places.join(counted.unionByName(whole), ["bucket", "body"])
         moved = F.transform("flat", lambda x, k: F.col("first") + x + F.when(k % 2 == 1, size - 1).otherwise(0))
-        return back.groupBy(F.struct("id").alias("who"), "version").agg(F.flatten(F.collect_list(moved)).alias("flat"))
+        return back.groupBy(F.struct("id").alias("who"), "version", "chars").agg(F.flatten(F.collect_list(moved)).alias("flat"))
 
     def remove(self, docs: DataFrame) -> DataFrame:
         """One row per row: id, n_words, n_removed, kept_text (its words joined by one space)."""
-        rows = docs.select(F.col(self.key).alias("id"), F.hash(self.text).alias("version"), F.coalesce(F.col(self.text), F.lit("")).alias("text"))
+        text = F.coalesce(F.col(self.text), F.lit(""))
+        rows = docs.select(F.col(self.key).alias("id"), F.xxhash64(text).alias("version"), F.length(text).alias("chars"), text.alias("text"))
         kind = rows.schema["id"].dataType.simpleString()
-        texts = rows.select(F.struct("id").alias("who"), "version", "text")
-        met = texts.join(self.spans(rows), ["who", "version"], "left").select("who.id", "text", "flat")
+        texts = rows.select(F.struct("id").alias("who"), "version", "chars", "text")
+        met = texts.join(self.spans(rows), ["who", "version", "chars"], "left").select("who.id", "text", "flat")
 
         def run(batches):
             for batch in batches:
