@@ -4,8 +4,11 @@ A template is a black box: a function from a list of (role, text) to a string.
 Successive prefixes of a conversation are rendered; where the next output starts
 with the one before, the new part is the new turn's span. Where it does not, the
 template rewrites history, and the conversation is marked so. A turn's text
-within its span is found by rendering the prefix twice more with two one-letter
-texts in that turn: the outputs first differ where the text begins.
+within its span is found by rendering the prefix once more with a private
+character as that turn's text; if the output does not show it exactly once, by
+two one-letter texts, whose outputs first differ where the text begins. A black
+box must be asked for every prefix, so the cost grows with the square of a
+conversation's turns.
 
 The built-in template marks turns by control strings and escapes them inside
 roles and texts by one backslash, which read_back() takes away again.
@@ -21,12 +24,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: A character of no script, to see where a template puts a text.
+PROBE = "\ue000"
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -48,9 +54,14 @@ def _role_in(role: str) -> str:
     return unescape(re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role))
 
 
+@lru_cache(4096)
+def _marked(turn: Turn) -> str:
+    return f"{START}{_role_out(turn[0])}\n{escape(turn[1])}{END}\n"
+
+
 def marked(turns: list[Turn]) -> str:
     """The built-in template."""
-    return "".join(f"{START}{_role_out(role)}\n{escape(text)}{END}\n" for role, text in turns)
+    return "".join(map(_marked, turns))
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -83,8 +94,11 @@ def locate(turns: list[Turn], render: Template = marked) -> tuple[str, list[tupl
         if not now.startswith(before):
             rewrites = True
             start = _differ(now, before)
-        x, y = (render([*turns[:k], (role, letter)]) for letter in "xy")
-        at = _differ(x, y)
+        x = render([*turns[:k], (role, PROBE)])
+        at = x.find(PROBE, start)
+        if at < 0 or x.find(PROBE, at + 1) >= 0 or not x.startswith(before):
+            x, y = (render([*turns[:k], (role, letter)]) for letter in "xy")
+            at = _differ(x, y)
         spans.append((start, len(now), at, max(at, len(now) - (len(x) - at - 1))))
         before = now
     return before, spans, rewrites
@@ -97,8 +111,10 @@ def format_conversations(rows: DataFrame, render: Template = marked, key: str =
 
     def run(batches):
         def conversations() -> Iterator[tuple[object, list[Turn]]]:
+            nonlocal kept
             own, turns = None, []
             for batch in batches:
+                kept = batch.column("conv_id").type
                 for k, r, t in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
                     if turns and k != own:
                         yield own, turns
@@ -109,11 +125,11 @@ def format_conversations(rows: DataFrame, render: Template = marked, key: str =
                 yield own, turns
 
         span = pa.struct([("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64())])
-        out, size = [], 0
+        out, size, kept = [], 0, None
 
         def batch_of():
             cols = list(zip(*out, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(span)), pa.array(cols[3], pa.bool_())], names=["conv_id", "formatted", "spans", "rewrites_history"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kept), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(span)), pa.array(cols[3], pa.bool_())], names=["conv_id", "formatted", "spans", "rewrites_history"])
 
         for k, turns in conversations():
             formatted, spans, rewrites = locate(turns, render)
@@ -142,6 +158,7 @@ def digests(formatted: DataFrame, trained: str = "assistant") -> DataFrame:
                 said = "".join(f"{r}\n{t}\n" for r, t in turns)
                 out.append((k, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(body)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                kinds = (batch.column("conv_id").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")

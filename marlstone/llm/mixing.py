@@ -141,12 +141,15 @@ class Mixer:
         more, less = F.col("copies") < self.most, F.col("copies") > 0
         found = bins.agg(*(pick(ok, k).alias(f"{name}{k}") for name, ok in (("more", more), ("less", less)) for k in range(PICKS))).collect()  # powers of two of sizes, by source
         taken = rows.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")).collect()
+        by_source: dict = {}
+        for y in found:
+            by_source.setdefault(y["source"], []).append(y)
         moves = []
         for r in taken:
             lack = r["target"] - r["taken"]
             sign = 1 if lack > 0 else -1
             name = "more" if sign > 0 else "less"
-            own = {x["row"]: x for y in found if y["source"] == r["source"] for k in range(PICKS) if (x := y[f"{name}{k}"])}
+            own = {x["row"]: x for y in by_source.get(r["source"], ()) for k in range(PICKS) if (x := y[f"{name}{k}"])}
             for x in sorted(own.values(), key=lambda x: (-x["size"], x["h"])):
                 if x["size"] <= abs(lack) + 0.5:
                     lack -= sign * x["size"]

@@ -60,7 +60,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = pii.PiiFinder().find(_read(spark, sf_dir, "documents"))
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     n = [of_kind(k) for k in pii.BASE]
-    return got.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written_out("base"), 256).alias("base_sha256"), pii.written_out("spans").alias("spans"))
+    return got.select(F.col("id").alias("doc_id"), *n, F.sha2(pii.written_out("base"), 256).alias("base_sha256"), pii.written_out("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @_query(

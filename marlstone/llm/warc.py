@@ -10,7 +10,9 @@ replace taken from the revisit.
 The as-of join is by URL and stretch of time: each stretch's last response is
 found by an aggregation and carried on to later stretches as one row each, so
 that a URL captured very often is split over its stretches. Payloads take no
-part; they are joined by the response's id where wanted.
+part; they are joined by the response's id where wanted. A stretch is a day, or
+of a URL with very many captures so much less that a stretch holds about
+``FULL`` of them.
 
 Records without a URL or a date are never resolved nor resolved to. Of responses
 of one date the greatest id counts; a response of the revisit's own date is not
@@ -20,11 +22,11 @@ earlier. Repeated rows give a result each. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -42,15 +44,16 @@ RECORD = (
     "record_id string, warc_type string, target_uri string, date timestamp, profile string, status int, "
     "headers array<struct<name:string,value:string>>, payload_digest string, payload binary"
 )
-#: Seconds of a stretch.
-STRETCH = 86_400
+#: Seconds of a stretch, and captures of a URL beyond which its stretches are shorter.
+STRETCH, FULL = 86_400, 20_000
 
 
-def record_bytes(record_id: str, warc_type: str, uri: str, date: datetime, status: str, headers: list[tuple[str, str]], payload: bytes = b"") -> bytes:
-    """One record of WARC/1.1."""
+def record_bytes(record_id: str | None, warc_type: str, uri: str, date: datetime | None, status: str, headers: list[tuple[str, str]], payload: bytes = b"") -> bytes:
+    """One record of WARC/1.1; without a field where its value is None."""
     http = f"HTTP/1.1 {status}\r\n" + "".join(f"{n}: {v}\r\n" for n, v in headers) + "\r\n"
     block = http.encode() + payload
-    fields = [("WARC-Type", warc_type), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date.strftime("%Y-%m-%dT%H:%M:%SZ")), ("WARC-Target-URI", uri)]
+    named = [("WARC-Record-ID", record_id and f"<{record_id}>"), ("WARC-Date", date and date.strftime("%Y-%m-%dT%H:%M:%SZ"))]
+    fields = [("WARC-Type", warc_type), *((n, v) for n, v in named if v), ("WARC-Target-URI", uri)]
     if warc_type == "revisit":
         fields.append(("WARC-Profile", NOT_MODIFIED))
     else:
@@ -78,10 +81,23 @@ def _date(text: str | None) -> datetime | None:
         return None
 
 
+def _unzipped(content: bytes) -> bytes:
+    """All members of a gzip file. Of one that is cut off, what there is of it; one that is broken and what follows it are left out."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error:
+            break
+        content = member.unused_data.lstrip(b"\0") if member.eof else b""
+    return b"".join(out)
+
+
 def parse(content: bytes) -> Iterator[tuple]:
     """The records of a WARC file, gzipped or plain, as tuples in the order of RECORD. A cut-off last record is left out."""
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        content = _unzipped(content)
     at = 0
     while (at := content.find(b"WARC/", at)) >= 0:
         head = content.find(b"\r\n\r\n", at)
@@ -154,7 +170,7 @@ def _differ(a: Column, b: Column) -> Column:
     return a.isNotNull() & ~a.eqNullSafe(b)
 
 
-def resolve(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
+def resolve(rows: DataFrame, stretch: int = STRETCH, most: int = FULL) -> DataFrame:
     """rows: the columns of RECORD but payload, and any others. Every response of status 200, and every not-modified revisit with its response.
 
     Responses of any other status, other revisits and other records are left out,
@@ -166,8 +182,15 @@ def resolve(rows: DataFrame, stretch: int = STRETCH) -> DataFrame:
     revisit has no validator), validators differ, or no response.
     """
     plain = rows.select("record_id", "warc_type", canonical(F.col("target_uri")).alias("canonical_url"), "date", "profile", "status", F.coalesce("headers", F.array().cast("array<struct<name:string,value:string>>")).alias("headers"), "payload_digest", "payload_sha256")
-    plain = plain.withColumn("at", F.unix_micros("date")).withColumn("bin", F.floor(F.col("at") / (stretch * 1_000_000)))
+    plain = plain.withColumn("at", F.unix_micros("date"))
     plain = written(plain)  # read several times below
+    hot = plain.where("canonical_url IS NOT NULL AND at IS NOT NULL").groupBy("canonical_url").agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).where(F.col("n") > most)
+    hot = written(hot.select("canonical_url", "low", F.greatest(F.lit(1), F.least(F.lit(stretch * 1_000_000), F.expr(f"(high - low) * {most} div n"))).alias("width")))
+    if hot.isEmpty():
+        plain = plain.withColumn("bin", F.floor(F.col("at") / (stretch * 1_000_000)))
+    else:
+        plain = plain.join(hot, "canonical_url", "left")
+        plain = plain.withColumn("bin", F.floor((F.col("at") - F.coalesce("low", F.lit(0))) / F.coalesce("width", F.lit(stretch * 1_000_000)))).drop("low", "width")
     is_revisit = (F.col("warc_type") == "revisit") & F.coalesce(F.col("profile").contains("not-modified") | (F.col("status") == 304), F.lit(False))
     full = plain.where((F.col("warc_type") == "response") & (F.col("status") == 200))
     known = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
@@ -206,20 +229,32 @@ def with_payload(resolved: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def captures(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", again_after: int = 7 * 1440) -> DataFrame:
-    """Small WARC files (content) of pages: each captured at the minute its key says, and found not modified again_after minutes later."""
+    """Small WARC files (content) of pages: each captured at the minute its key says, and found not modified again_after minutes later.
+
+    A page whose key is null has records without id and date, one whose minute the calendar doesn't reach (years 1 to 9999) without a date.
+    """
 
     def run(batches):
-        start = datetime(2024, 1, 1, tzinfo=UTC).timestamp()
+        start = datetime(2024, 1, 1, tzinfo=UTC)
+
+        def moment(k, after):
+            try:
+                return None if k is None else start + timedelta(minutes=k + after)
+            except OverflowError:
+                return None
+
         http = "%a, %d %b %Y %H:%M:%S GMT"
         for batch in batches:
             out = []
             for k, u, h in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 body = (h or "").encode()
                 tag = f'"{hashlib.md5(body).hexdigest()}"'
-                at, later = (datetime.fromtimestamp(start + 60 * (k + d), UTC) for d in (0, again_after))
-                first = [("Date", at.strftime(http)), ("Content-Type", "text/html; charset=utf-8"), ("ETag", tag), ("Last-Modified", at.strftime(http)), ("Cache-Control", "max-age=60"), ("Content-Length", str(len(body)))]
-                second = [("Date", later.strftime(http)), ("ETag", f"W/{tag}"), ("Cache-Control", "max-age=604800"), ("Vary", "Accept-Encoding"), ("Content-Length", "0")]
-                out.append(record_bytes(f"urn:page:{k}:response", "response", u or "", at, "200 OK", first, body) + record_bytes(f"urn:page:{k}:revisit", "revisit", u or "", later, "304 Not Modified", second))
+                at, later = (moment(k, d) for d in (0, again_after))
+                dated = lambda name, t: [] if t is None else [(name, t.strftime(http))]
+                first = [*dated("Date", at), ("Content-Type", "text/html; charset=utf-8"), ("ETag", tag), *dated("Last-Modified", at), ("Cache-Control", "max-age=60"), ("Content-Length", str(len(body)))]
+                second = [*dated("Date", later), ("ETag", f"W/{tag}"), ("Cache-Control", "max-age=604800"), ("Vary", "Accept-Encoding"), ("Content-Length", "0")]
+                name = lambda what: None if k is None else f"urn:page:{k}:{what}"  # noqa: E731, B023
+                out.append(record_bytes(name("response"), "response", u or "", at, "200 OK", first, body) + record_bytes(name("revisit"), "revisit", u or "", later, "304 Not Modified", second))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["content"])
 
     return pages.select(key, url, html).mapInArrow(run, "content binary")

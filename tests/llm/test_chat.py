@@ -54,3 +54,18 @@ def test_conversations(spark):
 def test_nothing(spark):
     none = spark.createDataFrame([], SHAPE)
     assert chat.digests(chat.format_conversations(none)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    for kind, ids in (("int", [1, 2, None]), ("string", ["a", "b", None]), ("smallint", [7, 8, None])):
+        rows = [(c, t, "assistant", f"text {t}") for c in ids for t in range(3)]
+        got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, f"conv_id {kind}, turn int, role string, text string"))).collect()
+        assert {r["conv_id"] for r in got} == set(ids) and all(r["loss_chars"] == 18 for r in got)
+
+
+def test_texts_that_hold_the_probe():
+    turns = [("user", chat.PROBE), (chat.PROBE, "a" + chat.PROBE), ("assistant", "")]
+    out, spans, rewrites = chat.locate(turns)
+    assert not rewrites and [out[a:b] for *_, a, b in spans] == [t for _, t in turns]
+    twice = lambda turns: "".join(f"[{r}:{t}|{t}]" for r, t in turns)
+    assert not chat.locate([("user", "hi"), ("user", "ho")], twice)[2]

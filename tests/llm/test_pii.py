@@ -89,3 +89,62 @@ def test_a_long_announced_secret_is_whole():
     text = f"token: {value} and more"
     assert len(value) > 1000
     assert pii.candidates(text, pii.base_spans(text)) == [("secret", 7, 7 + len(value))]
+
+
+def test_many_candidates_are_linear():
+    import time
+
+    text = " ".join(f"{k:05}{rng_digits(k)} x" for k in range(16_000))
+    base = pii.base_spans(text)
+    began = time.perf_counter()
+    found = pii.candidates(text, base)
+    assert time.perf_counter() - began < 2  # a quadratic search takes over 9 s
+    assert len(found) + sum(k == "card" for k, *_ in base) == 16_000
+
+
+def rng_digits(k):
+    return str(10**9 + k * 7_919_993 % (9 * 10**9))
+
+
+def test_spans_never_overlap():
+    rng = random.Random(9)
+    parts = ["Mr. John Smith", "12 Main Street", "DE89 3704 0044 0532 0130 00", "born 12.03.1980", "123-45-6789", "token: abcdefgh12345678", "1.2.3.4", "a@b.co", "4111 1111 1111 1111", "Hauptstraße 5", "x"]
+    for _ in range(400):
+        text = rng.choice([" ", ", ", "\n"]).join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        base = pii.base_spans(text)
+        found = pii.candidates(text, base)
+        assert all(x[2] <= y[1] for x, y in zip(found, found[1:], strict=False))
+        assert all(b <= x or a >= y for _, a, b in found for _, x, y in base)
+
+
+PLANTED = {
+    "iban": ("please pay to IBAN {} today", ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR1420041010050500013M02606"]),
+    "national_id": ("her ssn is {} as said", ["123-45-6789", "219-09-9999", "457-55-5462"]),
+    "birth_date": ("she was born {} in town", ["12.03.1980", "1975-11-30", "04/07/1969"]),
+    "address": ("the patient lives at {} since then", ["12 Main Street", "7 Old Mill Road", "221 Baker Street"]),
+    "person": ("we met Mr {} at noon", ["John Smith", "Peter Jones", "William Brown"]),
+    "secret": ('the token = "{}" is set', ["0a1b2c3d4e5f60718293a4b5c6d7e8f901234567", "ffee0011ddcc2233bbaa4455998866770a0b0c0d"]),
+}
+CLEAN = ["sold on 2031-05-06 10:30 for 1200", "see page 12 of chapter 34", "The Main Street was long", "order 12345678 of The March", "on 01.02.2030 the shop opens", "AB12 is a room"]
+
+
+def test_planted_data_by_kind(spark):
+    rng = random.Random(10)
+    rows, want = [], {}
+    for k in range(600):
+        words = [rng.choice(["sun", "sea", "hill", "tree", "road"]) for _ in range(rng.randint(5, 30))]
+        kind = rng.choice([*PLANTED, None, None])
+        if kind:
+            frame, values = PLANTED[kind]
+            text = frame.format(v := rng.choice(values))
+        else:
+            text = rng.choice(CLEAN)
+        at = rng.randint(0, len(words))
+        whole = " ".join([*words[:at], text, *words[at:]])
+        rows.append((k, whole, None))
+        want[k] = (kind, whole.index(v), whole.index(v) + len(v)) if kind else None
+    got = {r["id"]: [tuple(s[c] for c in ("kind", "start", "end")) for s in r["spans"]] for r in pii.PiiFinder().find(awkward(spark, rows)).collect()}
+    hit = sum(w in got[k] for k, w in want.items() if w)
+    extra = sum(s != want[k] for k, spans in got.items() for s in spans)
+    planted = sum(w is not None for w in want.values())
+    assert hit >= 0.95 * planted and extra <= 0.03 * planted, (hit, extra, planted)

@@ -116,3 +116,29 @@ def test_nothing(spark):
     assert warc.records(spark.createDataFrame([], "content binary")).count() == 0
     pages = spark.createDataFrame([(1, None, None), (2, "http://x/", "")], "page_id long, url string, html string")
     assert warc.records(warc.captures(pages)).count() == 4
+
+
+def test_cut_and_joined_gzip_files():
+    one, two = (warc.record_bytes(f"urn:{k}", "response", "http://a/", T0, "200 OK", [], b"x" * 5000) for k in (1, 2))
+    joined = gzip.compress(one) + gzip.compress(two)
+    ids = lambda content: [r[0] for r in warc.parse(content)]
+    assert ids(joined) == ids(gzip.compress(one + two)) == ["urn:1", "urn:2"]
+    assert ids(joined[:-20]) == ["urn:1"] and ids(joined[: len(gzip.compress(one)) // 2]) == []
+    assert ids(joined[:-30] + b"broken") == ["urn:1"] and ids(gzip.compress(one) + b"\0" * 10 + gzip.compress(two)) == ["urn:1", "urn:2"]
+    assert ids(b"\x1f\x8b") == ids(b"\x1f\x8bxxxx") == []
+
+
+def test_pages_of_any_key(spark):
+    pages = spark.createDataFrame([(None, "http://x/", "a"), (10**12, "http://x/", "b"), (-(10**12), "http://x/", "c"), (5, "http://x/", "d")], "page_id long, url string, html string")
+    got = warc.records(warc.captures(pages)).collect()
+    assert sorted((str(r["record_id"]), r["date"] is None) for r in got) == sorted([("None", True)] * 2 + [(f"urn:page:{k}:{w}", k != 5) for k in (10**12, -(10**12), 5) for w in ("response", "revisit")])
+    small = spark.createDataFrame([(5, "http://x/", "d")], "page_id int, url string, html string")
+    assert warc.records(warc.captures(small)).count() == 2
+
+
+def test_a_hot_url_in_short_stretches(spark):
+    rng = random.Random(6)
+    rows = [record(k, rng.choice(["response", "revisit"]), "http://hot.org/a", rng.choice([*range(0, 90)]), [("ETag", rng.choice(['"1"', '"2"']))]) for k in range(300)]
+    rows += [record(300 + k, rng.choice(["response", "revisit"]), rng.choice(["http://b.org", None]), k * 50, []) for k in range(40)]
+    got = Counter(tuple(r) for r in warc.resolve(table(spark, rows), most=20).select("record_id", "response_id", "resolution").collect())
+    assert got == by_hand(rows)
