@@ -119,3 +119,21 @@ def json_records(reply: Column, ddl: str) -> Column:
     single = F.filter(F.regexp_extract_all(reply, F.lit(r"\{[\s\S]*?\}"), 0), lambda x: F.try_parse_json(x).isNotNull())
     lone = F.transform(single, lambda x: F.from_json(x, f"struct<{ddl}>"))
     return F.coalesce(parsed(reply), parsed(F.regexp_extract(reply, r"\[[\s\S]*\]", 0)), lone)
+
+
+def without_spaces(c: Column) -> Column:
+    """Every ASCII space taken out; other white space stays."""
+    return F.replace(c, F.lit(" "))
+
+
+def identifier(c: Column) -> Column:
+    """An id in the form of a random UUID, but the same for the same value."""
+    h = F.md5(c.cast("string"))
+    variant = F.element_at(F.array(*(F.lit(x) for x in "89ab")), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1)
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-4"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def printed(c: Column, width: int = 80, top: int = 800, bottom: int = 50, step: int = 15) -> Column:
+    """A text's lines as a printer sets them: page (from 0), y and the first width characters."""
+    lines = (top - bottom) // step + 1
+    return F.transform(F.split(c, "\n", -1), lambda x, k: F.struct(F.floor(k / lines).cast("int").alias("page"), (top - step * (k % lines)).cast("int").alias("y"), prefix(x, width).alias("line")))

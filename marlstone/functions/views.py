@@ -47,8 +47,8 @@ def chunk_lines(chunks: DataFrame, content: str = "content") -> DataFrame:
     return chunks.withColumn("lines", F.split(content, "\n", -1))
 
 
-def tables(spark) -> DataFrame:
-    """Names of the catalog's tables."""
-    return spark.createDataFrame([(t.name,) for t in spark.catalog.listTables()], "name string")
+def tables(spark, database: str | None = None) -> DataFrame:
+    """Names of the catalog's tables (of a database)."""
+    return spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database)], "name string")
 
 

@@ -54,14 +54,23 @@ class Limited:
         raise AssertionError
 
 
-def complete(rows: DataFrame, prompt: str, reply: str = "reply", client: Callable[[], ModelClient] = RuleModel) -> DataFrame:
-    """rows with a model's reply to each prompt; null prompts get null."""
+def complete(rows: DataFrame, prompt: str, reply: str = "reply", client: Callable[[], ModelClient] = RuleModel, say_errors: bool = False) -> DataFrame:
+    """rows with a model's reply to each prompt; null prompts get null. say_errors: a failed call's reply is its error, else the job fails."""
     shape = T.StructType([*rows.schema.fields, T.StructField(reply, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
+
+        def told(p: str) -> str:
+            try:
+                return model.complete(p)
+            except Exception as e:
+                if not say_errors:
+                    raise
+                return f"Error: {e}"
+
         for batch in batches:
-            yield batch.assign(**{reply: [None if p is None else model.complete(p) for p in batch[prompt]]})
+            yield batch.assign(**{reply: [None if p is None else told(p) for p in batch[prompt]]})
 
     return rows.mapInPandas(run, shape)
 
@@ -70,8 +79,8 @@ def embed_text(text: str | None, size: int = 64) -> list[float]:
     """A vector of length 1 from hashed words; zeros without words."""
     out = [0.0] * size
     for w in re.findall(r"\w+", (text or "").lower()):
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-        out[h % size] += 1.0 if h >> 63 else -1.0
+        h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        out[h % size] += 1.0 if h >> 31 else -1.0
     norm = math.sqrt(sum(x * x for x in out))
     return [x / norm for x in out] if norm else out
 

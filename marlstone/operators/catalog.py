@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import root, suffix
+from marlstone.session import shared_path
 
 
 def rollup(parents: DataFrame, children: DataFrame, key: str, foreign: str, aggregates: dict[str, Column], defaults: dict[str, Column]) -> DataFrame:
@@ -52,11 +53,22 @@ def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
 
 
 def insert(rows: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """rows with new ones, whose keys go on from the greatest in the order of new's columns."""
+    """rows with new ones, whose keys go on from the greatest in the order of new's columns.
+
+    The new rows are sorted over all tasks and written to the shared folder, so
+    that each part's first number follows from the sizes of the parts before it.
+    """
+    spark = rows.sparkSession
+    path = shared_path(spark)
+    # the number of a part and of a row in it are those of the sort's tasks; written, they are data
+    part, own = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    new.orderBy(*new.columns).withColumns({"__part": part, "__own": own}).write.parquet(path)
+    placed = spark.read.parquet(path)
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a task
     top = rows.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    numbered = new.withColumn("__n", F.row_number().over(Window.orderBy(*new.columns)))
-    placed = numbered.join(F.broadcast(top)).withColumn(key, F.col("__top") + F.col("__n")).drop("__top", "__n")
-    return rows.unionByName(placed, allowMissingColumns=True)
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n").join(F.broadcast(top))
+    placed = placed.join(F.broadcast(before), "__part").withColumn(key, F.col("__top") + F.col("__before") + F.col("__own") + 1)
+    return rows.unionByName(placed.drop("__part", "__own", "__before", "__top"), allowMissingColumns=True)
 
 
 def insert_absent(rows: DataFrame, new: DataFrame, by: str, key: str = "id") -> DataFrame:
@@ -120,3 +132,35 @@ def totals(rolled: DataFrame, *sums: str, last: str | None = None) -> DataFrame:
 def all_done(uploads: DataFrame, ok: Column) -> DataFrame:
     """Whether there are uploads and all of them are ok."""
     return uploads.agg((F.coalesce(F.bool_and(ok), F.lit(False)) & (F.count("*") > 0)).alias("all_done"))
+
+
+def lookup(rows: DataFrame, wanted: DataFrame, key: str, found: int = 200, missing: int = 404) -> DataFrame:
+    """One row per wanted key with its row's columns and a code that tells whether there is one."""
+    have = rows.withColumn("__have", F.lit(True))
+    return wanted.select(key).distinct().join(have, key, "left").withColumn("code", F.when(F.col("__have"), found).otherwise(missing)).drop("__have")
+
+
+def deleted_counts(rows: DataFrame, gone: Column, by: str) -> DataFrame:
+    """Rows deleted and rows that stay, by key; a condition that is null deletes nothing."""
+    bad = F.coalesce(gone, F.lit(False))
+    return rows.groupBy(by).agg(F.count_if(bad).alias("deleted"), F.count_if(~bad).alias("kept"))
+
+
+def base_deletion(documents: DataFrame, chunks: DataFrame, gone: DataFrame, base: str, document: str) -> DataFrame:
+    """What the deletion of knowledge bases takes with it, by base: documents and chunks; bases without any count 0."""
+    keys = gone.select(base).distinct()
+    own = documents.join(keys, base, "left_semi").select(base, document)
+    pieces = chunks.groupBy(document).agg(F.count("*").alias("__chunks"))
+    folded = own.join(pieces, document, "left").groupBy(base).agg(F.count("*").alias("documents"), F.coalesce(F.sum("__chunks"), F.lit(0)).cast("bigint").alias("chunks"))
+    return keys.join(folded, base, "left").fillna(0, ["documents", "chunks"])
+
+
+def latest(rows: DataFrame, at: str, key: str, n: int) -> DataFrame:
+    """The n latest rows with their places, ties by falling key."""
+    top = rows.orderBy(F.desc_nulls_last(at), F.desc(key)).limit(n)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(at), F.desc(key))))
+
+
+def located_chunks(documents: DataFrame, bases: DataFrame, chunks: DataFrame, base: str = "kb_id", document: str = "doc_id") -> DataFrame:
+    """Chunks of documents that stand in a live base, with the base's columns; documents are found by base and id."""
+    return documents.join(bases, base).join(chunks, [base, document])

@@ -92,6 +92,11 @@ def ranked(hits: DataFrame, order: list[str], threshold: float | None = None) ->
     return out if threshold is None else out.where(F.col("cosine") >= threshold)
 
 
+def fixed_score(hits: DataFrame, score: float = 0.9) -> DataFrame:
+    """Hits that all get one score."""
+    return hits.withColumn("similarity", F.lit(score))
+
+
 def numbered_page(page: Column, rank: Column) -> Column:
     """A chunk's page, or its rank where it has none."""
     return F.coalesce(page.cast("int"), rank.cast("int"))
@@ -134,3 +139,22 @@ def questions_of(documents: DataFrame, key: str, reply: str, text: str) -> DataF
     listed_ = F.from_json(reply, "struct<questions: array<struct<id: int, title: string, question: string>>>")["questions"]
     whole = F.array(F.struct(F.lit(1).alias("id"), F.lit("document").alias("title"), F.col(text).alias("question")))
     return documents.select(key, F.explode(F.coalesce(F.when(F.size(listed_) > 0, listed_), whole)).alias("q")).select(key, "q.*")
+
+
+#: Fixed value: what a chat says that is to use a knowledge base but names none.
+NO_BASE = "错误：使用RAG模式时必须指定知识库ID"
+
+
+def chat_prompts(sessions: DataFrame, turns: DataFrame, contexts: DataFrame, key: str, base: str) -> DataFrame:
+    """What a model is asked in a chat over a knowledge base, or the message where no base is given.
+
+    sessions: key, base, question; turns: key, order, role, text (the history);
+    contexts: key, context. A session's history and context are held in its row;
+    the history is that of one conversation, the context that of its few hits.
+    """
+    lines = F.array_sort(F.collect_list(F.struct("order", F.concat("role", F.lit(": "), "text").alias("line"))))
+    history = turns.groupBy(key).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
+    met = sessions.join(history, key, "left").join(contexts.select(key, "context"), key, "left")
+    parts = F.concat_ws(BLANK_LINE, F.coalesce("context", F.lit("")), F.coalesce("history", F.lit("")), F.concat(F.lit("Question: "), "question"))
+    lacks = F.col(base).isNull()
+    return met.select(key, F.when(~lacks, parts).alias("prompt"), F.when(lacks, NO_BASE).alias("message"))

@@ -194,3 +194,85 @@ def result_view(tasks: DataFrame, ddl: str) -> DataFrame:
 def step_of(progress: Column) -> Column:
     """The step of a review at a progress in percent."""
     return F.when(progress >= 100, 4).when(progress >= 75, 3).when(progress >= 50, 2).when(progress >= 25, 1).otherwise(0)
+
+
+def result(docs: DataFrame, changes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A review's result: the original, the revised content (the original still, for no change is made before it is accepted) and the counts."""
+    counted = counts(changes, key)
+    met = docs.select(key, F.col(text).alias("original_content"), F.col(text).alias("revised_content")).join(counted, key, "left")
+    return met.fillna(0, [c for c in counted.columns if c != key])
+
+
+def analysis_state(status: Column) -> Column:
+    """What a request to analyse a task gets: one that is at work stays as it is, a missing one is not found."""
+    return F.when(status.isNull(), "404").when(status == "processing", "already processing").otherwise("started")
+
+
+def apply_state(status: Column, result: Column) -> Column:
+    """What a request to apply a task's changes gets: only a completed one with a result can be applied."""
+    return F.when(status.isNull(), "404").when(status != "completed", "400 not completed").when(F.coalesce(F.length(result), F.lit(0)) == 0, "400 no result").otherwise("200")
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "no") -> DataFrame:
+    """Rows with a serial number (from 1) within each group."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def contained(docs: DataFrame, passages: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", size: int = 5) -> DataFrame:
+    """Pairs of a document and a passage that it contains, letter for letter. Passages without a word are in no pair.
+
+    A passage's inner words (its first and last may be parts of words) stand in
+    the document as they are, so runs of at most size of them find candidates by
+    an equi-join on a hash; each is then confirmed. A passage of one or two
+    words is found by all documents that have a word which holds its longest
+    word: these short ones are told apart first and looked for text by text.
+    """
+    ws = F.filter(F.split(F.col(text), r"\s+", -1), lambda w: w != "")
+    items = passages.where(F.col(text).rlike(r"\S")).select(item, F.col(text).alias("__passage"), ws.alias("__w"))
+    n = F.least(F.lit(size), F.size("__w") - 2)
+    anchors = items.where(F.size("__w") > 2).select(item, "__passage", n.alias("__n"), F.xxhash64(F.array_join(F.slice("__w", 2, n), " ")).alias("__h"))
+    texts = docs.select(key, F.col(text).alias("__text"))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("__w") - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, k), " ")))
+    split = docs.select(key, ws.alias("__w"))
+    found = None
+    for k in range(1, size + 1):  # sizes of anchors
+        each = split.where(F.size("__w") >= k).select(key, F.explode(F.array_distinct(runs(k))).alias("__h"))
+        part = each.join(anchors.where(F.col("__n") == k).select(item, "__h"), "__h").select(key, item)
+        found = part if found is None else found.unionByName(part)
+    met = found.distinct().join(texts, key).join(items.select(item, "__passage"), item).where(F.contains("__text", F.col("__passage")))
+    # a passage of one or two words can't be keyed; there are few, and Spark weighs their size before it sends them to all tasks
+    short = texts.join(items.where(F.size("__w") <= 2).select(item, "__passage"), F.contains("__text", F.col("__passage")))
+    return met.select(key, item).unionByName(short.select(key, item))
+
+
+def stated(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """Statements of a number in texts: key, term, value; pattern's first group is the term, its second the number."""
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("term"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("value"))
+    each = rows.select(key, F.explode(pairs).alias("p"))
+    return each.select(key, F.col("p.term").alias("term"), F.col("p.value").cast("double").alias("value")).distinct()
+
+
+def compared(documents: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """The table of what documents state otherwise than the rules: key, no, requirement, passage, mismatch, suggestion.
+
+    Both: key (documents only), term, value. Numbers of one term meet; of a term
+    with several required numbers, each that differs gives a row.
+    """
+    met = documents.join(rules.select("term", F.col("value").alias("required")), "term").where(F.col("value") != F.col("required"))
+    said = lambda c: F.format_string("%s %.2f", "term", c)
+    out = met.select(key, said("required").alias("requirement"), said("value").alias("passage"), F.format_string("%.2f", F.col("value") - F.col("required")).alias("mismatch"), F.concat(F.lit("state "), said("required")).alias("suggestion"))
+    return numbered(out, [key], ["requirement", "passage"]).select(key, "no", "requirement", "passage", "mismatch", "suggestion")
+
+
+def glossary(paras: DataFrame, terms: dict[str, str]) -> DataFrame:
+    """Loose words with the term of a glossary that should stand for them, as fluency findings."""
+    found = typos(paras, terms).withColumnRenamed("corrected", "improved")
+    return found.withColumn("reason", F.lit("glossary"))
+
+
+def relations(paras: DataFrame, pattern: str, relation: str, limit: float) -> DataFrame:
+    """Numbers (the pattern's first group) that do not stand in the relation (<, <=, >, >=) to the limit: columns of paras but content, and value."""
+    value = F.explode(F.regexp_extract_all("content", F.lit(pattern), 1))
+    found = paras.select(*[c for c in paras.columns if c != "content"], value.alias("value")).withColumn("value", F.col("value").cast("double"))
+    holds = {"<": F.col("value") < limit, "<=": F.col("value") <= limit, ">": F.col("value") > limit, ">=": F.col("value") >= limit}[relation]
+    return found.where(~holds)

@@ -99,3 +99,14 @@ def append(log: DataFrame, **entry) -> DataFrame:
     top = log.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
     row = top.select("id", *(F.lit(v).alias(k) for k, v in entry.items()))
     return log.unionByName(row, allowMissingColumns=True)
+
+
+def in_and_out(rows: DataFrame, module: str, amount: Column, inward: Column) -> DataFrame:
+    """Tokens that went into a model and that came out of it, by module."""
+    total = lambda c: F.coalesce(F.sum(F.when(c, amount)), F.lit(0)).cast("bigint")
+    return rows.groupBy(module).agg(total(inward).alias("input"), total(~inward).alias("output"))
+
+
+def in_order(series: DataFrame, by: str = "hour") -> DataFrame:
+    """An aggregated series (a row an hour) with each row's place."""
+    return series.withColumn("place", F.row_number().over(Window.orderBy(by)))

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.models import embedding
 from marlstone.schemas import BY_NAME
 
 
-def create_tables(spark: SparkSession, folder: str, schemas: dict[str, T.StructType] | None = None) -> list[str]:
+def create_tables(spark: SparkSession, folder: str, schemas: dict[str, T.StructType] | None = None, database: str = "default") -> list[str]:
     """Catalog tables on Parquet below folder, where they aren't yet."""
     made = []
     for name, schema in (schemas or BY_NAME).items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}` ({schema.toDDL()}) USING parquet LOCATION '{folder}/{name}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({schema.toDDL()}) USING parquet LOCATION '{folder}/{name}'")
         made.append(name)
     return made
 
@@ -22,16 +23,22 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def append_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks by knowledge base, so that a search reads one base's files only."""
-    chunks.repartition("kb_id").write.mode("append").partitionBy("kb_id").parquet(path)
+def append_chunks(chunks: DataFrame, path: str, embed: str | None = None) -> None:
+    """Chunks by knowledge base, so that a search reads one base's files only; embed names a column of texts, whose vectors are written too.
 
+    A base's rows are dealt to tasks by size, so that a large base is no single task.
+    """
+    if embed:
+        chunks = chunks.withColumn("embedding", embedding(F.col(embed)))
+    chunks.hint("rebalance", "kb_id").write.mode("append").partitionBy("kb_id").parquet(path)
 
-def read_chunks(spark: SparkSession, path: str, kb_id: int | None = None, doc_id: int | None = None) -> DataFrame:
-    """Chunks of a base (its partition alone is read) and of a document."""
+
+def read_chunks(spark: SparkSession, path: str, kb_id: int | None = None, doc_id: int | None = None, limit: int | None = None, order: str = "chunk_no") -> DataFrame:
+    """Chunks of a base (its partition alone is read) and of a document, the first ones if a limit is given."""
     out = spark.read.parquet(path)
     out = out if kb_id is None else out.where(F.col("kb_id") == kb_id)
-    return out if doc_id is None else out.where(F.col("doc_id") == doc_id)
+    out = out if doc_id is None else out.where(F.col("doc_id") == doc_id)
+    return out if limit is None else out.orderBy(order).limit(limit)
 
 
 def drop_collection(spark: SparkSession, path: str, kb_id: int) -> bool:

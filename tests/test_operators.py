@@ -281,3 +281,36 @@ def test_answers_see_whole_texts(spark, monkeypatch):
     hits = plans._cited(spark, DATA).select("query_id", "text").collect()
     context = {r["doc_id"]: r["context"] for r in contexts.collect()}
     assert any(len(h["text"] or "") > 400 for h in hits) and all((h["text"] or "") in context[h["query_id"]] for h in hits)
+
+
+def test_contained_is_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["red", "fox", "sea", "blue", "runs", "far"])
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, "", "redfox sea", "the  red fox"]
+    passages = [" ".join(word() for _ in range(rng.randint(1, 5))) for _ in range(40)] + ["ed fox se", "red", "", "  ", None, "red  fox sea", texts[3], "x" * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    want = {(i, j) for i, t in enumerate(texts) for j, p in enumerate(passages) if t and p and p.strip() and p in t}
+    got = [tuple(r) for r in review.contained(docs, items).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 20
+
+
+def test_inserts_of_many_parts_are_dense_and_in_order(spark):
+    old = spark.createDataFrame([(7, "old")], "id long, name string")
+    new = spark.range(1000).selectExpr("concat('n', lpad(string(id), 4, '0')) AS name").repartition(9)
+    got = sorted((r["id"], r["name"]) for r in catalog.insert(old, new).where("id > 7").collect())
+    assert got == [(8 + k, f"n{k:04}") for k in range(1000)]
+    assert catalog.insert(old.limit(0), new.limit(0)).count() == 0
+
+
+def test_reviews_take_no_empty_word_file(spark):
+    rows = spark.createDataFrame([("/a/x.docx", files.docx_of([" ", ""])), ("/a/y.docx", files.docx_of(["t"]))], "path string, content binary")
+    got = {r["filename"]: (r["status"], r["error"]) for r in files.load(rows, need_text=True).collect()}
+    assert got == {"x.docx": ("failed", files.EMPTY), "y.docx": ("indexed", None)}
+
+
+def test_folders_of_one_name(spark):
+    rows = spark.createDataFrame([("/a/x/1", 1), ("/b/x/2", 2), ("/b/x/3", 3)], "path string, length long")
+    assert sorted((r["directory"], r["folder"], r["files"], r["bytes"]) for r in files.directory_sizes(rows).collect()) == [("x", "/a/x", 1, 1), ("x", "/b/x", 2, 5)]
