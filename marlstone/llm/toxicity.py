@@ -228,7 +228,7 @@ class Model:
         some = sorted(((sorted(rank[t].tolist()), n[np.argsort(rank[t])].tolist(), label, i, (t, n)) for (t, n), label, i in examples if len(t)), key=lambda e: e[:3])
         self.votes, self.ids = np.array([e[2] for e in some], dtype=bool), [e[3] for e in some]
         shortest = lambda parts, kind: np.concatenate([np.zeros(0, np.int64), *parts]).astype(kind)
-        self.lists = [len(e[4][0]) for e in some], shortest((e[4][0] for e in some), np.int32), shortest((e[4][1] for e in some), np.uint16)
+        self.lists = [len(e[4][0]) for e in some], shortest((e[4][0] for e in some), np.int32), shortest((e[4][1] for e in some), np.uint32)
         blank = [label for (t, _), label, _ in examples if not len(t)]
         self.share = (sum(label for _, label, _ in examples) + 0.5) / (len(examples) + 1)
         self.blank_score = (sum(blank) + self.share) / (len(blank) + 1)
@@ -292,12 +292,15 @@ def _judged(model: Model, words: Vocabulary, texts: list[str | None]) -> list[tu
     return [known[t] for t in texts]
 
 
-#: How places and counts are written down: as the bytes of arrays.
-_PLACES, _COUNTS = "<i4", "<u4"
+def _packed(counts: Counts) -> tuple[bytes, bytes]:
+    """Places and counts as bytes: steps between places, and counts in one byte each where they fit."""
+    places, n = counts
+    return np.diff(places, prepend=0).astype("<u4").tobytes(), n.astype("u1" if not len(n) or n.max() < 256 else "<u4").tobytes()
 
 
-def _arrays(column: pa.Array, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
+def _unpacked(places: bytes, n: bytes) -> Counts:
+    steps = np.frombuffer(places, dtype="<u4")
+    return np.cumsum(steps, dtype=np.int64), np.frombuffer(n, dtype="u1" if len(n) == len(steps) else "<u4")
 
 
 class Toxicity:
@@ -354,7 +357,7 @@ class Toxicity:
                 if not batch.num_rows:
                     continue
                 found = [words.count(text) for text in batch.column("text").to_pylist()]
-                bytes_of = [pa.array([x.astype(kind).tobytes() for x in part], pa.binary()) for part, kind in zip(zip(*found, strict=True), (_PLACES, _COUNTS), strict=True)]
+                bytes_of = [pa.array(part, pa.binary()) for part in zip(*map(_packed, found), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *bytes_of], names=["id", "terms", "n"])
 
         return written(rows.mapInArrow(run, f"id {kind}, terms binary, n binary"))
@@ -367,7 +370,7 @@ class Toxicity:
         def run(batches):
             words, frequency, n = None if counted else Vocabulary(shared.value), np.zeros(size + 1, dtype=np.int64), 0
             for batch in batches:
-                found = _arrays(batch.column(0), _PLACES) if counted else [words.count(text)[0] for text in batch.column(0).to_pylist()]
+                found = [_unpacked(x, b"")[0] for x in batch.column(0).to_pylist()] if counted else [words.count(text)[0] for text in batch.column(0).to_pylist()]
                 frequency += np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=size + 1)
                 n += len(found)
             frequency[-1] = n
@@ -412,7 +415,7 @@ class Toxicity:
             shape = pa.list_(pa.struct([("example", pa.string()), ("cosine", pa.float64())]))
             for batch in batches:
                 if held:
-                    judged = model.judge(list(zip(_arrays(batch.column("terms"), _PLACES), _arrays(batch.column("n"), _COUNTS), strict=True)))
+                    judged = model.judge(list(map(_unpacked, batch.column("terms").to_pylist(), batch.column("n").to_pylist())))
                 else:
                     judged = _judged(model, words, batch.column("text").to_pylist())
                 shown = [[{"example": model.ids[k], "cosine": c} for k, c in zip(near[:evidence].tolist(), cosine[:evidence].tolist(), strict=True)] for _, near, cosine in judged]
