@@ -235,7 +235,9 @@ class NearDedup:
         asked = rows.where("query").select("node", "centre", "part", F.lit(0).alias("role"), *cell(True))
         told = rows.select("node", "centre", "part", F.lit(1).alias("role"), *cell(False))
         cells = asked.unionByName(told).select("node", "centre", "part", "role", "block", F.explode("salts").alias("salt")).join(carried, "node")
-        return cells.repartition("centre", "block", "salt").sortWithinPartitions("centre", "block", "salt", "role", "node")
+        # by range of a hash, whose sampled bounds make tasks even where a hash of few cells would not
+        dealt = cells.withColumn("deal", F.xxhash64("centre", "block", "salt")).repartitionByRange("deal", "centre", "block", "salt")
+        return dealt.sortWithinPartitions("centre", "block", "salt", "role", "node")
 
     def _alike(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
         """rows: node, centre, part. Those whose estimate to one of another part around their centre may be a link."""
