@@ -16,6 +16,7 @@ rows and null ids give a result each. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,20 +33,25 @@ PLAIN = "(?<![^\\s])\\p{L}++(?:['-]\\p{L}++)*+[.,;:!?]?(?![^\\s])"
 
 def _repeated(ws: Column) -> Column:
     """Words inside windows that are found twice or more."""
-    starts = F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
 
-    def exact(_: Column) -> Column:
-        windows = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(ws, i, WINDOW), " ").alias("s"), i.alias("i"))))
+    def hashed(wh: Column) -> Column:
+        first = F.slice(wh, F.lit(1), F.size(wh) - (WINDOW - 1))
+        return F.transform(first, lambda x, i: F.xxhash64(x, *(F.get(wh, i + k) for k in range(1, WINDOW))))
 
-        def places(g: Column) -> Column:
-            near = F.transform(g, lambda x, k: F.when((x["s"] == F.get(g, k - 1)["s"]) | (x["s"] == F.get(g, k + 1)["s"]), x["i"]))
-            return F.array_sort(F.filter(near, lambda i: i.isNotNull()))
+    def again(c: str) -> Callable[[Column], Column]:
+        """Those of a sorted array whose field c a neighbour has too."""
+        return lambda g: F.filter(g, lambda x, k: (x[c] == F.get(g, k - 1)[c]) | (x[c] == F.get(g, k + 1)[c]))
 
+    def exact(hashes: Column) -> Column:
+        # windows whose hash is found again, and of these the ones whose words are
+        marked = let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))), again("h"))
+        windows = F.sort_array(F.transform(marked, lambda x: F.struct(F.array_join(F.slice(ws, x["i"], WINDOW), " ").alias("s"), x["i"].alias("i"))))
+        places = F.sort_array(F.transform(let(windows, again("s")), lambda x: x["i"]))
         zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
         step = lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(a["end"], p)).alias("n"), (p + WINDOW).alias("end"))
-        return F.aggregate(let(windows, places), zero, step, lambda a: a["n"])
+        return F.aggregate(places, zero, step, lambda a: a["n"])
 
+    hashes = let(F.transform(ws, lambda w: F.xxhash64(w)), hashed)
     some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), exact(h)).otherwise(F.lit(0)))
     return F.when(F.size(ws) >= WINDOW, some).otherwise(F.lit(0)).cast("long")
 
