@@ -43,7 +43,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-@_query()
+@_query(
+    r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - 33)) AS k, unnest(list_transform(range(1, len(w) - 33), lambda k: md5(array_to_string(w[k:k + 34], ' ')))) AS h FROM d WHERE len(w) >= 35),
+again AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS p FROM s JOIN again USING (h)),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+left_over AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_over USING (r)"""
+)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = SubstringDedup().remove(_read(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -93,7 +101,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.score(docs).select(F.col("id").alias("doc_id"), held("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
-@_query()
+@_query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) END)) AS s FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+one_way AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+link AS (SELECT x, y FROM one_way UNION ALL SELECT y, x FROM one_way),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN least ON x = doc_id"""
+)
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = NearDedup(size=2).decide(_read(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")

@@ -169,3 +169,67 @@ def test_kept_rows_of_null_and_shared_ids(spark):
 
 def test_nothing(spark):
     assert NearDedup().decide(empty(spark)).count() == 0 == NearDedup().keep(empty(spark)).count()
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_sums_of_powers_confuse(spark, n):
+    a, b = thue_morse(n, "ab"), thue_morse(n, "ba")
+    rows = [(0, f"{a} x", None), (1, f"{b} x", None), (2, f"{a} x", None), (3, " ".join([a, *"cdefghijklmnop"]), None), (4, " ".join([b, *"cdefghijklmnop"]), None)]
+    assert got(spark, rows, 2) == expected(rows, 2)
+    assert {k: c for k, _, c in got(spark, rows, 2)} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}  # 13 of 15 shingles
+
+
+def linked_components(rows, size, percent=80):
+    """As expected(), of many rows: sets that are linked share one of their rarest shingles."""
+    sets = [shingle_set(t, size) for _, t in rows]
+    kinds = sorted({s for s in sets if s}, key=sorted)
+    often = {}
+    for s in kinds:
+        for x in s:
+            often[x] = often.get(x, 0) + 1
+    part = list(range(len(kinds)))
+
+    def find(k):
+        while part[k] != k:
+            part[k] = part[part[k]]
+            k = part[k]
+        return k
+
+    having, links = {}, 0
+    for k, s in enumerate(kinds):
+        near = set()
+        for x in sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-len(s) * percent // 100) + 1]:
+            near.update(having.setdefault(x, []))
+            having[x].append(k)
+        for m in near:
+            both = len(s & kinds[m])
+            if 100 * both >= percent * (len(s) + len(kinds[m]) - both):
+                links += 1
+                part[find(k)] = find(m)
+    place, least = {s: k for k, s in enumerate(kinds)}, {}
+    for (k, _), s in zip(rows, sets, strict=True):
+        if s:
+            root = find(place[s])
+            least[root] = min(k, least.get(root, k))
+    return {k: least[find(place[s])] if s else k for (k, _), s in zip(rows, sets, strict=True)}, links
+
+
+def test_no_link_of_many_documents_is_lost(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    want, links = linked_components([tuple(r) for r in docs.collect()], 2)
+    found = {r["id"]: r["component_id"] for r in NearDedup(2).decide(docs).collect()}
+    wrong = sum(found[k] != c for k, c in want.items())
+    assert links > 500 and wrong <= 0.01 * links, (wrong, links)
+
+
+def test_templates_are_no_links(spark):
+    rng = random.Random(16)
+    base = [f"t{k}" for k in range(60)]
+    rows = [(k, " ".join([*base, *(f"{rng.getrandbits(40):x}" for _ in range(30))]), None) for k in range(400)]
+    rows += [(400 + k, f"{rows[k][1]} {k}", None) for k in range(0, 400, 40)]
+    found = {k: c for k, _, c in got(spark, rows, 2)}
+    assert all(found[k] == (k - 400 if k >= 400 else k) for k in found)

@@ -76,3 +76,25 @@ def test_nothing(spark):
     assert Mixer().mix(empty(spark)).count() == 0 == Mixer().copies(empty(spark)).count()
     blank = awkward(spark, [(1, None, None), (2, "", "a")])
     assert {r["taken"] for r in Mixer().mix(blank).collect()} == {0}
+
+
+def test_rates_solve_the_dual(spark):
+    """Against a plain bisection of each source's tilt."""
+    import math
+
+    rng = random.Random(12)
+    rows = [(k, "w " * int(rng.lognormvariate(4, 1)), rng.choice("abcd")) for k in range(2500)]
+    got = Mixer().mix(awkward(spark, rows)).collect()
+    source = {k: s for k, _, s in rows}
+    for s in "abcd":
+        own = [r for r in got if source[r["id"]] == s]
+        target, mean = own[0]["target"], sum(r["size"] for r in own) / len(own)
+        if target >= 2 * own[0]["source_size"] - 1e-6:
+            assert all(r["rate"] == 2 for r in own)
+            continue
+        rate = lambda r, x: 2 / (1 + math.exp(-max(-500, min(500, x * r["size"] / mean))))
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(r["size"] * rate(r, mid) for r in own) < target else (low, mid)
+        assert all(abs(rate(r, low) - r["rate"]) < 1e-4 for r in own)

@@ -106,3 +106,15 @@ def test_both_libraries_agree():
 
 def test_nothing(spark):
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_both_libraries_agree_on_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").dropDuplicates()
+    files = default_files()
+
+    def differ(batches):
+        fast, slow = encoder(*files), encoder(files[0], None)
+        for batch in batches:
+            yield batch[[fast(t or "").tolist() != slow(t or "").tolist() for t in batch["text"]]]
+
+    assert docs.repartition(8).mapInPandas(differ, "text string").count() == 0

@@ -67,3 +67,32 @@ def test_two_windows_of_one_hash_are_told_apart(monkeypatch):
 
 def test_nothing(spark):
     assert SubstringDedup().remove(empty(spark)).count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_sums_of_powers_confuse(spark, n):
+    rest = [f"w{k}" for k in range(34)]
+    rows = [(k, " ".join([thue_morse(n, letters), *rest]), None) for k, letters in enumerate(("ab", "ba"))]
+    assert got(spark, rows, 35) == expected(rows, 35)
+    assert all(removed == 0 for _, _, removed, _ in got(spark, rows, 35))
+
+
+def test_hot_buckets_are_counted_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SPLIT", 100)
+    for seed in (1, 2):
+        test_shared_and_periodic_passages(spark, "ab", seed)
+    rng = random.Random(5)
+    passage = [f"w{k}" for k in range(14)]
+    rows = [(k % 70, " ".join([f"d{k}x{j}" for j in range(rng.randint(1, 6))] + passage + [f"e{k}", f"f{k}"]), None) for k in range(90)]
+    rows += rows[:3] + [(None, rows[4][1], None), (None, rows[5][1], None)]
+    assert got(spark, rows, 12) == expected(rows, 12)
+    assert got(spark, awkward_rows(), 8) == expected(awkward_rows(), 8)
+
+
+def test_documents(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
+    assert got(spark, rows, 35) == expected(rows, 35)
