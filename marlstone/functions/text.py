@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The white space of all scripts.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """White space of any script off both ends, as Python's str.strip() does; trim() would leave U+3000."""
-    return F.regexp_replace(F.regexp_replace(c, r"^(?U)[\s\x1c-\x1f]+", ""), r"(?U)[\s\x1c-\x1f]+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def paragraphs(c: Column) -> Column:

@@ -40,44 +40,52 @@ def top_k_each(queries: DataFrame, chunks: DataFrame, k: int = 5, vector: str =
     told = chunks.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), share.alias("share"))
     cells = asked.unionByName(told.select(asked.columns)).repartition("block", "share").sortWithinPartitions("block", "share", "role", "id")
 
+    kind = queries.schema[key].dataType.simpleString()
+
+    def nearest(ids, q, best, names, rows):
+        """best: by query, distances and names of at most k; those of more rows are taken in."""
+        near = (q**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None] - 2 * q @ rows.T  # to find candidates; distances are exact
+        slack = 1e-9 * (1 + (q**2).sum(axis=1) + (rows**2).sum(axis=1).max())
+        for at, own in enumerate(near):
+            least = min(np.partition(own, k - 1)[k - 1] if len(own) > k else np.inf, best[at][-1][0] if len(best[at]) == k else np.inf)
+            some = np.flatnonzero(own <= least + slack[at])
+            if len(some):
+                exact = ((rows[some] - q[at]) ** 2).sum(axis=1)
+                best[at] = sorted([*best[at], *zip(exact.tolist(), (names[x] for x in some), strict=True)])[:k]
+
     def run(batches):
-        own, ids, vectors, best = None, [], [], None
+        own, ids, vectors, best = None, [], [], []
 
         def done():
-            if best is not None and ids:
-                flat = [(q, *hit) for q, hits in zip(ids, best, strict=True) for hit in hits]
-                if flat:
-                    cols = list(zip(*flat, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[1], pa.float64())], names=["query_id", "id", "distance2"])
+            flat = [(i, hit[1], hit[0]) for i, hits in zip(ids, best, strict=True) for hit in hits]
+            if flat:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat, strict=True), (id_type, id_type, pa.float64()), strict=True)], names=["query_id", "id", "distance2"])
 
+        id_type = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("id", "v", "role", "block", "share")]
-            rows: list = []
-            for i, v, role, b, s in [*zip(*cols, strict=True), (None, None, 2, None, None)]:
-                if rows and (role != 1 or (b, s) != own):
-                    if ids:
-                        q, m = np.array(vectors), np.array([r[1] for r in rows], dtype=float)
-                        for lot in range(0, len(m), 256):
-                            d = ((q[:, None, :] - m[None, lot : lot + 256, :]) ** 2).sum(axis=2)
-                            names = [r[0] for r in rows[lot : lot + 256]]
-                            for at, row in enumerate(d):
-                                hits = [*best[at], *zip(row.tolist(), names, strict=True)]
-                                best[at] = sorted(hits)[:k]
-                    rows = []
-                if role == 2 or v is None:
-                    continue
-                if (b, s) != own:
+            id_type = batch.column("id").type
+            batch = batch.filter(batch.column("v").is_valid())
+            role, block, share = (batch.column(c).to_numpy() for c in ("role", "block", "share"))
+            names, lists = batch.column("id").to_pylist(), batch.column("v")
+            every = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(names), -1) if len(names) else np.zeros((0, 1))
+            new = np.ones(len(names), dtype=bool)
+            new[1:] = (role[1:] != role[:-1]) | (block[1:] != block[:-1]) | (share[1:] != share[:-1])
+            edges = [*np.flatnonzero(new).tolist(), len(names)]
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                if (block[a], share[a]) != own:
                     yield from done()
-                    own, ids, vectors, best = (b, s), [], [], []
-                if role == 0:
-                    ids.append(i)
-                    vectors.append(np.array(v, dtype=float))
-                    best.append([])
-                else:
-                    rows.append((i, v))
+                    own, ids, vectors, best = (block[a], share[a]), [], [], []
+                if role[a] == 0:
+                    ids += names[a:z]
+                    vectors.append(every[a:z])
+                    best += [[] for _ in range(z - a)]
+                elif ids:
+                    if len(vectors) > 1:
+                        vectors = [np.concatenate(vectors)]
+                    nearest(ids, vectors[0], best, names[a:z], every[a:z])
         yield from done()
 
-    found = cells.mapInArrow(run, "query_id bigint, id bigint, distance2 double")
+    found = cells.mapInArrow(run, f"query_id {kind}, id {kind}, distance2 double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance2", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", key)
 

@@ -11,17 +11,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import first_of, paragraphs, replace_first
+from marlstone.session import stored
 
 #: Order of the detectors, which numbers the changes.
 PHASES = ("typo", "fluency", "duplicate", "compliance")
 
-# Pairs of a misspelling and its correction.
-TYPOS = {"根剧": "根据", "综和": "综合"}
+# Pairs of a misspelling and its correction, frequent ones of two languages.
+TYPOS = {
+    "根剧": "根据", "综和": "综合", "按装": "安装", "布署": "部署", "震憾": "震撼", "松驰": "松弛", "渡假": "度假", "重迭": "重叠", "凑和": "凑合", "帐号": "账号",
+    "accomodat": "accommodat", "acheive": "achieve", "adress": "address", "agressive": "aggressive", "apparant": "apparent", "arguement": "argument", "begining": "beginning", "beleive": "believe",
+    "calender": "calendar", "commitee": "committee", "concious": "conscious", "definately": "definitely", "dissapoint": "disappoint", "embarass": "embarrass", "enviroment": "environment", "existance": "existence",
+    "foriegn": "foreign", "goverment": "government", "grammer": "grammar", "harrass": "harass", "immediatly": "immediately", "independant": "independent", "judgement of": "judgment of", "knowlege": "knowledge",
+    "liason": "liaison", "maintainance": "maintenance", "millenium": "millennium", "mispell": "misspell", "neccessary": "necessary", "noticable": "noticeable", "occured": "occurred", "occurence": "occurrence",
+    "persistant": "persistent", "posession": "possession", "prefered": "preferred", "priviledge": "privilege", "publically": "publicly", "recieve": "receive", "recomend": "recommend", "refered": "referred",
+    "relevent": "relevant", "rythm": "rhythm", "seperate": "separate", "succesful": "successful", "supercede": "supersede", "suprise": "surprise", "tommorow": "tomorrow", "truely": "truly",
+    "untill": "until", "wierd": "weird", "withold": "withhold",
+}
 
 # A rule's id, the term it is on, the unit, the relation the number must have, and the limit.
 LIMITS = (
     ("check_interval", "检查间隔", "小时", "<=", 2.0),
     ("gas_concentration", "浓度", "%", "<=", 1.0),
+    ("air_temperature", "空气温度", "℃", "<=", 26.0),
+    ("oxygen", "氧气", "%", ">=", 20.0),
 )
 
 
@@ -46,8 +58,10 @@ def long_sentences(paras: DataFrame, most: int = 80) -> DataFrame:
 
 def repeated_sentences(paras: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sentences found more than once in one paragraph, with the number of times."""
-    sentence = F.explode(F.filter(F.transform(F.split("content", "[。！？.!?]", -1), lambda s: F.trim(s)), lambda s: F.length(s) > 1))
-    found = paras.select(key, "paragraph_index", sentence.alias("sentence"))
+    sentences = F.filter(F.transform(F.split("content", "[。！？.!?]", -1), lambda s: F.trim(s)), lambda s: F.length(s) > 1)
+    # only paragraphs that repeat one are taken apart
+    twice = paras.where(F.size(F.array_distinct(sentences)) < F.size(sentences))
+    found = twice.select(key, "paragraph_index", F.explode(sentences).alias("sentence"))
     return found.groupBy(key, "paragraph_index", "sentence").agg(F.count("*").alias("times")).where("times > 1")
 
 
@@ -79,10 +93,14 @@ def near_pairs(paras: DataFrame, key: str = "doc_id", size: int = 5, percent: in
 
     A paragraph stands for its equals (the least index); exact_classes has those.
     Two sets at the threshold share one of their first shingles, in any one
-    order, so only these prefixes are joined, within the document.
+    order, so only these prefixes are joined, within the document. The sets are
+    made once, of documents with two unlike paragraphs or more, and written down.
     """
     distinct = paras.groupBy(key, "content").agg(F.min("paragraph_index").alias("i"))
+    several = distinct.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key)
+    distinct = distinct.join(several, key, "left_semi")
     sets = distinct.select(key, "i", F.sort_array(F.transform(shingles(F.col("content"), size), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
+    sets = stored(sets)
     keep = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
     prefixes = sets.select(key, "i", F.size("s").alias("n"), F.explode(F.slice("s", 1, keep)).alias("h"))
     a, b = prefixes.alias("a"), prefixes.alias("b")
@@ -224,25 +242,31 @@ def contained(docs: DataFrame, passages: DataFrame, key: str = "doc_id", item: s
     A passage's inner words (its first and last may be parts of words) stand in
     the document as they are, so runs of at most size of them find candidates by
     an equi-join on a hash; each is then confirmed. A passage of one or two
-    words is found by all documents that have a word which holds its longest
-    word: these short ones are told apart first and looked for text by text.
+    words is found by its first three letters in the same way. Documents are
+    taken apart only in the ways that the passages call for.
     """
     ws = F.filter(F.split(F.col(text), r"\s+", -1), lambda w: w != "")
-    items = passages.where(F.col(text).rlike(r"\S")).select(item, F.col(text).alias("__passage"), ws.alias("__w"))
-    n = F.least(F.lit(size), F.size("__w") - 2)
-    anchors = items.where(F.size("__w") > 2).select(item, "__passage", n.alias("__n"), F.xxhash64(F.array_join(F.slice("__w", 2, n), " ")).alias("__h"))
-    texts = docs.select(key, F.col(text).alias("__text"))
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.size("__w") - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, k), " ")))
-    split = docs.select(key, ws.alias("__w"))
+    split = passages.where(F.col(text).rlike(r"\S")).select(item, F.col(text).alias("__passage"), ws.alias("__w"))
+    by_words = F.size("__w") > 2
+    n = F.when(by_words, F.least(F.lit(size), F.size("__w") - 2)).otherwise(F.least(F.lit(3), F.length("__passage")))
+    anchor = F.when(by_words, F.array_join(F.slice("__w", F.lit(2), n), " ")).otherwise(F.substr("__passage", F.lit(1), n))
+    items = split.select(item, "__passage", by_words.alias("__words"), n.alias("__n"), F.xxhash64(anchor).alias("__h"))
+    starts = lambda whole, k: F.when(whole >= k, F.sequence(F.lit(1), whole - (k - 1))).otherwise(F.array().cast("array<int>"))
     found = None
-    for k in range(1, size + 1):  # sizes of anchors
-        each = split.where(F.size("__w") >= k).select(key, F.explode(F.array_distinct(runs(k))).alias("__h"))
-        part = each.join(anchors.where(F.col("__n") == k).select(item, "__h"), "__h").select(key, item)
+    for r in items.select("__words", "__n").distinct().collect():  # at most size + 3 kinds
+        k = r["__n"]
+        if r["__words"]:
+            taken = docs.select(key, ws.alias("__w")).select(key, F.transform(starts(F.size("__w"), k), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, k), " "))).alias("__runs"))
+        else:
+            taken = docs.select(key, F.transform(starts(F.length(text), k), lambda i: F.xxhash64(F.substr(F.col(text), i, F.lit(k)))).alias("__runs"))
+        each = taken.select(key, F.explode(F.array_distinct("__runs")).alias("__h"))
+        own = items.where((F.col("__n") == k) & (F.col("__words") == r["__words"])).select(item, "__h")
+        part = each.join(own, "__h").select(key, item)
         found = part if found is None else found.unionByName(part)
-    met = found.distinct().join(texts, key).join(items.select(item, "__passage"), item).where(F.contains("__text", F.col("__passage")))
-    # a passage of one or two words can't be keyed; there are few, and Spark weighs their size before it sends them to all tasks
-    short = texts.join(items.where(F.size("__w") <= 2).select(item, "__passage"), F.contains("__text", F.col("__passage")))
-    return met.select(key, item).unionByName(short.select(key, item))
+    if found is None:
+        return docs.select(key).join(passages.select(item), F.lit(False))
+    met = found.distinct().join(docs.select(key, F.col(text).alias("__text")), key).join(items.select(item, "__passage"), item)
+    return met.where(F.contains("__text", F.col("__passage"))).select(key, item)
 
 
 def stated(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:

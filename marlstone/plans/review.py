@@ -120,6 +120,25 @@ def comparison_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.marked_spans(table(spark, sf_dir, "documents"), changes)
 
 
-@query()
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(v) if isinstance(v, float) else "'" + str(v).replace("'", "''") + "'" for v in row) + ")" for row in rows)
+
+
+ALL_LIMITS = " UNION ALL BY NAME ".join(
+    f"""SELECT doc_id, paragraph_index, v AS value, '{rule}' AS reference, '{relation} {limit:g} {unit}' AS suggestion FROM (SELECT doc_id, paragraph_index,
+  CAST(unnest(regexp_extract_all(content, '{term}[^0-9。]{{0,12}}([0-9]+(?:\\.[0-9]+)?)\\s*{unit}', 1)) AS DOUBLE) AS v FROM p WHERE contains(content, '{term}')) WHERE NOT v {relation} {limit}"""
+    for rule, term, unit, relation, limit in review.LIMITS
+)
+
+
+@query(
+    f"""WITH {PARAGRAPHS}, {REPEAT_SQL}, u AS (
+  SELECT doc_id, paragraph_index, original, corrected, 'misspelling' AS reason, 'typo' AS type, 0 AS phase FROM p, (VALUES {_values(review.TYPOS.items())}) t(original, corrected) WHERE contains(content, original)
+  UNION ALL BY NAME SELECT *, 'fluency' AS type, 1 AS phase FROM (SELECT doc_id, paragraph_index, unnest(regexp_extract_all(content, '[^。！？.!?]+[。！？.!?]?')) AS original, 'long sentence' AS issue FROM p) WHERE length(original) > 80
+  UNION ALL BY NAME SELECT doc_id, paragraph_index, sentence AS original, 'remove the repetition' AS suggestion, 'duplicate' AS type, 2 AS phase FROM repeats
+  UNION ALL BY NAME SELECT *, 'compliance' AS type, 3 AS phase FROM ({ALL_LIMITS}))
+SELECT CAST(row_number() OVER (PARTITION BY doc_id ORDER BY phase, paragraph_index NULLS FIRST, corrected NULLS FIRST, issue NULLS FIRST, original NULLS FIRST, reason NULLS FIRST, reference NULLS FIRST, suggestion NULLS FIRST, value NULLS FIRST) AS INTEGER) AS id,
+  doc_id, paragraph_index, original, corrected, reason, issue, suggestion, value, reference, type, type AS category FROM u"""
+)
 def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review(table(spark, sf_dir, "documents"))

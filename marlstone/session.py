@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -48,3 +49,24 @@ def shared_path(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+_stored: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read again, so that it is made once and no lineage grows. Files go when the driver's Python ends."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
+    df.write.parquet(path)
+    _stored.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop() -> None:
+    for spark, path in _stored:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session may have ended before
+            pass
