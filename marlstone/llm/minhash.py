@@ -20,8 +20,10 @@
    what may be linked with a class of another component then on full sets. It
    reports one link per query and component, so no family is written out as pairs.
    The bands are steep: of a family that shares half of its shingles (a
-   template), one in twenty-five shares a given bucket with the template, and its
-   estimates are eight standard errors below a link, so texts don't travel.
+   template), one in seventeen is in a given bucket of the template. Those are
+   compared by their signatures, each sent to at most sixteen cells, and their
+   estimates are over five standard errors below what may be a link, so their
+   texts don't travel.
 6. Components by alternating stars.
 
 Two sets at 0.8 share no band with a chance of 1.3e-5. Null, empty and blank texts
@@ -51,6 +53,8 @@ CENTRES = 3
 MEMORY = 500_000
 #: Sets of one block of queries, and rows that a cell streams past them.
 BLOCK_QUERIES, BLOCK_ROWS = 256, 512
+#: Blocks that a group's signatures are dealt into at most, while a block holds no more than so many of them.
+MOST_BLOCKS, MOST_SIGNATURES = 16, 16_384
 _LANES = 64 // BITS
 _LONGS = HASHES // _LANES
 _draw = np.random.Generator(np.random.PCG64(77))
@@ -221,12 +225,20 @@ class NearDedup:
         rows = docs.select(F.struct(F.col(self.key).alias("id")).alias("who"), F.xxhash64(self.text).alias("body"), F.col(self.text).alias("text"))
         return written(needed.join(rows, ["who", "body"]).select("node", "text").dropDuplicates(["node"]))
 
-    def _cells(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
-        """rows: node, centre, part; carried: node and what else is needed. Around each centre, the queries (role 0) and the rows (role 1) that they are held against, in sorted cells."""
+    def _cells(self, rows: DataFrame, carried: DataFrame, small: bool) -> DataFrame:
+        """rows: node, centre, part; carried: node and what else is needed. Around each centre, the queries (role 0) and the rows (role 1) that they are held against, in sorted cells.
+
+        small: what is carried is, so blocks grow with the group, and a row is sent to few of them.
+        """
         sizes = rows.groupBy("centre", "part").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("centre").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
         mixed = written(mixed.select("centre", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("queries"), "n"))  # so that the join may split a hot centre
-        rows = rows.join(mixed, "centre").select("node", "centre", "part", (F.col("part") != F.col("top")).alias("query"), F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("salts"), F.ceil(F.col("queries") / BLOCK_QUERIES).cast("int").alias("blocks"))
+
+        def blocks(n: str, least: int) -> Column:
+            size = F.greatest(F.lit(least), F.least(F.ceil(F.col(n) / MOST_BLOCKS), F.lit(MOST_SIGNATURES))) if small else F.lit(least)
+            return F.ceil(F.col(n) / size).cast("int")
+
+        rows = rows.join(mixed, "centre").select("node", "centre", "part", (F.col("part") != F.col("top")).alias("query"), blocks("n", BLOCK_ROWS).alias("salts"), blocks("queries", BLOCK_QUERIES).alias("blocks"))
         rows = written(rows)
         spread = F.xxhash64("node", "centre")
         # a query stands in its block under every salt; a row under its salt in every block
@@ -249,12 +261,18 @@ class NearDedup:
             asked, told = cell[cell[:, 3] == 0], cell[cell[:, 3] == 1]
             if not len(asked):
                 return []
-            unequal = np.zeros((len(asked), len(told)), dtype=np.uint16)
-            for k in range(6, 6 + _LONGS):
-                x = asked[:, k].view(np.uint64)[:, None] ^ told[:, k].view(np.uint64)[None]
-                unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-            hit = (unequal <= most) & (asked[:, 5][:, None] != told[:, 5][None])
-            found = np.unique(np.concatenate((asked[hit.any(axis=1), 4], told[hit.any(axis=0), 4])))
+            like, met = np.zeros(len(asked), dtype=bool), np.zeros(len(told), dtype=bool)
+            step = max(1, 1_000_000 // max(1, len(told)))
+            sides = [(np.ascontiguousarray(asked[:, k]).view(np.uint64), np.ascontiguousarray(told[:, k]).view(np.uint64)) for k in range(6, 6 + _LONGS)]
+            for at in range(0, len(asked), step):
+                unequal = np.zeros((min(step, len(asked) - at), len(told)), dtype=np.uint16)
+                for a, b in sides:
+                    x = a[at : at + step, None] ^ b[None]
+                    unequal += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
+                hit = (unequal <= most) & (asked[at : at + step, 5][:, None] != told[:, 5][None])
+                like[at : at + step] = hit.any(axis=1)
+                met |= hit.any(axis=0)
+            found = np.unique(np.concatenate((asked[like, 4], told[met, 4])))
             return [pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), cell[0, 0]))], names=["node", "centre"])] if len(found) else []
 
         def run(batches):
@@ -268,7 +286,7 @@ class NearDedup:
             if len(held):
                 yield from judged(held)
 
-        cells = self._cells(rows, nodes.select("node", *longs)).select(own)
+        cells = self._cells(rows, nodes.select("node", *longs), small=True).select(own)
         return rows.join(written(cells.mapInArrow(run, "node bigint, centre bigint")).distinct(), ["node", "centre"], "left_semi")
 
     def _rest(self, around: DataFrame, nodes: DataFrame, parts: DataFrame, docs: DataFrame) -> DataFrame:
@@ -278,7 +296,7 @@ class NearDedup:
         rows = written(around.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
         before, rows = rows, written(self._alike(rows, nodes))
         drop(before)
-        dealt = self._cells(rows, self._texts(rows.select("node").distinct(), nodes, docs))
+        dealt = self._cells(rows, self._texts(rows.select("node").distinct(), nodes, docs), small=False)
 
         def run(batches):
             own, queries, index, seen = None, [], None, set()
