@@ -27,3 +27,7 @@ def test_pipeline_stages(spark):
     assert packed.agg({"length": "sum"}).first()[0] > 0
     whole = corpus_pipeline.run(spark, DATA)
     assert whole.agg({"length": "sum"}).first()[0] == packed.agg({"length": "sum"}).first()[0]
+
+
+def test_names_of_the_queries():
+    assert sorted(registry.QUERIES) == sorted("op1_exact_dedup op2_substring_dedup op3_quality_rules op4_pii op5_warc op6_toxicity op7_minhash_near_dedup op8_mixing op9_chat_formatting op10_packing".split())
