@@ -300,3 +300,26 @@ def relations(paras: DataFrame, pattern: str, relation: str, limit: float) -> Da
     found = paras.select(*[c for c in paras.columns if c != "content"], value.alias("value")).withColumn("value", F.col("value").cast("double"))
     holds = {"<": F.col("value") < limit, "<=": F.col("value") <= limit, ">": F.col("value") > limit, ">=": F.col("value") >= limit}[relation]
     return found.where(~holds)
+
+
+#: Severity of a detector's findings in a final report.
+LEVELS = {"compliance": "severe", "typo": "warning", "fluency": "suggestion", "duplicate": "suggestion"}
+
+
+def final_report(docs: DataFrame, changes: DataFrame, pairs: dict[str, str], key: str = "doc_id", text: str = "text", most: int = 500) -> DataFrame:
+    """A document's report at the end of the five steps: found, judged, related, rewritten, summed up.
+
+    key, is_compliant (nothing severe), issues in all and by severity,
+    dependencies (further paragraphs with the same wording as one that changes),
+    revised_content (known misspellings replaced, each once) and summary, its
+    first characters. Documents without findings are compliant.
+    """
+    level = F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair))[F.col("type")]
+    counted = changes.groupBy(key).agg(F.count("*").alias("total_issues"), *(F.count_if(level == v).alias(f"{v}_issues") for v in ("severe", "warning", "suggestion")))
+    places = changes.select(key, "original", "paragraph_index").distinct().groupBy(key, "original").agg((F.count("*") - 1).alias("__more"))
+    related = places.groupBy(key).agg(F.sum("__more").alias("dependencies"))
+    revised = F.col(text)
+    for old, new in pairs.items():
+        revised = replace_first(revised, F.lit(old), F.lit(new))
+    met = docs.select(key, revised.alias("revised_content")).join(counted, key, "left").join(related, key, "left").fillna(0, [*counted.columns[1:], "dependencies"])
+    return met.withColumn("is_compliant", F.col("severe_issues") == 0).withColumn("summary", F.substring("revised_content", 1, most))

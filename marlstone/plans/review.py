@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.operators import review
 from marlstone.plans.base import query
 from marlstone.plans.texts import PARAGRAPHS
-from marlstone.session import table
+from marlstone.session import spread, table
 
 #: Stand-ins for misspellings and limits, of words that the documents hold.
 PAIRS = {"stupid": "unwise", "worthless": "poor"}
@@ -22,7 +22,7 @@ RULE_SQL = """broken AS (SELECT doc_id, paragraph_index, v AS value FROM
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.split_paragraphs(table(spark, sf_dir, "documents"))
+    return review.split_paragraphs(spread(table(spark, sf_dir, "documents")))
 
 
 @query(f"WITH {PARAGRAPHS}, {TYPO_SQL} SELECT *, 'misspelling' AS reason FROM typo")
@@ -141,4 +141,4 @@ SELECT CAST(row_number() OVER (PARTITION BY doc_id ORDER BY phase, paragraph_ind
   doc_id, paragraph_index, original, corrected, reason, issue, suggestion, value, reference, type, type AS category FROM u"""
 )
 def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.review(table(spark, sf_dir, "documents"))
+    return review.review(spread(table(spark, sf_dir, "documents")))

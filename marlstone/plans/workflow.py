@@ -11,7 +11,7 @@ from marlstone.operators import catalog, chat, retrieval, review, usage
 from marlstone.plans import usage as usage_plans
 from marlstone.plans.base import query
 from marlstone.plans.retrieval import D2
-from marlstone.plans.review import CHANGES_SQL, _changes, _paragraphs
+from marlstone.plans.review import CHANGES_SQL, PAIRS, REPLACE, _changes, _paragraphs
 from marlstone.plans.texts import PARAGRAPHS
 from marlstone.session import table
 
@@ -303,3 +303,15 @@ def change_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes as a list shows them."""
     changes = _changes(spark, sf_dir).withColumn("reason", F.lit(None).cast("string")).withColumn("type", F.struct("type", "doc_id"))
     return views.change_view(changes).select("id", F.col("type.type").alias("type"), "original", "proposed", "because", F.col("type.doc_id").alias("doc_id"))
+
+
+@query(
+    CHANGES_SQL
+    + f""", n AS (SELECT doc_id, count(*) AS total_issues, count(*) FILTER (type = 'compliance') AS severe_issues, count(*) FILTER (type = 'typo') AS warning_issues, count(*) FILTER (type = 'duplicate') AS suggestion_issues FROM c GROUP BY doc_id),
+r AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS dependencies FROM (SELECT doc_id, original, count(DISTINCT paragraph_index) AS n FROM c GROUP BY doc_id, original) GROUP BY doc_id),
+a AS (SELECT doc_id, {REPLACE.format("text", "stupid", "unwise", 6)} AS t1 FROM documents), b AS (SELECT doc_id, {REPLACE.format("t1", "worthless", "poor", 9)} AS revised_content FROM a)
+SELECT doc_id, revised_content, substr(revised_content, 1, 500) AS summary, coalesce(total_issues, 0) AS total_issues, coalesce(severe_issues, 0) AS severe_issues, coalesce(warning_issues, 0) AS warning_issues,
+  coalesce(suggestion_issues, 0) AS suggestion_issues, coalesce(dependencies, 0) AS dependencies, coalesce(severe_issues, 0) = 0 AS is_compliant FROM b LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)"""
+)
+def final_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.final_report(table(spark, sf_dir, "documents"), _changes(spark, sf_dir), PAIRS)

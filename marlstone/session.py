@@ -40,6 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt anew where it has fewer parts than there are cores, as files of one row group have; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new path in the folder that spark.checkpoint.dir names; one of our own only where that is unset and all tasks run in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
