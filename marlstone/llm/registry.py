@@ -14,6 +14,7 @@ from marlstone.llm.mixing import Mixer
 from marlstone.llm.store import for_texts
 from marlstone.llm.substrings import SubstringDedup
 from marlstone.llm.toxicity import Toxicity
+from marlstone.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +31,7 @@ def _query(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return for_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(for_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 @_query(
