@@ -10,7 +10,7 @@ size, summed in whole thousandths so that reruns agree to the last bit.
 Rates become whole copies by systematic rounding in strata of like size: within
 a stratum, ordered by size, the copies of any stretch differ from its summed
 rates by less than one. What a source still lacks or has too much is then made up
-with a few documents of each power of two of sizes.
+with a few documents of each power of two of sizes, that of the nearest size first.
 
 Sources are ranked by code point, null last, and weigh as ``weights`` says,
 repeating. Their totals and targets are held by the driver: sources are things a
@@ -146,14 +146,19 @@ class Mixer:
             by_source.setdefault(y["source"], []).append(y)
         moves = []
         for r in taken:
-            lack = r["target"] - r["taken"]
-            sign = 1 if lack > 0 else -1
-            name = "more" if sign > 0 else "less"
-            own = {x["row"]: x for y in by_source.get(r["source"], ()) for k in range(PICKS) if (x := y[f"{name}{k}"])}
-            for x in sorted(own.values(), key=lambda x: (-x["size"], x["h"])):
-                if x["size"] <= abs(lack) + 0.5:
-                    lack -= sign * x["size"]
-                    moves.append((x["row"], sign))
+            lack, own = r["target"] - r["taken"], {}
+            for name in ("more", "less"):
+                own[name] = {x["row"]: x for y in by_source.get(r["source"], ()) for k in range(PICKS) if (x := y[f"{name}{k}"])}
+            while True:  # each move brings the source nearer, to and fro, and no document is moved twice
+                sign, name = (1, "more") if lack > 0 else (-1, "less")
+                near = [x for x in own[name].values() if x["size"] < 2 * abs(lack)]
+                if not near:
+                    break
+                x = min(near, key=lambda x: (abs(abs(lack) - x["size"]), x["h"]))
+                lack -= sign * x["size"]
+                moves.append((x["row"], sign))
+                for side in own.values():
+                    side.pop(x["row"], None)
         if not moves:
             return rows
         # a few documents of each power of two of sizes by source: a bounded table, checked as the table of sources is

@@ -58,11 +58,12 @@ def test_documents_as_often_as_mixed(stages):
     given, mixed = stages["mixing"]
     copies = {r["id"]: r["copies"] for r in Mixer().mix(given).collect()}
     assert rows(mixed) == Counter({k: copies[k[0]] for k in rows(given) if copies[k[0]]})
-    sizes, targets = Counter(), {}
+    source = {r["doc_id"]: r["source"] for r in given.collect()}
+    by_source = {}
     for r in Mixer().mix(given).collect():
-        targets[r["source_size"], r["target"]] = targets.get((r["source_size"], r["target"]), 0) + r["taken"]
-        sizes[r["id"]] += r["size"]
-    assert all(abs(taken - target) <= max(300, 0.05 * target) for (_, target), taken in targets.items())
+        by_source.setdefault(source[r["id"]], []).append(r)
+    for own in by_source.values():  # few documents each: as near as a document of usual size allows
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= sorted(r["size"] for r in own)[len(own) // 2]
 
 
 def test_all_tokens_are_packed(stages):
