@@ -113,12 +113,15 @@ def near_pairs(paras: DataFrame, key: str = "doc_id", size: int = 5, percent: in
     return met.select(key, F.col("i").alias("paragraph_index_1"), F.col("j").alias("paragraph_index_2"), F.round(F.col("both") / F.col("all"), 6).alias("similarity"))
 
 
+def _limit_pattern(term: str, unit: str) -> str:
+    return f"{term}[^0-9。]{{0,12}}([0-9]+(?:\\.[0-9]+)?)\\s*{unit}"
+
+
 def compliance(paras: DataFrame, limits=LIMITS) -> DataFrame:
     """Numbers that break a rule: the rule's term, then within 12 characters a number with its unit."""
     out = []
     for rule, term, unit, relation, limit in limits:
-        pattern = f"{term}[^0-9。]{{0,12}}([0-9]+(?:\\.[0-9]+)?)\\s*{unit}"
-        value = F.explode(F.regexp_extract_all("content", F.lit(pattern), 1))
+        value = F.explode(F.regexp_extract_all("content", F.lit(_limit_pattern(term, unit)), 1))
         found = paras.where(F.contains("content", F.lit(term))).withColumn("value", value).withColumn("value", F.col("value").cast("double"))
         broken = F.col("value") > limit if relation == "<=" else F.col("value") < limit
         out.append(found.where(broken).select(*[c for c in paras.columns if c != "content"], "value", F.lit(rule).alias("reference"), F.lit(f"{relation} {limit:g} {unit}").alias("suggestion")))
@@ -147,6 +150,32 @@ def merge(findings: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:
     return merged.withColumn("id", F.coalesce("__own", place)).drop("__phase", "__own")
 
 
+def scan(paras: DataFrame, pairs: dict[str, str] | None = None, limits=LIMITS) -> DataFrame:
+    """Misspellings, repeated sentences and broken limits in one pass over the paragraphs: columns of paras but content, phase, type, original, corrected.
+
+    The same findings as typos(), repeated_sentences() and compliance() give, each
+    paragraph's as one array. A repeated sentence is one finding, a limit's
+    original is the number.
+    """
+    of = lambda name, original, corrected: F.struct(F.lit(PHASES.index(name)).alias("phase"), F.lit(name).alias("type"), original.alias("original"), corrected.cast("string").alias("corrected"))
+    known = F.array(*(F.struct(F.lit(a).alias("original"), F.lit(b).alias("corrected")) for a, b in (pairs or TYPOS).items()))
+    found = [F.transform(F.filter(known, lambda p: F.contains(F.col("content"), p["original"])), lambda p: of("typo", p["original"], p["corrected"]))]
+    sentences = F.sort_array(F.filter(F.transform(F.split("content", "[。！？.!?]", -1), lambda s: F.trim(s)), lambda s: F.length(s) > 1))
+    second = lambda g: F.filter(g, lambda s, k: (s == F.get(g, k - 1)) & ~F.coalesce(s == F.get(g, k - 2), F.lit(False)))
+    found.append(F.transform(F.transform(F.array(sentences), second)[0], lambda s: of("duplicate", s, F.lit(None))))
+    for _, term, unit, relation, limit in limits:
+        values = F.transform(F.regexp_extract_all("content", F.lit(_limit_pattern(term, unit)), 1), lambda v: v.cast("double"))
+        broken = F.filter(values, lambda v: v > limit) if relation == "<=" else F.filter(values, lambda v: v < limit)
+        found.append(F.transform(broken, lambda v: of("compliance", v.cast("string"), F.lit(None))))
+    return paras.select(*[c for c in paras.columns if c != "content"], F.explode(F.concat(*found)).alias("__f")).select(*[c for c in paras.columns if c != "content"], "__f.*")
+
+
+def numbered_findings(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What scan() finds, with category and an id that counts per document in the detectors' order."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy("phase", F.asc_nulls_first("paragraph_index"), F.asc_nulls_first("corrected"), "original"))
+    return found.withColumn("id", place).withColumn("category", F.col("type")).drop("phase")
+
+
 def counts(changes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Changes by detector and in all."""
     return changes.groupBy(key).agg(F.count("*").alias("total_changes"), *(F.count_if(F.col("type") == p).alias(f"{p}_count") for p in PHASES))

@@ -69,10 +69,8 @@ def compliance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paras = _paragraphs(spark, sf_dir)
-    repeats = review.repeated_sentences(paras).select("doc_id", "paragraph_index", F.col("sentence").alias("original"))
-    broken = review.compliance(paras, RULES).select("doc_id", "paragraph_index", F.col("value").cast("string").alias("original"))
-    return review.merge({"typo": review.typos(paras, PAIRS).drop("reason"), "duplicate": repeats, "compliance": broken})
+    """All findings, from one pass over the paragraphs."""
+    return review.numbered_findings(review.scan(_paragraphs(spark, sf_dir), PAIRS, RULES))
 
 
 CHANGES_SQL = f"""WITH {PARAGRAPHS}, {TYPO_SQL}, {REPEAT_SQL}, {RULE_SQL}, u AS (
