@@ -45,6 +45,23 @@ def review_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.load(word, need_text=True).select(F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("doc_id"), "status", "error", "content")
 
 
+@query(
+    """SELECT doc_id, CAST(k AS INTEGER) AS page, array_to_string(l[20 * k + 1:20 * k + 20], chr(10)) AS content
+FROM (SELECT doc_id, l, unnest(range(0, greatest(1, CAST(ceil(len(l) / 20) AS BIGINT)))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
+)
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files of twenty lines a page, read page by page."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def drawn(batches):
+        for batch in batches:
+            pages = [[lines[k : k + 20] for k in range(0, len(lines), 20)] for lines in ((t or "").split("\n") for t in batch["text"])]
+            yield batch[["doc_id"]].assign(content=[files.pdf_of(["\n".join(p) for p in own]) for own in pages])
+
+    made = docs.mapInPandas(drawn, "doc_id bigint, content binary").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "content")
+    return files.load(made).select(F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("doc_id"), "page", "content")
+
+
 @query("SELECT doc_id, text || chr(10) AS content FROM documents")
 def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word files read with their empty paragraphs kept."""

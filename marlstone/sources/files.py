@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -60,15 +62,82 @@ def docx_of(paragraphs: list[str]) -> bytes:
     return out.getvalue()
 
 
+_PDF_TOKEN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|[A-Za-z'\"*]+|\[|\]", re.DOTALL)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace")
+    plain = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.DOTALL)
+    return plain.decode("cp1252", "replace")
+
+
+def _simple_pdf_pages(content: bytes) -> list[str]:
+    """Pages of a PDF of plain or deflated streams and one-byte fonts: each move to another line starts one."""
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.DOTALL)}
+    if b"/Encrypt" in content or b"/ObjStm" in content or b"/Type0" in content:
+        raise ValueError("this PDF needs a PDF parser, and none is installed")
+
+    def kids(number: int) -> Iterator[bytes]:
+        body = objects.get(number, b"")
+        listed = re.search(rb"/Kids\s*\[(.*?)\]", body, re.DOTALL)
+        if listed is None:
+            yield body
+        for k in re.findall(rb"(\d+)\s+\d+\s+R", listed[1]) if listed else ():
+            yield from kids(int(k))
+
+    def text(number: int) -> str:
+        stream = re.search(rb"stream\r?\n(.*?)\r?\nendstream", objects[number], re.DOTALL)[1]
+        if b"/FlateDecode" in objects[number]:
+            stream = zlib.decompressobj().decompress(stream)  # a checksum's last byte may look like a line's end
+        lines, held, begun = [""], [], False
+        for token in _PDF_TOKEN.findall(stream):
+            if token[:1] in b"(<":
+                held.append(_pdf_string(token))
+            elif token in (b"Tj", b"TJ", b"'", b'"'):
+                lines += [""] * (token in (b"'", b'"'))
+                lines[-1] += "".join(held)
+                held, begun = [], True
+            elif begun and token in (b"T*", b"Td", b"TD", b"Tm"):
+                lines.append("")
+        return "\n".join(lines)
+
+    root = re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", content)
+    if root is None:
+        raise ValueError("no pages")
+    return ["".join(text(int(k)) for k in re.findall(rb"(\d+)\s+\d+\s+R", re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)[1])) for page in kids(int(root[1]))]
+
+
 def pdf_pages(content: bytes) -> list[str]:
-    """A PDF's pages; needs a PDF parser, which is optional."""
+    """A PDF's pages, by a PDF parser where one is installed, else those of a simple file."""
     try:
         from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("no PDF parser is installed") from e
+    except ImportError:
+        return _simple_pdf_pages(content)
     return [page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages]
 
 
+def pdf_of(pages: list[str]) -> bytes:
+    """A minimal PDF of these pages, each of lines in a one-byte font."""
+    said = lambda line: line.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r")
+    streams = [zlib.compress(b"BT /F1 10 Tf 50 800 Td " + b" T* ".join(b"(" + said(x) + b") Tj" for x in page.split("\n")) + b" ET") for page in pages]
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [" + b" ".join(b"%d 0 R" % (4 + 2 * k) for k in range(len(pages))) + b"] /Count %d >>" % len(pages), b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"]
+    for k, stream in enumerate(streams):
+        objects.append(b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (5 + 2 * k))
+        objects.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(stream) + stream + b"\nendstream")
+    out, places = io.BytesIO(b"%PDF-1.4\n"), []
+    out.seek(0, io.SEEK_END)
+    for k, body in enumerate(objects, 1):
+        places.append(out.tell())
+        out.write(b"%d 0 obj\n" % k + body + b"\nendobj\n")
+    start = out.tell()
+    out.write(b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % p for p in places))
+    out.write(b"trailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, start))
+    return out.getvalue()
+
+
 def _text(content: bytes) -> list[str]:
     return [content.decode("utf-8")]
 

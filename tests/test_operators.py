@@ -314,3 +314,13 @@ def test_reviews_take_no_empty_word_file(spark):
 def test_folders_of_one_name(spark):
     rows = spark.createDataFrame([("/a/x/1", 1), ("/b/x/2", 2), ("/b/x/3", 3)], "path string, length long")
     assert sorted((r["directory"], r["folder"], r["files"], r["bytes"]) for r in files.directory_sizes(rows).collect()) == [("x", "/a/x", 1, 1), ("x", "/b/x", 2, 5)]
+
+
+def test_simple_pdfs(spark):
+    pages = ["one (two) \\ three\n\nünï", "", "\nfirst line blank", "x" * 5000]
+    assert files.pdf_pages(files.pdf_of(pages)) == pages
+    plain = b"%PDF-1.1\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n3 0 obj << /Type /Page /Contents [4 0 R] >> endobj\n4 0 obj << /Length 60 >>\nstream\nBT 1 0 0 1 50 700 Tm [(He) -20 (llo)] TJ 0 -14 Td <776F726C64> Tj (!\\041) ' ET\nendstream endobj"
+    assert files.pdf_pages(plain) == ["Hello\nworld\n!!"]
+    rows = spark.createDataFrame([("/a/x.pdf", files.pdf_of(["a", "b"])), ("/a/y.pdf", b"%PDF-1.7 /ObjStm"), ("/a/z.pdf", b"")], "path string, content binary")
+    got = sorted((r["filename"], r["page"], r["content"], r["status"]) for r in files.load(rows).collect())
+    assert got == [("x.pdf", 0, "a", "indexed"), ("x.pdf", 1, "b", "indexed"), ("y.pdf", 0, None, "failed"), ("z.pdf", 0, None, "failed")]
