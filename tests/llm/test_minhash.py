@@ -175,12 +175,11 @@ def thue_morse(n, letters):
     return "".join(letters[bin(k).count("1") % 2] for k in range(n))
 
 
-@pytest.mark.parametrize("n", [1024, 4096])
-def test_words_that_sums_of_powers_confuse(spark, n):
-    a, b = thue_morse(n, "ab"), thue_morse(n, "ba")
+def test_words_that_sums_of_powers_confuse(spark):
+    a, b = thue_morse(1024, "ab"), thue_morse(1024, "ba")
     rows = [(0, f"{a} x", None), (1, f"{b} x", None), (2, f"{a} x", None), (3, " ".join([a, *"cdefghijklmnop"]), None), (4, " ".join([b, *"cdefghijklmnop"]), None)]
-    assert got(spark, rows, 2) == expected(rows, 2)
-    assert {k: c for k, _, c in got(spark, rows, 2)} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}  # 13 of 15 shingles
+    found = got(spark, rows, 2)
+    assert found == expected(rows, 2) and {k: c for k, _, c in found} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 3}  # 13 of 15 shingles
 
 
 def linked_components(rows, size, percent=80):
@@ -219,7 +218,7 @@ def linked_components(rows, size, percent=80):
 
 
 def test_no_link_of_many_documents_is_lost(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(4)
     want, links = linked_components([tuple(r) for r in docs.collect()], 2)
     found = {r["id"]: r["component_id"] for r in NearDedup(2).decide(docs).collect()}
     wrong = sum(found[k] != c for k, c in want.items())

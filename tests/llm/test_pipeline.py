@@ -72,8 +72,3 @@ def test_all_tokens_are_packed(stages):
     check([(r["doc_id"], r["text"]) for r in given.collect()], kept)
     own = lambda rs: Counter((r["doc_id"], r["start"], r["length"], r["doc_tokens"]) for r in rs)
     assert own(packed.collect()) == own(kept)
-
-
-def test_run_is_the_stages(spark, stages):
-    whole = corpus_pipeline.run(spark, DATA)
-    assert whole.count() == stages["packing"][1].count() and whole.columns == stages["packing"][1].columns

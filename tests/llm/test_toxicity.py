@@ -103,7 +103,7 @@ def test_no_word_is_left_out(spark):
 
 
 def test_recall_by_its_method(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet").repartition(4) for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     got = Toxicity().fit(docs, labels, ~held).score(docs.join(labels.where(held).select("doc_id"), "doc_id", "left_semi")).join(labels, F.col("id") == F.col("doc_id")).collect()
     clean, toxic = [r["score"] for r in got if r["toxic"] == 0], [r["score"] for r in got if r["toxic"] == 1]
