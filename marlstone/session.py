@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: list[tuple[SparkSession, str]] = []
 #: Tables a scale-factor folder holds.
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -47,30 +48,31 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; one of our own only where that is unset and all tasks run in this process."""
+    """A new path in the folder that spark.checkpoint.dir names; one of our own only where that is unset and all tasks run in this process.
+
+    What is written there goes when the driver's Python ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not (spark.conf.get("spark.master", None) or "").startswith("local[") and spark.conf.get("spark.master", None) != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-_stored: list[tuple[SparkSession, str]] = []
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    _paths.append((spark, path))
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read again, so that it is made once and no lineage grows. Files go when the driver's Python ends."""
+    """df, written to the shared folder and read again, so that it is made once and no lineage grows."""
     spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
-    _stored.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @atexit.register
 def _drop() -> None:
-    for spark, path in _stored:
+    for spark, path in _paths:
         try:
             target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
