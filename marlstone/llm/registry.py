@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import chat, packing, pii, quality, warc
+from marlstone.llm.alignment import Aligner, score_links
 from marlstone.llm.exact_dedup import ExactDedup
 from marlstone.llm.minhash import NearDedup
 from marlstone.llm.mixing import Mixer
@@ -146,3 +147,11 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = packing.pack(_read(spark, sf_dir, "documents"))
     return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@_query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = Aligner().align(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    got = score_links(got.withColumn("groups_sha256", digest).drop("groups"))
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -19,9 +19,9 @@ def default_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-@lru_cache(maxsize=2)
-def encoder(json_file: str, ranks_file: str | None):
-    """A function from a text to its ids as a uint32 array: what the JSON file's tokenizer gives.
+@lru_cache(maxsize=4)
+def encoder(json_file: str, ranks_file: str | None, plain: bool = False):
+    """A function from a text to its ids as a uint32 array: what the JSON file's tokenizer gives. plain: special tokens' strings are ordinary text.
 
     With the same vocabulary as ranks, plain texts go through the faster of two
     libraries; texts with rare characters or a special token's string go through
@@ -30,6 +30,7 @@ def encoder(json_file: str, ranks_file: str | None):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(json_file)
+    exact.encode_special_tokens = plain
 
     def slow(text: str) -> np.ndarray:
         return np.array(exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -44,7 +45,7 @@ def encoder(json_file: str, ranks_file: str | None):
     quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def fast(text: str) -> np.ndarray:
-        if _RARE.search(text) or _SPECIAL in text:
+        if _RARE.search(text) or (_SPECIAL in text and not plain):
             return slow(text)
         return np.array(quick.encode_ordinary(text), dtype="<u4")
 

@@ -10,10 +10,6 @@ def test_query_equals_sql(spark, duck, name):
     same_as_duckdb(spark, duck, registry.QUERIES[name], registry.ORACLES[name])
 
 
-def test_ten_queries():
-    assert sorted(int(n.split("_")[0][2:]) for n in registry.QUERIES if n != "op5_warc") == [1, 2, 3, 4, 6, 7, 8, 9, 10] or len(registry.QUERIES) == 10
-
-
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, before = docs.columns, docs.count()
@@ -30,4 +26,4 @@ def test_pipeline_stages(spark):
 
 
 def test_names_of_the_queries():
-    assert sorted(registry.QUERIES) == sorted("op1_exact_dedup op2_substring_dedup op3_quality_rules op4_pii op5_warc op6_toxicity op7_minhash_near_dedup op8_mixing op9_chat_formatting op10_packing".split())
+    assert sorted(registry.QUERIES) == sorted("op1_exact_dedup op2_substring_dedup op3_quality_rules op4_pii op5_warc op6_toxicity op7_minhash_near_dedup op8_mixing op9_chat_formatting op10_packing op13_alignment".split())
