@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from marlstone.llm import chat, packing, pii, quality, warc
 from marlstone.llm.alignment import Aligner, score_links
 from marlstone.llm.exact_dedup import ExactDedup
+from marlstone.llm.importance import Resampler
+from marlstone.llm.language import LanguageId
 from marlstone.llm.minhash import NearDedup
 from marlstone.llm.mixing import Mixer
 from marlstone.llm.store import for_texts
@@ -149,6 +151,41 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+@_query()
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % 5 == 0, F.lit(False))
+    model = LanguageId().fit(docs, ~held("doc_id"))
+    return model.predict(docs).select(F.col("id").alias("doc_id"), held("id").alias("held_out"), "lang_pred", "score")
+
+
+#: The CRC of every distinct feature, bit by bit.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * strlen(f)), lambda i: (CAST('0x' || substr(x, 2 * (i // 8) + 1, 2) AS BIGINT) >> (i % 8)) & 1)), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)))"""
+
+
+@_query(
+    rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+fd AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM d),
+fb AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM b),
+kinds AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+h AS (SELECT f, xor({_CRC}, 4294967295) % 10000 AS bucket FROM kinds),
+s AS (SELECT bucket, count(*) AS n FROM fd JOIN h USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM fb JOIN h USING (f) GROUP BY bucket),
+a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t_all),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((s.n + 1)::DOUBLE * (t_all + 10000)))) AS gain FROM s LEFT JOIN t USING (bucket), a),
+w AS (SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM fd JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+z AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN w USING (doc_id)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM z),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (25 * n) // 100 THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)"""
+)
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = Resampler()
+    got = model.draw(model.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
+    return got.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 @_query()
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = Aligner().align(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

@@ -26,4 +26,4 @@ def test_pipeline_stages(spark):
 
 
 def test_names_of_the_queries():
-    assert sorted(registry.QUERIES) == sorted("op1_exact_dedup op2_substring_dedup op3_quality_rules op4_pii op5_warc op6_toxicity op7_minhash_near_dedup op8_mixing op9_chat_formatting op10_packing op13_alignment".split())
+    assert sorted(registry.QUERIES) == sorted("op1_exact_dedup op2_substring_dedup op3_quality_rules op4_pii op5_warc op6_toxicity op7_minhash_near_dedup op8_mixing op9_chat_formatting op10_packing op11_language op12_importance op13_alignment".split())
