@@ -78,7 +78,8 @@ _CAPITALS = re.compile(rf"(?<!\w)[{_UP}][\w'-]{{0,40}}\.?(?: [{_UP}][\w'-]{{0,40
 _WORD_BEFORE = re.compile(r"([^\W\d_][\w-]*)\W{0,4}\Z")
 _VALUE = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+")
 _ANNOUNCED = re.compile(r"(?i)\b(?:" + "|".join(_SECRET_WORDS) + r")\b\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{6,}+)")
-_MAY = re.compile(rf"[0-9@+=:]|[{_UP}][\w'-]*\.? [{_UP}]")
+#: Texts without these have neither base spans nor candidates; the second part is how _CAPITALS begins, bounded as it is there.
+_MAY = re.compile(rf"[0-9@+=:]|(?<!\w)[{_UP}][\w'-]{{0,40}}\.? [{_UP}]")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:

@@ -148,3 +148,27 @@ def test_planted_data_by_kind(spark):
     extra = sum(s != want[k] for k, spans in got.items() for s in spans)
     planted = sum(w is not None for w in want.values())
     assert hit >= 0.95 * planted and extra <= 0.03 * planted, (hit, extra, planted)
+
+
+def test_whole_rows_are_linear(spark):
+    """A megabyte of one class of characters each, and of what candidates begin with, through the whole operator."""
+    import time
+
+    n = 1_000_000
+    texts = ["ACGT" * (n // 4), "A-" * (n // 2), "A'" * (n // 2), "A." * (n // 2), "A " * (n // 2), "Ab " * (n // 3), "a" * n, "é" * n, "1" * n, "1-" * (n // 2), "1." * (n // 2), "@" * n, "a@" * (n // 2), "+" * n, "+1 " * (n // 3), "=" * n, " " * n, "\n" * n, "-" * n, "_" * n]
+    finder = pii.PiiFinder()
+    assert finder.candidates(awkward(spark, [(1, "x", None)])).count() == 1
+    for text in texts:
+        docs = awkward(spark, [(1, text, None)])
+        began = time.perf_counter()
+        assert finder.candidates(docs).count() == 1
+        assert time.perf_counter() - began < 4, text[:6]
+
+
+def test_prefilter_lets_every_candidate_through():
+    rng = random.Random(12)
+    parts = ["Mr.", "Dr", "John", "Smith", "O'Neil", "a-Anna", "élan", "Élise", " ", " ", ". ", "-", "'", "x", "12 Main Street", "x" * 50, "A" * 45]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        base = pii.base_spans(text)
+        assert pii._MAY.search(text) or not (base or pii.candidates(text, base)), text
