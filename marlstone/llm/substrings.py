@@ -170,6 +170,15 @@ def repeated_stretches(size: int, rows: list[tuple[int, bytes, int, bytes]]) ->
         yield rows[t][0], rows[t][1], flat
 
 
+def unlike(batch: pa.RecordBatch) -> Iterator[tuple[str, list]]:
+    """Text and wanted of a batch's rows; rows of one id and text, which a join leaves side by side, are taken once."""
+    before = None
+    for row in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        if row != before:
+            yield row
+        before = row
+
+
 class SubstringDedup:
     """Removes each word that lies in a window of ``size`` words whose words start at two places or more."""
 
@@ -197,7 +206,7 @@ class SubstringDedup:
         def run(batches):
             for batch in batches:
                 out = []
-                for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                for text, wanted in unlike(batch):
                     words = text.encode().split()
                     out += [(w["bucket"], w["body"], w["places"], b" ".join(words[w["first"] : w["first"] + w["n"] + size - 1])) for w in wanted]
                 if out:
@@ -211,7 +220,7 @@ class SubstringDedup:
 
         def run(batches):
             for batch in batches:
-                for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                for text, wanted in unlike(batch):
                     ws = words_of([text.encode()])
                     n = [w["n"] for w in wanted]
                     at = np.concatenate([np.arange(x) for x in n])
@@ -258,9 +267,10 @@ class SubstringDedup:
         heavy = heavy_mers(rows.select("text"))
         every = written(self._places(rows, heavy))
         shared = every.groupBy("bucket").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("bucket")
-        places = written(every.join(shared, "bucket"))
+        # rows of one id and text have the same places: one stands for all, with their number
+        places = written(every.join(shared, "bucket").groupBy(*every.columns).agg(F.count("*").alias("times")))
         drop(every)
-        folded = places.groupBy("bucket", "body").agg(F.count("*").alias("places"), F.max("twice").alias("twice"), F.min(F.struct(F.struct("id").alias("who"), "version", "chars", "first", "n")).alias("one"))
+        folded = places.groupBy("bucket", "body").agg(F.sum("times").alias("places"), F.max("twice").alias("twice"), F.min(F.struct(F.struct("id").alias("who"), "version", "chars", "first", "n")).alias("one"))
         folded = written(folded.select("bucket", "body", "places", "twice", "one.*"))
         alone = written(folded.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + size - 1).alias("words")))
         folded = folded.join(alone, "bucket")

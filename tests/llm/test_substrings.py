@@ -94,3 +94,20 @@ def test_hot_buckets_are_counted_as_rows(spark, monkeypatch):
 def test_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()]
     assert got(spark, rows, 35) == expected(rows, 35)
+
+
+def test_repeated_rows_are_linear(spark):
+    """20,000 equal rows under one id and as many under null: places are counted once each, with their number."""
+    import time
+
+    rng = random.Random(6)
+    body = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))
+    single = [(k, " ".join(f"x{k}y{j}" for j in range(60)), None) for k in range(50)]
+    rows = [(1, body, None)] * 10_000 + [(None, body, None)] * 10_000 + [(2, body + " end", None)] + single
+    began = time.perf_counter()
+    got = SubstringDedup().remove(awkward(spark, rows).repartition(8)).groupBy("id", "n_words", "n_removed").count().collect()
+    assert time.perf_counter() - began < 60  # a list of all places for every row takes hours
+    want = Counter({(1, 300, 300): 10_000, (None, 300, 300): 10_000, (2, 301, 300): 1} | {(k, 60, 0): 1 for k in range(50) if k not in (1, 2)})
+    want[1, 60, 0] += 1
+    want[2, 60, 0] += 1
+    assert Counter({tuple(r[:3]): r[3] for r in got}) == want
