@@ -317,9 +317,15 @@ class Toxicity:
         """hold: the terms of docs are written down, so that score() of the same frame need not count them again."""
         known = labels.where(F.col(self.label).isNotNull() & F.col(self.key).isNotNull() & (F.lit(True) if usable is None else usable))
         known = known.groupBy(F.col(self.key).alias("id")).agg((F.max(self.label) > 0).alias("label"))
-        # at most `examples` narrow rows: a proven bound for the broadcast
+        # labels of ids that docs lack take no places; at most `examples` narrow rows: a proven bound for the broadcast
+        known = known.join(self._rows(docs).select("id").distinct(), "id", "left_semi")
         sample = written(known.orderBy(F.xxhash64("id"), "id").limit(self.examples))
-        found = written(self._rows(docs).join(F.broadcast(sample), "id").select(F.col("id").cast("string").alias("id"), "text", "label"))
+        # equal rows of an id are one example, and rows of one id count towards the bound each
+        rows = self._rows(docs).withColumn("body", F.xxhash64("text"))
+        chosen = rows.join(F.broadcast(sample), "id").select("id", "body", "label").distinct()
+        chosen = written(chosen.orderBy(F.xxhash64("id"), "id", "body").limit(self.examples))
+        found = rows.join(F.broadcast(chosen), ["id", "body"]).dropDuplicates(["id", "body"])
+        found = written(found.select(F.col("id").cast("string").alias("id"), "text", "label"))
         counted = written(found.mapInArrow(_all_terms, "id string, label boolean, terms array<string>, n array<int>")).toArrow()  # one row per example
         lists = counted.column("terms").combine_chunks()
         coded = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists

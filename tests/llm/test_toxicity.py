@@ -110,3 +110,16 @@ def test_recall_by_its_method(spark):
     assert sum(s >= 0.7 for s in toxic) >= 0.9 * len(toxic) and sum(s >= 0.7 for s in clean) <= 0.01 * len(clean)
     # calibrated: the mean score is the share of label 1
     assert abs(sum(clean + toxic) / len(got) - len(toxic) / len(got)) < 0.03
+
+
+def test_repeated_ids_stay_within_the_bound(spark):
+    """100,000 equal rows of one labelled id are one example, many texts of an id count each, and labels of other ids take no places."""
+    rows = spark.range(100_000).selectExpr("CAST(1 AS long) AS doc_id", "'you vile thing' AS text")
+    rows = rows.unionByName(spark.range(5_000).selectExpr("CAST(2 AS long) AS doc_id", "concat('a nice day ', id) AS text"))
+    rows = rows.unionByName(spark.createDataFrame([(3, "a fine day"), (4, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)] + [(k, 1) for k in range(1000, 3000)], "doc_id long, toxic int")
+    few = Toxicity(examples=10).fit(rows, labels)
+    assert len(few.model.ids) <= 10
+    some = Toxicity(examples=6_000).fit(rows, labels)
+    assert sorted(some.model.ids.count(str(k)) for k in (1, 2, 3)) == [1, 1, 5_000]
+    assert [r["id"] for r in some.score(rows.where("doc_id IN (1, 3)").distinct()).where("score >= 0.5").collect()] == [1]
