@@ -52,3 +52,6 @@ def tables(spark, database: str | None = None) -> DataFrame:
     return spark.createDataFrame([(t.name,) for t in spark.catalog.listTables(database)], "name string")
 
 
+def table_counts(spark, database: str):
+    """Names of a database's tables with their numbers of rows."""
+    return spark.createDataFrame([(t.name, spark.table(f"`{database}`.`{t.name}`").count()) for t in spark.catalog.listTables(database)], "name string, n bigint")

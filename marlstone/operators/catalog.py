@@ -93,6 +93,14 @@ def active_config(configs: DataFrame, defaults: dict, user: str | None = None) -
     return both.orderBy("__rank", F.desc_nulls_last("updated_at"), F.desc_nulls_last("id")).limit(1).select(*defaults)
 
 
+def active_configs(configs: DataFrame, users: DataFrame, defaults: dict) -> DataFrame:
+    """For every user their latest active config (by updated_at, then id; nulls first come first), or the defaults: user_id and the columns of defaults."""
+    own = configs.where(F.coalesce("is_active", F.lit(False)))
+    latest = own.groupBy("user_id").agg(F.max_by(F.struct(*defaults), F.struct("updated_at", "id")).alias("__c"))
+    met = users.select("user_id").distinct().join(latest, "user_id", "left")
+    return met.select("user_id", *(F.when(F.col("__c").isNull(), F.lit(v)).otherwise(F.col(f"__c.{k}")).alias(k) for k, v in defaults.items()))
+
+
 def deduplicated_names(files: DataFrame, name: str, order: list[str], salt: Column | None = None) -> DataFrame:
     """Each file's free name: x.pdf, then x(1).pdf, x(2).pdf in order; a number that a literal name has is passed over."""
     place = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1

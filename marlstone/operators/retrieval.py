@@ -36,11 +36,26 @@ def top_k_each(queries: DataFrame, chunks: DataFrame, k: int = 5, vector: str =
     blocks, shares = max(1, -(-n_queries // BLOCK_QUERIES)), max(1, -(-n_rows // BLOCK_ROWS))
     share = F.pmod(F.xxhash64(key), F.lit(shares)).cast("int")
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(0).alias("role"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    told = chunks.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), share.alias("share"))
-    cells = asked.unionByName(told.select(asked.columns)).repartition("block", "share").sortWithinPartitions("block", "share", "role", "id")
+    asked = queries.select(F.col(key).alias("id"), F.col(vector).alias("v"), block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    told = chunks.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), share.alias("share"))
+    return best_of(nearest_in_cells(asked, told, ["block", "share"], k), k).withColumnRenamed("id", key)
 
-    kind = queries.schema[key].dataType.simpleString()
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of every query's rows, with their rank: query_id, id, distance2, rank."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance2", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest_in_cells(asked: DataFrame, told: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The k rows of told nearest to every query of asked within each cell: query_id, id, distance2. Both: id, v, and the cell's columns.
+
+    A cell's queries are held, its rows streamed past them. Null vectors meet nothing.
+    """
+    columns = ["id", "v", *by, "role"]
+    cells = asked.withColumn("role", F.lit(0)).select(columns).unionByName(told.withColumn("role", F.lit(1)).select(columns))
+    cells = cells.repartition(*by).sortWithinPartitions(*by, "role", "id")
+    kind = asked.schema["id"].dataType.simpleString()
 
     def nearest(ids, q, best, names, rows):
         """best: by query, distances and names of at most k; those of more rows are taken in."""
@@ -65,17 +80,18 @@ def top_k_each(queries: DataFrame, chunks: DataFrame, k: int = 5, vector: str =
         for batch in batches:
             id_type = batch.column("id").type
             batch = batch.filter(batch.column("v").is_valid())
-            role, block, share = (batch.column(c).to_numpy() for c in ("role", "block", "share"))
+            keys = np.stack([batch.column(c).to_numpy() for c in (*by, "role")]) if len(batch) else np.zeros((len(by) + 1, 0))
             names, lists = batch.column("id").to_pylist(), batch.column("v")
             every = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(names), -1) if len(names) else np.zeros((0, 1))
             new = np.ones(len(names), dtype=bool)
-            new[1:] = (role[1:] != role[:-1]) | (block[1:] != block[:-1]) | (share[1:] != share[:-1])
+            new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
             edges = [*np.flatnonzero(new).tolist(), len(names)]
             for a, z in zip(edges[:-1], edges[1:], strict=True):
-                if (block[a], share[a]) != own:
+                cell = keys[:-1, a].tolist()
+                if cell != own:
                     yield from done()
-                    own, ids, vectors, best = (block[a], share[a]), [], [], []
-                if role[a] == 0:
+                    own, ids, vectors, best = cell, [], [], []
+                if keys[-1, a] == 0:
                     ids += names[a:z]
                     vectors.append(every[a:z])
                     best += [[] for _ in range(z - a)]
@@ -85,9 +101,7 @@ def top_k_each(queries: DataFrame, chunks: DataFrame, k: int = 5, vector: str =
                     nearest(ids, vectors[0], best, names[a:z], every[a:z])
         yield from done()
 
-    found = cells.mapInArrow(run, f"query_id {kind}, id {kind}, distance2 double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance2", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", key)
+    return cells.mapInArrow(run, f"query_id {kind}, id {kind}, distance2 double")
 
 
 def ranked(hits: DataFrame, order: list[str], threshold: float | None = None) -> DataFrame:

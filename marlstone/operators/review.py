@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import first_of, paragraphs, replace_first
+from marlstone.operators.passages import PASSES, parts_of
+from marlstone.operators.passages import contained as by_automata
 from marlstone.session import stored
 
 #: Order of the detectors, which numbers the changes.
@@ -268,6 +270,19 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], name: str = "no")
 def contained(docs: DataFrame, passages: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", size: int = 5) -> DataFrame:
     """Pairs of a document and a passage that it contains, letter for letter. Passages without a word are in no pair.
 
+    By automata of all passages, which every text runs through once; where the
+    passages are too many for that, by an equi-join on runs of at most size words.
+    """
+    worded = passages.where(F.col(text).rlike(r"\S"))
+    parts = parts_of(worded, text)
+    if parts <= PASSES:
+        return by_automata(docs, worded, key, item, text, parts).distinct()
+    return contained_by_join(docs, passages, key, item, text, size).distinct()  # rows of one key may hold the same
+
+
+def contained_by_join(docs: DataFrame, passages: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", size: int = 5) -> DataFrame:
+    """contained() for any number of passages.
+
     A passage's inner words (its first and last may be parts of words) stand in
     the document as they are, so runs of at most size of them find candidates by
     an equi-join on a hash; each is then confirmed. A passage of one or two
@@ -347,8 +362,7 @@ def final_report(docs: DataFrame, changes: DataFrame, pairs: dict[str, str], key
     counted = changes.groupBy(key).agg(F.count("*").alias("total_issues"), *(F.count_if(level == v).alias(f"{v}_issues") for v in ("severe", "warning", "suggestion")))
     places = changes.select(key, "original", "paragraph_index").distinct().groupBy(key, "original").agg((F.count("*") - 1).alias("__more"))
     related = places.groupBy(key).agg(F.sum("__more").alias("dependencies"))
-    revised = F.col(text)
-    for old, new in pairs.items():
-        revised = replace_first(revised, F.lit(old), F.lit(new))
+    known = F.array(*(F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in pairs.items())) if pairs else F.array().cast("array<struct<old:string,new:string>>")
+    revised = F.aggregate(known, F.col(text), lambda t, p: replace_first(t, p["old"], p["new"]))
     met = docs.select(key, revised.alias("revised_content")).join(counted, key, "left").join(related, key, "left").fillna(0, [*counted.columns[1:], "dependencies"])
     return met.withColumn("is_compliant", F.col("severe_issues") == 0).withColumn("summary", F.substring("revised_content", 1, most))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import review
+from marlstone.operators import passages, review
 from marlstone.plans.base import query
 from marlstone.plans.texts import PARAGRAPHS
 from marlstone.session import spread, table
@@ -63,6 +63,21 @@ def dup_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.near_pairs(_paragraphs(spark, sf_dir))
 
 
+@query(
+    f"""WITH RECURSIVE {PARAGRAPHS}, d AS (SELECT doc_id, content, min(paragraph_index) AS i FROM p GROUP BY doc_id, content),
+w AS (SELECT doc_id, i, list_filter(string_split_regex(content, '\\s+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT DISTINCT doc_id, i, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, i, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, i, count(*) AS n FROM s GROUP BY doc_id, i),
+b AS (SELECT a.doc_id, a.i, b.i AS j, count(*) AS common FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.s = b.s AND a.i <> b.i GROUP BY ALL),
+link AS (SELECT b.doc_id, b.i, b.j FROM b JOIN n x ON x.doc_id = b.doc_id AND x.i = b.i JOIN n y ON y.doc_id = b.doc_id AND y.i = b.j WHERE common * 100 >= (x.n + y.n - common) * 80),
+reach AS (SELECT doc_id, i AS x, i AS y FROM d UNION SELECT r.doc_id, r.x, l.j FROM reach r JOIN link l ON l.doc_id = r.doc_id AND l.i = r.y),
+least AS (SELECT doc_id, x, min(y) AS class_id FROM reach GROUP BY doc_id, x)
+SELECT p.doc_id, p.paragraph_index, class_id, count(*) OVER (PARTITION BY p.doc_id, class_id) AS class_size FROM p JOIN d ON d.doc_id = p.doc_id AND d.content = p.content JOIN least ON least.doc_id = p.doc_id AND x = d.i"""
+)
+def dup_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_classes(spread(table(spark, sf_dir, "documents")))
+
+
 @query(f"WITH {PARAGRAPHS}, {RULE_SQL} SELECT doc_id, paragraph_index, value, 'license_version' AS reference, '<= 2.5 ' AS suggestion FROM broken")
 def compliance_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.compliance(_paragraphs(spark, sf_dir), RULES)

@@ -19,6 +19,16 @@ def create_tables(spark: SparkSession, folder: str, schemas: dict[str, T.StructT
     return made
 
 
+def fill(df: DataFrame, name: str) -> None:
+    """Appends rows to a catalog table; columns that they lack are null, and any that the table lacks are an error."""
+    schema = df.sparkSession.table(name).schema
+    unknown = set(df.columns) - set(schema.names)
+    if unknown:
+        raise ValueError(f"{name} has no columns {sorted(unknown)}")
+    whole = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields))
+    whole.write.insertInto(name)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
