@@ -23,7 +23,8 @@
    template), one in seventeen is in a given bucket of the template. Those are
    compared by their signatures, each sent to at most sixteen cells, and their
    estimates are over five standard errors below what may be a link, so their
-   texts don't travel.
+   texts don't travel. Texts that do travel go to cells of a megabyte and more,
+   which grow with their group up to sixteen megabytes of queries.
 6. Components by alternating stars.
 
 Two sets at 0.8 share no band with a chance of 1.3e-5. Null, empty and blank texts
@@ -53,8 +54,8 @@ CENTRES = 3
 MEMORY = 500_000
 #: Sets of one block of queries, and rows that a cell streams past them.
 BLOCK_QUERIES, BLOCK_ROWS = 256, 512
-#: Blocks that a group's signatures are dealt into at most, while a block holds no more than so many of them.
-MOST_BLOCKS, MOST_SIGNATURES = 16, 16_384
+#: Blocks that a group is dealt into at most, while a block holds no more than so many signatures or characters of texts.
+MOST_BLOCKS, MOST_SIGNATURES, BLOCK_CHARS, MOST_CHARS = 16, 16_384, 1 << 20, 1 << 24
 _LANES = 64 // BITS
 _LONGS = HASHES // _LANES
 _draw = np.random.Generator(np.random.PCG64(77))
@@ -228,15 +229,18 @@ class NearDedup:
     def _cells(self, rows: DataFrame, carried: DataFrame, small: bool) -> DataFrame:
         """rows: node, centre, part; carried: node and what else is needed. Around each centre, the queries (role 0) and the rows (role 1) that they are held against, in sorted cells.
 
-        small: what is carried is, so blocks grow with the group, and a row is sent to few of them.
+        Blocks grow with the group, so that a row is sent to few of them: by their
+        number where what is carried is small, else by the characters of texts, in
+        a column chars of rows.
         """
-        sizes = rows.groupBy("centre", "part").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("centre").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
+        sizes = rows.groupBy("centre", "part").agg((F.count("*") if small else F.sum("chars")).alias("n"))
+        mixed = sizes.groupBy("centre").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
         mixed = written(mixed.select("centre", F.col("top.part").alias("top"), (F.col("n") - F.col("top.n")).alias("queries"), "n"))  # so that the join may split a hot centre
 
         def blocks(n: str, least: int) -> Column:
-            size = F.greatest(F.lit(least), F.least(F.ceil(F.col(n) / MOST_BLOCKS), F.lit(MOST_SIGNATURES))) if small else F.lit(least)
-            return F.ceil(F.col(n) / size).cast("int")
+            least, most = (least, MOST_SIGNATURES) if small else (BLOCK_CHARS, MOST_CHARS)
+            size = F.greatest(F.lit(least), F.least(F.ceil(F.col(n) / MOST_BLOCKS), F.lit(most)))
+            return F.greatest(F.lit(1), F.ceil(F.col(n) / size)).cast("int")
 
         rows = rows.join(mixed, "centre").select("node", "centre", "part", (F.col("part") != F.col("top")).alias("query"), blocks("n", BLOCK_ROWS).alias("salts"), blocks("queries", BLOCK_QUERIES).alias("blocks"))
         rows = written(rows)
@@ -296,7 +300,9 @@ class NearDedup:
         rows = written(around.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
         before, rows = rows, written(self._alike(rows, nodes))
         drop(before)
-        dealt = self._cells(rows, self._texts(rows.select("node").distinct(), nodes, docs), small=False)
+        texts = self._texts(rows.select("node").distinct(), nodes, docs)
+        rows = rows.join(texts.select("node", F.length("text").alias("chars")), "node")
+        dealt = self._cells(rows, texts, small=False)
 
         def run(batches):
             own, queries, index, seen = None, [], None, set()

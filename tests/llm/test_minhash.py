@@ -232,3 +232,26 @@ def test_templates_are_no_links(spark):
     rows += [(400 + k, f"{rows[k][1]} {k}", None) for k in range(0, 400, 40)]
     found = {k: c for k, _, c in got(spark, rows, 2)}
     assert all(found[k] == (k - 400 if k >= 400 else k) for k in found)
+
+
+def test_texts_go_to_a_bounded_number_of_cells(spark, monkeypatch):
+    """Blocks grow with the group: of 4,000 and of 16,000 texts each is sent to at most 16 cells in either role."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(minhash, "BLOCK_CHARS", 10_000)
+    for n in (4_000, 16_000):
+        texts = spark.range(n).select(F.col("id").alias("node"), F.repeat(F.lit("x"), 100).alias("text"))
+        rows = texts.select("node", F.lit(1).cast("long").alias("centre"), F.col("node").alias("part"), F.length("text").alias("chars"))
+        cells = NearDedup(2)._cells(rows, texts, small=False)
+        sent = cells.groupBy("node", "role").count().agg(F.max("count"), F.count("*")).first()
+        assert sent[0] <= 16 and sent[1] == 2 * n - 1
+
+
+def test_text_cells_of_a_template(spark, monkeypatch):
+    """Estimates between the two bounds call for texts; in many small cells no link is lost or made up."""
+    monkeypatch.setattr(minhash, "BLOCK_CHARS", 2_000)
+    rng = random.Random(23)
+    body = [f"t{k}" for k in range(100)]
+    rows = [(k, " ".join(body + [f"v{rng.randint(0, 10**6)}" for _ in range(21)]), None) for k in range(150)]
+    rows += [(200 + k, t + f" z{k}", None) for k, (_, t, _) in enumerate(rows[:10])]
+    assert got(spark, rows, 2) == expected(rows, 2)
