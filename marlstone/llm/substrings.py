@@ -267,10 +267,9 @@ class SubstringDedup:
         heavy = heavy_mers(rows.select("text"))
         every = written(self._places(rows, heavy))
         shared = every.groupBy("bucket").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("bucket")
-        # rows of one id and text have the same places: one stands for all, with their number
-        places = written(every.join(shared, "bucket").groupBy(*every.columns).agg(F.count("*").alias("times")))
+        places = written(every.join(shared, "bucket"))
         drop(every)
-        folded = places.groupBy("bucket", "body").agg(F.sum("times").alias("places"), F.max("twice").alias("twice"), F.min(F.struct(F.struct("id").alias("who"), "version", "chars", "first", "n")).alias("one"))
+        folded = places.groupBy("bucket", "body").agg(F.count("*").alias("places"), F.max("twice").alias("twice"), F.min(F.struct(F.struct("id").alias("who"), "version", "chars", "first", "n")).alias("one"))
         folded = written(folded.select("bucket", "body", "places", "twice", "one.*"))
         alone = written(folded.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + size - 1).alias("words")))
         folded = folded.join(alone, "bucket")
@@ -287,7 +286,8 @@ class SubstringDedup:
         whole = folded.where(simple & (F.col("places") > 1)).select("bucket", "body", F.array(F.lit(0), F.col("n")).alias("flat"))
         back = places.join(counted.unionByName(whole), ["bucket", "body"])
         moved = F.transform("flat", lambda x, k: F.col("first") + x + F.when(k % 2 == 1, size - 1).otherwise(0))
-        return back.groupBy(F.struct("id").alias("who"), "version", "chars").agg(F.flatten(F.collect_list(moved)).alias("flat"))
+        # rows of one id and text have the same places, which a set holds once
+        return back.groupBy(F.struct("id").alias("who"), "version", "chars").agg(F.flatten(F.collect_set(moved)).alias("flat"))
 
     def remove(self, docs: DataFrame) -> DataFrame:
         """One row per row: id, n_words, n_removed, kept_text (its words joined by one space)."""
