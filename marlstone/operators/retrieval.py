@@ -148,6 +148,18 @@ def context(hits: DataFrame, part: Column, by: list[str], separator: str = BLANK
     return hits.groupBy(*by).agg(F.array_join(F.transform(pieces, lambda x: x["p"]), separator).alias("context"), F.count("*").alias("retrieved_count"))
 
 
+#: Fixed value: what a detector reads where nothing was found.
+NO_REGULATION = "未检索到相关规程"
+
+
+def detector_contexts(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """For each query the references of two detectors: terms (three hits, 300 characters each) and standards (five, 400). hits: query_id, rank, passage."""
+    part = lambda n: regulation(F.col("rank"), F.col("passage"), n)
+    of = lambda name, k, n: context(hits.where(F.col("rank") <= k), part(n), ["query_id"]).select("query_id", F.col("context").alias(name))
+    met = docs.join(of("terms", 3, 300), "query_id", "left").join(of("standards", 5, 400), "query_id", "left")
+    return met.select("query_id", *(F.coalesce(c, F.lit(NO_REGULATION)).alias(c) for c in ("terms", "standards")))
+
+
 def answered(questions: DataFrame, contexts: DataFrame, key: str, question: str, client=RuleModel) -> DataFrame:
     """Every question with an answer from its context; one without hits gets the fixed apology and a count of 0."""
     met = questions.join(contexts, key, "left").withColumn("retrieved_count", F.coalesce("retrieved_count", F.lit(0)))

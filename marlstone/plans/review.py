@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import passages, review
+from marlstone.operators import passages, review, spelling
 from marlstone.plans.base import query
 from marlstone.plans.texts import PARAGRAPHS
 from marlstone.session import spread, table
@@ -155,3 +155,18 @@ SELECT CAST(row_number() OVER (PARTITION BY doc_id ORDER BY phase, paragraph_ind
 )
 def review_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.review(spread(table(spark, sf_dir, "documents")))
+
+
+@query(
+    f"""WITH {PARAGRAPHS}, w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents) WHERE length(word) >= 5 GROUP BY word),
+f AS (SELECT word, n, CASE WHEN k = 0 THEN word ELSE substr(word, 1, k - 1) || substr(word, k + 1) END AS form, k FROM (SELECT word, n, unnest(range(0, length(word) + 1)) AS k FROM w WHERE n <= 2 OR n >= 60)),
+m AS (SELECT a.word AS original, b.word AS corrected, b.n, CASE WHEN abs(a.k - b.k) = 1 AND least(a.k, b.k) > 0 AND substr(a.word, a.k, 1) = substr(b.word, b.k, 1) AND substr(a.word, b.k, 1) = substr(b.word, a.k, 1) THEN 'swapped'
+    WHEN a.k = 0 AND b.k > 0 THEN 'left out' WHEN a.k > 0 AND b.k = 0 THEN 'added' WHEN a.k = b.k AND a.k > 0 THEN 'mistaken' END AS slip
+  FROM f a JOIN f b USING (form) WHERE a.n <= 2 AND b.n >= 60 AND b.n >= 60 * a.n),
+c AS (SELECT original, corrected, slip FROM m WHERE slip IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY original ORDER BY round(ln(n) - CASE slip WHEN 'swapped' THEN 0 WHEN 'mistaken' THEN 0.7 ELSE 0.3 END, 9) DESC, corrected, slip) = 1)
+SELECT doc_id, paragraph_index, original, corrected, 'letters ' || slip AS reason FROM (SELECT DISTINCT doc_id, paragraph_index, unnest(regexp_extract_all(lower(content), '\\p{{L}}+')) AS original FROM p) JOIN c USING (original)"""
+)
+def learned_misspellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents"))
+    return spelling.learned(docs, review.split_paragraphs(docs), ratio=60.0)

@@ -13,15 +13,21 @@ from marlstone.plans.retrieval import D2, EACH
 from marlstone.session import table
 
 TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
-#: Postings with their impacts, terms of the queries, and every document's score.
-BM25 = f"""d AS (SELECT doc_id AS id, {TERMS} AS w FROM documents),
+
+
+def bm25(held: str, id_: str, asked: str, query_id: str, question: str = "text") -> str:
+    """SQL of every query's documents by score: words (query_id, id, score, rank)."""
+    return f"""d AS (SELECT {id_} AS id, {TERMS} AS w FROM {held}),
 a AS (SELECT count(*)::DOUBLE AS n, greatest(sum(len(w)), 1)::DOUBLE / count(*) AS mean FROM d),
 tf AS (SELECT id, length, term, count(*)::DOUBLE AS times FROM (SELECT id, len(w) AS length, unnest(w) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*)::DOUBLE AS n FROM tf GROUP BY term),
 p AS (SELECT term, id, CAST(round(1e6 * ln(1 + (a.n - df.n + 0.5) / (df.n + 0.5)) * (times * 2.5 / (times + 1.5 * (0.25 + 0.75 * length / mean)))) AS BIGINT) AS impact FROM tf JOIN df USING (term), a),
-q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TERMS}) AS term FROM (SELECT {query_id} AS query_id, {question} AS text FROM {asked})) GROUP BY ALL),
 s AS (SELECT query_id, id, sum(times * impact) AS score FROM q JOIN p USING (term) GROUP BY ALL),
 words AS (SELECT query_id, id, score / 1e6 AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)"""
+
+
+BM25 = bm25("documents", "doc_id", "benchmark", "item_id")
 VECTORS = f"""vectors AS (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {D2}, b.vec_id) AS rank
   FROM embeddings a JOIN benchmark ON item_id = a.vec_id, embeddings b)"""
 FUSED = """f AS (SELECT query_id, id, sum(CAST(round(1e9 / (60 + rank)) AS BIGINT)) AS score FROM (SELECT query_id, id, rank FROM words WHERE rank <= 20 UNION ALL SELECT query_id, id, rank FROM vectors WHERE rank <= 20) GROUP BY ALL),
@@ -83,3 +89,20 @@ def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     own = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return diverse(hits.join(own, "id").join(asked, "query_id"), 4).withColumnRenamed("id", "vec_id")
+
+
+REGULATIONS = bm25("benchmark", "item_id", "documents WHERE doc_id % 20 = 0", "doc_id", "substr(text, 1, 200)")
+
+
+@query(
+    f"""WITH {REGULATIONS}, r AS (SELECT query_id, rank, b.text FROM words JOIN benchmark b ON item_id = id WHERE rank <= 5),
+c AS (SELECT query_id, string_agg('【参考规程' || rank || '】' || chr(10) || substr(text, 1, 300), chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 3) AS terms,
+  string_agg('【参考规程' || rank || '】' || chr(10) || substr(text, 1, 400), chr(10) || chr(10) ORDER BY rank) AS standards FROM r GROUP BY query_id)
+SELECT doc_id, coalesce(terms, '未检索到相关规程') AS terms, coalesce(standards, '未检索到相关规程') AS standards FROM documents LEFT JOIN c ON query_id = doc_id WHERE doc_id % 20 = 0"""
+)
+def detector_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detectors of misspellings and of broken standards read beside a document: passages that its beginning finds."""
+    docs = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("text"))
+    passages = table(spark, sf_dir, "benchmark")
+    hits = KeywordIndex(passages, "item_id").search(docs, 5).join(passages.select(F.col("item_id").alias("id"), F.col("text").alias("passage")), "id")
+    return retrieval.detector_contexts(docs.select("query_id"), hits).withColumnRenamed("query_id", "doc_id")
