@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.plans import catalog, chat, files, impact, records, retrieval, review, search, texts, usage, workflow  # noqa: F401  they register themselves
+from marlstone.plans import catalog, chat, files, impact, records, retrieval, review, search, standards, texts, usage, workflow  # noqa: F401  they register themselves
 from marlstone.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
