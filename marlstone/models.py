@@ -7,12 +7,13 @@ limits live where the calls are made. No network is used here.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,21 +76,34 @@ def complete(rows: DataFrame, prompt: str, reply: str = "reply", client: Callabl
     return rows.mapInPandas(run, shape)
 
 
+@lru_cache(maxsize=1 << 18)
+def _slot(word: str, size: int) -> tuple[int, float]:
+    """The place of a word in a vector, and its sign."""
+    h = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+    return h % size, 1.0 if h >> 31 else -1.0
+
+
+def embed_texts(texts: Sequence[str | None], size: int = 64) -> np.ndarray:
+    """Vectors of length 1 from hashed words, a row a text; zeros without words. A word is hashed once, however often it stands."""
+    words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    slots = [_slot(w, size) for own in words for w in own]
+    row = np.repeat(np.arange(len(words)), [len(own) for own in words])
+    at = row * size + np.array([k for k, _ in slots], dtype=np.int64)
+    out = np.bincount(at, weights=[sign for _, sign in slots], minlength=len(words) * size).astype(float).reshape(len(words), size)
+    norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
+    return np.divide(out, norm, out=out, where=norm > 0)
+
+
 def embed_text(text: str | None, size: int = 64) -> list[float]:
-    """A vector of length 1 from hashed words; zeros without words."""
-    out = [0.0] * size
-    for w in re.findall(r"\w+", (text or "").lower()):
-        h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
-        out[h % size] += 1.0 if h >> 31 else -1.0
-    norm = math.sqrt(sum(x * x for x in out))
-    return [x / norm for x in out] if norm else out
+    """The vector of one text."""
+    return embed_texts([text], size)[0].tolist()
 
 
 def embedding(text: Column, size: int = 64) -> Column:
-    """embed_text() over a column, by batches."""
+    """embed_texts() over a column, by batches."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed_text(t, size))
+        return pd.Series(list(embed_texts(texts.tolist(), size).astype(np.float32)))
 
     return run(text)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from marlstone.operators.retrieval import BLOCK_QUERIES, BLOCK_ROWS, best_of, nearest_in_cells
 from marlstone.session import stored
 
-#: Rows that centres are fitted on, numbers of them all, cells and rings at most, and rounds of fitting.
-SAMPLE, SAMPLE_NUMBERS, CELLS, RINGS, ROUNDS = 20_000, 1 << 25, 1024, 16, 12
+#: Rows that centres are fitted on, numbers of them all, cells and rings of a cell at most, rows that a ring has on average at least, and rounds of fitting.
+SAMPLE, SAMPLE_NUMBERS, CELLS, RINGS, RING_ROWS, ROUNDS = 20_000, 1 << 25, 1024, 16, 1024, 12
 
 
 def centres(sample: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
@@ -69,9 +69,12 @@ class CellIndex:
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(radius, pa.float64())], names=["id", "v", "cell", "radius"])
 
         filed = stored(rows.mapInArrow(file, f"id {kind}, v {rows.schema['v'].dataType.simpleString()}, cell int, radius double"))
-        edges = filed.groupBy("cell").agg(F.percentile_approx("radius", [k / RINGS for k in range(1, RINGS)]).alias("edges"))  # one row a cell
-        ring = F.size(F.filter("edges", lambda e: e < F.col("radius")))
-        ringed = filed.join(F.broadcast(edges), "cell").withColumn("ring", ring).drop("edges")
+        rings = min(RINGS, n // (RING_ROWS * max(1, len(middle))))
+        ringed = filed.withColumn("ring", F.lit(0))
+        if rings > 1:
+            edges = filed.groupBy("cell").agg(F.percentile_approx("radius", [k / rings for k in range(1, rings)]).alias("edges"))  # one row a cell
+            ring = F.size(F.filter("edges", lambda e: e < F.col("radius")))
+            ringed = filed.join(F.broadcast(edges), "cell").withColumn("ring", ring).drop("edges")
         # a range of cell and radius is one file, so that statistics of files tell what to read; a hot cell takes several
         self.rows = stored(ringed.repartitionByRange("cell", "radius", "id").sortWithinPartitions("cell", "radius"))
         rings = self.rows.groupBy("cell", "ring").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))

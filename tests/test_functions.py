@@ -80,3 +80,22 @@ def test_recursive_chunks_prefer_coarse_separators():
     assert chunking.recursive("a" * 8 + "\n\n" + "b" * 8, 10, 2) == ["a" * 8, "b" * 8]
     assert chunking.recursive("x" * 25, 10, 2) == ["x" * 10, "x" * 10, "x" * 9]
     assert chunking.recursive(None) == [] == chunking.recursive(" \n ")
+
+
+def test_embeddings_are_signed_counts_of_hashed_words():
+    import hashlib
+    import math
+    import re
+
+    from marlstone.models import embed_texts
+
+    texts = ["The cat, the CAT sat", None, "", "... !", "ñandú 日本 x_1 x_1", "a" * 5000, "b " * 3000, "the cat"]
+    got = embed_texts(texts, 16)
+    for text, row in zip(texts, got.tolist(), strict=True):
+        want = [0.0] * 16
+        for w in re.findall(r"\w+", (text or "").lower()):
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            want[h % 16] += 1.0 if h >= 2**31 else -1.0
+        norm = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert row == [x / norm for x in want], text
+    assert embed_texts([], 16).shape == (0, 16)
