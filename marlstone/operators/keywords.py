@@ -20,6 +20,14 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def _runs(words: Column) -> Column:
+    """Each term of a sorted array with the number of times it stands there."""
+    let = lambda value, body: F.transform(F.array(value), body)[0]
+    ends = lambda w: F.filter(F.sequence(F.lit(1), F.size(w)), lambda k: (k == F.size(w)) | (F.get(w, k) != F.get(w, k - 1)))
+    counted = lambda w: let(ends(w), lambda e: F.transform(e, lambda end, k: F.struct(F.get(w, end - 1).alias("term"), (end - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("times"))))
+    return F.when(F.size(words) > 0, let(words, counted))
+
+
 def best(scored: DataFrame, k: int, by: str = "query_id", key: str = "id") -> DataFrame:
     """The k rows of highest score for every query, ties to the least key, with their rank."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col("score").desc(), key))
@@ -34,11 +42,12 @@ class KeywordIndex:
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75):
-        words = docs.select(F.col(key).alias("id"), terms_of(F.col(text)).alias("w"))
+        words = docs.select(F.col(key).alias("id"), F.sort_array(terms_of(F.col(text))).alias("w"))
         n_docs, n_words = words.agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
         mean = max(n_words, 1) / max(n_docs, 1)
-        each = words.select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
-        counts = stored(each.groupBy("id", "length", "term").agg(F.count("*").cast("double").alias("times")))
+        # a document's terms are counted where its text is; nothing is shuffled for that
+        each = words.select("id", F.size("w").alias("length"), F.explode(_runs(F.col("w"))).alias("run"))
+        counts = stored(each.select("id", "length", "run.term", F.col("run.times").cast("double").alias("times")))
         n = counts.groupBy("term").agg(F.count("*").alias("n"))
         rarity = F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
         share = F.col("times") * (k1 + 1) / (F.col("times") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
@@ -63,9 +72,12 @@ class KeywordIndex:
         upward = Window.partitionBy("query_id").orderBy("most", "term")
         parted = asked.join(least, "query_id", "left").withColumn("below", F.sum("most").over(upward))
         self.asked = parted = stored(parted.withColumn("common", F.coalesce(F.col("below") < F.col("least"), F.lit(False))))
-        brought = self._sums(parted.where(~F.col("common")))
+        brought = stored(self._sums(parted.where(~F.col("common"))))
+        # the k-th score so far is nearer to the k-th of all than what the rare terms gave
+        nearer = best(brought, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("nearer"))
         rest = parted.groupBy("query_id").agg(F.max(F.coalesce("least", F.lit(0))).alias("least"), F.sum(F.when(F.col("common"), F.col("most")).otherwise(0)).alias("rest"))
-        brought = stored(brought.join(rest, "query_id").where(F.col("score") + F.col("rest") >= F.col("least")).select("query_id", "id", "score"))
+        bounds = rest.join(nearer, "query_id").select("query_id", "rest", F.greatest("least", "nearer").alias("least"))
+        brought = stored(brought.join(bounds, "query_id").where(F.col("score") + F.col("rest") >= F.col("least")).select("query_id", "id", "score"))
         looked = brought.select("query_id", "id").join(parted.where("common").select("query_id", "term", "times"), "query_id")
         more = looked.join(self.postings, ["term", "id"]).select("query_id", "id", (F.col("times") * F.col("impact")).alias("score"))
         total = brought.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
