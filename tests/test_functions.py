@@ -99,3 +99,55 @@ def test_embeddings_are_signed_counts_of_hashed_words():
         norm = math.sqrt(sum(x * x for x in want)) or 1.0
         assert row == [x / norm for x in want], text
     assert embed_texts([], 16).shape == (0, 16)
+
+
+def chunks_by_definition(text, size, overlap, separators):
+    """Chunks of a text from where they begin and end among its pieces, by sums of lengths."""
+    import re
+
+    if not text:
+        return []
+    at = next((k for k, s in enumerate(separators) if s in text), len(separators) - 1)
+    sep, finer = separators[at], separators[at + 1 :]
+    cuts = [0, *(m.start() for m in re.finditer(re.escape(sep), text)), len(text)] if sep else list(range(len(text) + 1))
+    pieces = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+    out, run = [], []
+
+    def flush():
+        total = lambda a, b: sum(map(len, run[a:b]))
+        start = 0
+        while start < len(run):
+            end = next((k for k in range(start + 1, len(run)) if total(start, k + 1) > size), len(run))
+            out.append("".join(run[start:end]))
+            if end == len(run):
+                break
+            start = next(s for s in range(start, end + 1) if total(s, end) <= overlap and total(s, end + 1) <= size or s == end)
+        run.clear()
+
+    for piece in pieces:
+        if len(piece) < size:
+            run.append(piece)
+        else:
+            flush()
+            out.extend(chunks_by_definition(piece, size, overlap, finer) if finer else [piece])
+    flush()
+    return [c.strip() for c in out if c.strip()]
+
+
+def test_recursive_chunks_are_as_defined():
+    import random
+
+    from marlstone.functions.chunking import SEPARATORS, recursive
+
+    rng = random.Random(7)
+    parts = ["word", "a", "日本語", " ", " ", "\n", "\n\n", "x" * 30, "\n\n\n", "end."]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+        size = rng.randint(3, 40)
+        overlap = rng.randint(0, size - 1)
+        got = recursive(text, size, overlap)
+        assert got == chunks_by_definition(text, size, overlap, SEPARATORS), (text, size, overlap)
+        assert all(len(c) <= size for c in got)
+        # nothing but white space is lost, and chunks come in order
+        assert set("".join(got)) >= set(text) - {" ", "\n"}
+    assert recursive(None) == recursive("") == recursive(" \n\n ") == []
