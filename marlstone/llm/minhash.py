@@ -23,7 +23,7 @@
    template), one in seventeen is in a given bucket of the template. Those are
    compared by their signatures, each sent to at most sixteen cells, and their
    estimates are over five standard errors below what may be a link, so their
-   texts don't travel. Texts that do travel go to cells of a megabyte and more,
+   texts don't travel. Texts that do travel go to cells of a quarter megabyte and more,
    which grow with their group up to sixteen megabytes of queries.
 6. Components by alternating stars.
 
@@ -55,7 +55,7 @@ MEMORY = 500_000
 #: Sets of one block of queries, and rows that a cell streams past them.
 BLOCK_QUERIES, BLOCK_ROWS = 256, 512
 #: Blocks that a group is dealt into at most, while a block holds no more than so many signatures or characters of texts.
-MOST_BLOCKS, MOST_SIGNATURES, BLOCK_CHARS, MOST_CHARS = 16, 16_384, 1 << 20, 1 << 24
+MOST_BLOCKS, MOST_SIGNATURES, BLOCK_CHARS, MOST_CHARS = 16, 16_384, 1 << 18, 1 << 24
 _LANES = 64 // BITS
 _LONGS = HASHES // _LANES
 _draw = np.random.Generator(np.random.PCG64(77))
