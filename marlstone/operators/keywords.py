@@ -42,12 +42,12 @@ class KeywordIndex:
     """
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75):
+        # a document's terms are counted where its text is; nothing is shuffled for that
         words = docs.select(F.col(key).alias("id"), F.sort_array(terms_of(F.col(text))).alias("w"))
-        n_docs, n_words = words.agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
+        runs = stored(words.select("id", F.size("w").alias("length"), _runs(F.col("w")).alias("runs")))
+        n_docs, n_words = runs.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         mean = max(n_words, 1) / max(n_docs, 1)
-        # a document's terms are counted where its text is; nothing is shuffled for that
-        each = words.select("id", F.size("w").alias("length"), F.explode(_runs(F.col("w"))).alias("run"))
-        counts = stored(each.select("id", "length", "run.term", F.col("run.times").cast("double").alias("times")))
+        counts = runs.select("id", "length", F.explode("runs").alias("run")).select("id", "length", "run.term", F.col("run.times").cast("double").alias("times"))
         n = counts.groupBy("term").agg(F.count("*").alias("n"))
         rarity = F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5))
         share = F.col("times") * (k1 + 1) / (F.col("times") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))

@@ -10,7 +10,7 @@ from marlstone.operators.keywords import KeywordIndex, diverse, fused
 from marlstone.operators.vectors import CellIndex
 from marlstone.plans.base import query
 from marlstone.plans.retrieval import D2, EACH
-from marlstone.session import table
+from marlstone.session import spread, table
 
 TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
 
@@ -43,7 +43,7 @@ def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
-    return KeywordIndex(table(spark, sf_dir, "documents")).search(questions, k)
+    return KeywordIndex(spread(table(spark, sf_dir, "documents"))).search(questions, k)
 
 
 @query(f"WITH {BM25} SELECT query_id, id AS doc_id, score, rank FROM words WHERE rank <= 5")
