@@ -74,16 +74,36 @@ def hour_label(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:00")
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with so many decimals (3 at most), rounded as C's printf does: by the double's exact value, ties to even.
+
+    Java's formatter rounds the shortest decimal that names the double, ties up.
+    """
+    x = c.cast("double")
+    size = F.abs(x)
+    # the bits behind the point as two whole numbers of 52 and 40 bits; what has more is nearer to 0 than to any tie
+    bits = (size - F.floor(size)) * float(1 << 52)
+    more = F.floor((bits - F.floor(bits)) * float(1 << 40)) * 10**digits
+    units = F.floor(bits) * 10**digits + F.shiftright(more, 40)
+    kept, rest, left = F.shiftright(units, 52), units.bitwiseAND((1 << 52) - 1), more.bitwiseAND((1 << 40) - 1)
+    above = (rest > 1 << 51) | ((rest == 1 << 51) & ((left > 0) | ((F.floor(size) * 10**digits + kept) % 2 == 1)))
+    kept = kept + above.cast("bigint")
+    whole = F.floor(size) + F.floor(kept / 10**digits)
+    said = F.concat(F.when(x < 0, "-").otherwise(""), whole.cast("string"), *((F.lit("."), F.lpad((kept % 10**digits).cast("string"), digits, "0")) if digits else ()))
+    # doubles from 2^53 have no decimals
+    return F.when(size < float(1 << 53), said).when(size >= float(1 << 53), F.format_string(f"%.{digits}f", x))
+
+
 def megabytes(n: Column) -> Column:
-    return F.format_string("%.2f MB", n / 1048576.0)
+    return F.concat(fixed(n / 1048576.0, 2), F.lit(" MB"))
 
 
 def kilobytes(n: Column) -> Column:
-    return F.format_string("%.1f KB", n / 1024.0)
+    return F.concat(fixed(n / 1024.0, 1), F.lit(" KB"))
 
 
 def percent(share: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", share * 100)
+    return F.concat(fixed(share * 100, digits), F.lit("%"))
 
 
 def relative_time(ts: Column, as_of: Column) -> Column:

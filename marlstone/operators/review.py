@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import first_of, paragraphs, replace_first
+from marlstone.functions.text import first_of, fixed, paragraphs, replace_first
 from marlstone.operators.passages import PASSES, parts_of
 from marlstone.operators.passages import contained as by_automata
 from marlstone.session import stored
@@ -327,8 +327,8 @@ def compared(documents: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     with several required numbers, each that differs gives a row.
     """
     met = documents.join(rules.select("term", F.col("value").alias("required")), "term").where(F.col("value") != F.col("required"))
-    said = lambda c: F.format_string("%s %.2f", "term", c)
-    out = met.select(key, said("required").alias("requirement"), said("value").alias("passage"), F.format_string("%.2f", F.col("value") - F.col("required")).alias("mismatch"), F.concat(F.lit("state "), said("required")).alias("suggestion"))
+    said = lambda c: F.concat("term", F.lit(" "), fixed(F.col(c), 2))
+    out = met.select(key, said("required").alias("requirement"), said("value").alias("passage"), fixed(F.col("value") - F.col("required"), 2).alias("mismatch"), F.concat(F.lit("state "), said("required")).alias("suggestion"))
     return numbered(out, [key], ["requirement", "passage"]).select(key, "no", "requirement", "passage", "mismatch", "suggestion")
 
 

@@ -151,3 +151,12 @@ def test_recursive_chunks_are_as_defined():
         # nothing but white space is lost, and chunks come in order
         assert set("".join(got)) >= set(text) - {" ", "\n"}
     assert recursive(None) == recursive("") == recursive(" \n\n ") == []
+
+
+def test_decimals_are_rounded_as_printf_does(spark, duck):
+    values = [k / 8 for k in range(-20, 20)] + [k / 20 for k in range(50)] + [1.005, 2.675, 0.045, 1e-20, -0.001, 0.995, 9.995, 99.5, 123456.125, 2.0**52 + 0.5, 2.0**53, 0.0005, 1.0005]
+    for digits in (0, 1, 2, 3):
+        got = spark.createDataFrame([(v,) for v in values], "c double").select(text.fixed(F.col("c"), digits).alias("r")).collect()
+        assert [r["r"] for r in got] == [f"{v:.{digits}f}" for v in values]
+    assert duck.execute("SELECT printf('%.2f MB', 131072 / 1048576.0)").fetchall()[0][0] == one(spark, 131072, text.megabytes, "bigint") == "0.12 MB"
+    assert one(spark, None, text.megabytes, "bigint") is None
