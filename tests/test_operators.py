@@ -324,3 +324,11 @@ def test_simple_pdfs(spark):
     rows = spark.createDataFrame([("/a/x.pdf", files.pdf_of(["a", "b"])), ("/a/y.pdf", b"%PDF-1.7 /ObjStm"), ("/a/z.pdf", b"")], "path string, content binary")
     got = sorted((r["filename"], r["page"], r["content"], r["status"]) for r in files.load(rows).collect())
     assert got == [("x.pdf", 0, "a", "indexed"), ("x.pdf", 1, "b", "indexed"), ("y.pdf", 0, None, "failed"), ("z.pdf", 0, None, "failed")]
+
+
+def test_chats_without_history_or_question(spark):
+    sessions = spark.createDataFrame([(1, 1, "q"), (2, 1, "q"), (3, 1, None), (4, None, "q"), (5, 1, "q")], "s int, kb int, question string")
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (3, 0, "user", "hi"), (5, 0, "user", None)], "s int, `order` int, role string, text string")
+    contexts = spark.createDataFrame([(1, "c"), (2, "c")], "s int, context string")
+    got = {r["s"]: (r["prompt"], r["message"]) for r in retrieval.chat_prompts(sessions, turns, contexts, "s", "kb").collect()}
+    assert got == {1: ("c\n\nuser: hi\n\nQuestion: q", None), 2: ("c\n\nQuestion: q", None), 3: (None, None), 4: (None, retrieval.NO_BASE), 5: ("\n\nQuestion: q", None)}
