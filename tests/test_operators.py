@@ -332,3 +332,12 @@ def test_chats_without_history_or_question(spark):
     contexts = spark.createDataFrame([(1, "c"), (2, "c")], "s int, context string")
     got = {r["s"]: (r["prompt"], r["message"]) for r in retrieval.chat_prompts(sessions, turns, contexts, "s", "kb").collect()}
     assert got == {1: ("c\n\nuser: hi\n\nQuestion: q", None), 2: ("c\n\nQuestion: q", None), 3: (None, None), 4: (None, retrieval.NO_BASE), 5: ("\n\nQuestion: q", None)}
+
+
+def test_rows_are_sent_once_to_many_queries(spark, monkeypatch):
+    rows = spark.range(9000).select(F.col("id").alias("vec_id"), F.array(F.rand(1).cast("float"), F.rand(2).cast("float")).alias("embedding"))
+    sent = []
+    real = retrieval.nearest_in_cells
+    monkeypatch.setattr(retrieval, "nearest_in_cells", lambda asked, told, by, k: sent.append((asked.count(), told.count())) or real(asked, told, by, k))
+    assert retrieval.top_k_each(rows.where("vec_id < 2000"), rows, 3).count() == 6000
+    assert sent == [(4000, 9000)]  # two shares of the rows, one block of the queries
