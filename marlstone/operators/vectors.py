@@ -19,6 +19,8 @@ from marlstone.session import stored
 
 #: Rows that centres are fitted on, numbers of them all, cells and rings of a cell at most, rows that a ring has on average at least, and rounds of fitting.
 SAMPLE, SAMPLE_NUMBERS, CELLS, RINGS, RING_ROWS, ROUNDS = 20_000, 1 << 25, 1024, 16, 1024, 12
+#: Numbers that a task holds at once of what its rows, or its queries with the vectors it sends to rings, are to centres.
+HELD = 1 << 20
 
 
 def centres(sample: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
@@ -45,6 +47,13 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def slices(batches, rows: int):
+    """Batches of so many rows at most."""
+    for batch in batches:
+        for start in range(0, len(batch), max(1, rows)):
+            yield batch.slice(start, max(1, rows))
+
+
 class CellIndex:
     """Rows filed by cell and ring. Rows with null or empty vectors are in no cell, as nothing is near them; vectors have one length."""
 
@@ -61,7 +70,7 @@ class CellIndex:
         kind = rows.schema["id"].dataType.simpleString()
 
         def file(batches):
-            for batch in batches:
+            for batch in slices(batches, HELD // max(1, len(middle))):
                 if len(batch):
                     away = distances(_numbers(batch.column(1)), middle)
                     cell = away.argmin(axis=1)
@@ -108,7 +117,8 @@ class CellIndex:
         held = np.bincount(cell, weights=n, minlength=len(middle))
 
         def run(batches):
-            for batch in batches:
+            # a query's vector may go to every ring
+            for batch in slices(batches, HELD // max(1, len(cell) * (middle.shape[1] + 1))):
                 if not len(batch) or not len(middle):
                     continue
                 away = distances(_numbers(batch.column(1)), middle)

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from shared import DATA
 
@@ -229,3 +230,12 @@ def test_documents_in_reach(spark):
     holders = {r["query_id"]: {i for i, t in told.items() if r["text"] in (t or "")} for r in asked.collect()}
     found = Counter(r["query_id"] for r in hits if r["id"] in holders[r["query_id"]])
     assert all(found[q] for q, own in holders.items() if own)
+
+
+def test_queries_go_to_rings_in_small_batches(spark, monkeypatch):
+    """A query's vector may go to every ring; a task holds a bounded number of those at once."""
+    rows = cloud(5, 400)
+    monkeypatch.setattr(vectors, "HELD", 300)
+    assert searched(CellIndex(rows_of(spark, rows), cells=20), spark, rows[:30], 7) == nearest(rows, rows[:30], 7)
+    whole = pa.RecordBatch.from_arrays([pa.array(range(10))], names=["x"])
+    assert [len(b) for b in vectors.slices([whole, whole], 4)] == [4, 4, 2] * 2 and len(list(vectors.slices([whole], 0))) == 10
