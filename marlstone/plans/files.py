@@ -10,10 +10,12 @@ from marlstone.functions import views
 from marlstone.plans import usage
 from marlstone.plans.base import query
 from marlstone.plans.texts import BLANKS
-from marlstone.session import shared_path, table
+from marlstone.session import shared_path, small_batches, table
 from marlstone.sources import files, sinks
 from marlstone.streaming import usage as streams
 
+#: Lines of a file that lands: a file is read whole, so its size must not grow with the corpus.
+LINES = 20_000
 NON_BLANK = f"array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x, {BLANKS}) <> ''), chr(10))"
 
 
@@ -58,7 +60,7 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
             pages = [[lines[k : k + 20] for k in range(0, len(lines), 20)] for lines in ((t or "").split("\n") for t in batch["text"])]
             yield batch[["doc_id"]].assign(content=[files.pdf_of(["\n".join(p) for p in own]) for own in pages])
 
-    made = docs.mapInPandas(drawn, "doc_id bigint, content binary").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "content")
+    made = small_batches(docs).mapInPandas(drawn, "doc_id bigint, content binary").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "content")
     return files.load(made).select(F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("doc_id"), "page", "content")
 
 
@@ -107,7 +109,7 @@ def upload_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that land in a folder, read whole, with the time of each."""
     path = shared_path(spark)
-    table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n", -1)).alias("value")).write.partitionBy("source").option("lineSep", "\n").text(path)
+    table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n", -1)).alias("value")).write.partitionBy("source").option("lineSep", "\n").option("maxRecordsPerFile", LINES).text(path)
     found = files.listing(spark, path).select(F.regexp_replace("path", r"^.*/source=([^/]*)/.*$", "$1.txt").alias("path"), "modificationTime", "content")
     units = files.load(found).select(F.regexp_replace("filename", r"\.txt$", "").alias("source"), "upload_time", F.explode(F.split(F.regexp_replace("content", "\n$", ""), "\n", -1)).alias("line"))
     return units.groupBy("source").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("bigint").alias("chars"), F.bool_and(F.col("upload_time").cast("double") > 0).alias("dated"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from marlstone.models import embedding
 from marlstone.schemas import BY_NAME
+from marlstone.session import small_batches
 
 
 def create_tables(spark: SparkSession, folder: str, schemas: dict[str, T.StructType] | None = None, database: str = "default") -> list[str]:
@@ -81,4 +82,4 @@ def word_files(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in batches:
             yield batch[[key]].assign(content=[docx_of((t or "").split("\n")) for t in batch[text]])
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, content binary")
+    return small_batches(docs.select(key, text)).mapInPandas(run, f"{key} {kind}, content binary")

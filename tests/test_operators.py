@@ -341,3 +341,17 @@ def test_rows_are_sent_once_to_many_queries(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "nearest_in_cells", lambda asked, told, by, k: sent.append((asked.count(), told.count())) or real(asked, told, by, k))
     assert retrieval.top_k_each(rows.where("vec_id < 2000"), rows, 3).count() == 6000
     assert sent == [(4000, 9000)]  # two shares of the rows, one block of the queries
+
+
+def test_files_that_land_are_small(spark, monkeypatch):
+    from shared import DATA
+
+    from marlstone.plans import files as plans
+
+    monkeypatch.setattr(plans, "LINES", 7)
+    seen = []
+    real = files.load
+    monkeypatch.setattr(files, "load", lambda found: seen.append(found.select(F.size(F.split("content", "\n")).alias("n")).agg(F.max("n")).first()[0]) or real(found))
+    got = plans.landed_files(spark, DATA)
+    want = spark.read.parquet(f"{DATA}/documents.parquet").select("source", F.explode(F.split("text", "\n", -1)).alias("x")).groupBy("source").count()
+    assert seen == [8] and {(r["source"], r["lines"]) for r in got.collect()} == set(map(tuple, want.collect()))
