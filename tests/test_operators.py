@@ -355,3 +355,11 @@ def test_files_that_land_are_small(spark, monkeypatch):
     got = plans.landed_files(spark, DATA)
     want = spark.read.parquet(f"{DATA}/documents.parquet").select("source", F.explode(F.split("text", "\n", -1)).alias("x")).groupBy("source").count()
     assert seen == [8] and {(r["source"], r["lines"]) for r in got.collect()} == set(map(tuple, want.collect()))
+
+
+def test_files_go_to_python_in_batches_of_bytes(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(300).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("path"), F.encode(F.repeat(F.lit("x"), 100_000), "UTF-8").alias("content")).coalesce(1)
+    n = files.load(rows).where("status = 'indexed'").count()
+    sizes = rows.mapInPandas(lambda batches: (b.iloc[:1, :1].assign(n=len(b))[["n"]] for b in batches), "n long").collect()
+    assert n == 300 and max(r["n"] for r in sizes) < 60 and sum(r["n"] for r in sizes) == 300
