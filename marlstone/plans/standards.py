@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import standards
 from marlstone.plans.base import query
-from marlstone.session import table
+from marlstone.session import spread, table
 
 #: What the rule of each brand asks of the size in millimetres, by the brand's number; and what a part's text states.
 RULES_SQL = """r AS (SELECT DISTINCT p_brand AS brand, CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part),
@@ -27,7 +27,7 @@ def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     forms = F.array(F.format_string("is %d mm", size), F.format_string("is %.1f cm", size / 10), F.format_string("is %.3f m", size / 1000), F.format_string("is up to %d mm", size))
     said = F.concat(F.col("p_name"), F.lit(". Its "), "p_brand", F.lit(" size "), F.get(forms, F.col("p_partkey") % 4), F.lit("."))
-    return table(spark, sf_dir, "part").select("p_partkey", said.alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")).select("p_partkey", said.alias("text"))
 
 
 @query(

@@ -81,3 +81,11 @@ def test_long_texts_are_linear(spark):
 @pytest.mark.parametrize(("value", "unit", "kept"), [("2.5", "cm", "25.0"), ("0.025", "m", "25.000"), ("3", "‰", "0.3")])
 def test_units(value, unit, kept):
     assert standards.kept_unit(value, unit) == Decimal(kept)
+
+
+def test_parts_of_one_file_go_to_all_cores(spark):
+    from shared import DATA
+
+    from marlstone.plans import standards as plans
+
+    assert plans._statements(spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
