@@ -119,3 +119,16 @@ def test_dependencies_and_their_reach(spark, hops):
     assert sorted(map(tuple, dependencies.reached(edges, start, hops=hops, only="strong").collect())) == brute_reach(firm, changed, hops)
     assert dependencies.reached(edges.limit(0), start.limit(0)).count() == 0
     assert edges.where(F.col("source") >= F.col("target")).count() == 0
+
+
+def test_dependencies_of_changed_documents_alone(spark, monkeypatch):
+    from shared import DATA
+
+    from marlstone.plans import impact
+
+    seen = []
+    real = dependencies.edges
+    monkeypatch.setattr(dependencies, "edges", lambda paras: seen.append({r[0] for r in paras.select("doc_id").distinct().collect()}) or real(paras))
+    got = impact.change_impact(spark, DATA)
+    changed = {r["doc_id"] for r in got.where("hops = 0").collect()}
+    assert changed and seen == [changed] and {r["doc_id"] for r in got.collect()} == changed
