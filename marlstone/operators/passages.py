@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.functions.text import WHITE
+from marlstone.session import small_batches
 
 #: Characters of passages in one automaton (some 70 bytes each in a task), and automata at most: a pass over the texts each.
 PART, PASSES = 1 << 20, 16
@@ -139,6 +140,65 @@ def classes_of(paragraphs: list[str], size: int, percent: int) -> list[int]:
     return [root(c) for c in own_class]
 
 
+def pairs_of(paragraphs: list[tuple[int, str]], size: int, percent: int) -> list[tuple[int, int, int, int]]:
+    """Of one document's paragraphs (index, content) the unlike ones whose shingle sets are similar: index < index, shingles of both, shingles of either.
+
+    Equal paragraphs stand for their least index. A paragraph of which too few
+    shingles stand elsewhere meets none; the others meet under the rarest of
+    theirs, of which two sets at the threshold share one.
+    """
+    index: dict[str, int] = {}
+    for k, content in paragraphs:
+        index[content] = min(k, index.get(content, k))
+    kinds = {k: own for content, k in index.items() if (own := _shingles(content, size))}
+    rarity = Counter(s for own in kinds.values() for s in own)
+    under: dict[str, list[int]] = {}
+    out = []
+    for k in sorted(kinds):
+        own = kinds[k]
+        n = len(own)
+        least = -(-n * percent // 100)
+        shared = [s for s in own if rarity[s] > 1]
+        if len(shared) < least:
+            continue
+        # those that stand once come first in the order of all, and take their places in the prefix
+        shared.sort(key=lambda s: (rarity[s], s))
+        prefix = shared[: len(shared) - least + 1]
+        for other in {o for s in prefix for o in under.get(s, ())}:
+            m = len(kinds[other])
+            if 100 * min(n, m) >= percent * max(n, m):
+                both = len(own & kinds[other])
+                if 100 * both >= percent * (n + m - both):
+                    out.append((other, k, both, n + m - both))
+        for s in prefix:
+            under.setdefault(s, []).append(k)
+    return out
+
+
+def near_pairs(paras: DataFrame, key: str, size: int, percent: int) -> DataFrame:
+    """pairs_of() each document: key, i, j, both, all. paras: key, paragraph_index, content; null keys and contents meet nothing. A document's paragraphs are held in one row."""
+    known = paras.where(F.col(key).isNotNull() & F.col("content").isNotNull())
+    gathered = known.groupBy(key).agg(F.collect_list(F.struct(F.col("paragraph_index").alias("k"), "content")).alias("own")).where(F.size("own") > 1)
+    place = paras.schema["paragraph_index"].dataType
+    shape = paras.select(key).schema.add("i", place).add("j", place).add("both", T.LongType()).add("all", T.LongType())
+
+    def run(batches):
+        for batch in batches:
+            own = batch.column(1)
+            index, contents = own.flatten().field(0).to_pylist(), own.flatten().field(1).to_pylist()
+            at, found, start = [], [], 0
+            for row, n in enumerate(own.value_lengths().to_pylist()):
+                pairs = pairs_of(list(zip(index[start : start + n], contents[start : start + n], strict=True)), size, percent)
+                start += n
+                at += [row] * len(pairs)
+                found += pairs
+            if found:
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (own.type.value_type[0].type,) * 2 + (pa.int64(),) * 2, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, "i", "j", "both", "all"])
+
+    return small_batches(gathered).mapInArrow(run, shape)
+
+
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Every paragraph (non-blank line) of every document with the class of its likes: key, paragraph_index (from 0), class_id (the least index of it), class_size.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import first_of, fixed, paragraphs, replace_first
 from marlstone.operators.passages import PASSES, parts_of
 from marlstone.operators.passages import contained as by_automata
-from marlstone.session import stored
+from marlstone.operators.passages import near_pairs as by_shingles
 
 #: Order of the detectors, which numbers the changes.
 PHASES = ("typo", "fluency", "duplicate", "compliance")
@@ -94,24 +94,9 @@ def near_pairs(paras: DataFrame, key: str = "doc_id", size: int = 5, percent: in
     """Pairs of unlike paragraphs of one document whose shingle sets are similar: paragraph_index_1 < paragraph_index_2, similarity.
 
     A paragraph stands for its equals (the least index); exact_classes has those.
-    Two sets at the threshold share one of their first shingles, in any one
-    order, so only these prefixes are joined, within the document. The sets are
-    made once, of documents with two unlike paragraphs or more, and written down.
+    A document's paragraphs travel once, to one row, and are compared there.
     """
-    distinct = paras.groupBy(key, "content").agg(F.min("paragraph_index").alias("i"))
-    several = distinct.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(key)
-    distinct = distinct.join(several, key, "left_semi")
-    sets = distinct.select(key, "i", F.sort_array(F.transform(shingles(F.col("content"), size), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
-    sets = stored(sets)
-    keep = F.size("s") - F.ceil(F.size("s") * percent / 100).cast("int") + 1
-    prefixes = sets.select(key, "i", F.size("s").alias("n"), F.explode(F.slice("s", 1, keep)).alias("h"))
-    a, b = prefixes.alias("a"), prefixes.alias("b")
-    like = (F.col("a.n") * percent <= F.col("b.n") * 100) & (F.col("b.n") * percent <= F.col("a.n") * 100)
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.i") < F.col("b.i")) & like).select(F.col(f"a.{key}").alias(key), F.col("a.i").alias("i"), F.col("b.i").alias("j")).distinct()
-    first, second = sets.select(key, "i", F.col("s").alias("s1")), sets.select(key, F.col("i").alias("j"), F.col("s").alias("s2"))
-    met = pairs.join(first, [key, "i"]).join(second, [key, "j"])
-    both = F.size(F.array_intersect("s1", "s2"))
-    met = met.withColumn("both", both).withColumn("all", F.size("s1") + F.size("s2") - F.col("both")).where(F.col("both") * 100 >= F.col("all") * percent)
+    met = by_shingles(paras, key, size, percent)
     return met.select(key, F.col("i").alias("paragraph_index_1"), F.col("j").alias("paragraph_index_2"), F.round(F.col("both") / F.col("all"), 6).alias("similarity"))
 
 

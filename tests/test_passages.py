@@ -128,3 +128,22 @@ def test_final_report_takes_all_known_misspellings(spark):
         want = {k: v and v.replace(old, new, 1) for k, v in want.items()}
     assert {r["doc_id"]: r["revised_content"] for r in report.collect()} == want
     assert review.final_report(docs, changes, {}).where(F.col("revised_content") == "fine").count() == 1
+
+
+def test_near_paragraphs_travel_once(spark):
+    from marlstone.operators import review
+
+    rng = random.Random(11)
+    rows = [(d, k, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))) for d in (1, 2, None) for k in range(60)] + [(3, 0, "lone a b c d e"), (2, 99, None)]
+    paras = spark.createDataFrame(rows, "doc_id long, paragraph_index int, content string")
+    found = review.near_pairs(paras, size=2, percent=60)
+    want = set()
+    for d in (1, 2):
+        first = {}
+        for e, k, t in rows:
+            if e == d and t is not None:
+                first[t] = min(k, first.get(t, k))
+        sets = {k: {tuple(t.split()[x : x + 2]) for x in range(max(1, len(t.split()) - 1))} for t, k in first.items() if t.split()}
+        want |= {(d, i, j, round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6)) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 100
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
