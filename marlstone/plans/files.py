@@ -10,7 +10,7 @@ from marlstone.functions import views
 from marlstone.plans import usage
 from marlstone.plans.base import query
 from marlstone.plans.texts import BLANKS
-from marlstone.session import shared_path, small_batches, table
+from marlstone.session import shared_path, table
 from marlstone.sources import files, sinks
 from marlstone.streaming import usage as streams
 
@@ -52,16 +52,14 @@ def review_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT doc_id, l, unnest(range(0, greatest(1, CAST(ceil(len(l) / 20) AS BIGINT)))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
 )
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as PDF files of twenty lines a page, read page by page."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """Documents as PDF files of twenty lines a page, read page by page; a file is drawn where it is read, one at a time."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.col("text").alias("content"))
 
-    def drawn(batches):
-        for batch in batches:
-            pages = [[lines[k : k + 20] for k in range(0, len(lines), 20)] for lines in ((t or "").split("\n") for t in batch["text"])]
-            yield batch[["doc_id"]].assign(content=[files.pdf_of(["\n".join(p) for p in own]) for own in pages])
+    def drawn(text):
+        lines = text.split("\n")
+        return files.pdf_pages(files.pdf_of(["\n".join(lines[k : k + 20]) for k in range(0, len(lines), 20)]))
 
-    made = small_batches(docs).mapInPandas(drawn, "doc_id bigint, content binary").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "content")
-    return files.load(made).select(F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("doc_id"), "page", "content")
+    return files.load(docs, {"pdf": drawn}).select(F.regexp_extract("path", r"^(\d+)", 1).cast("bigint").alias("doc_id"), "page", "content")
 
 
 @query("SELECT doc_id, text || chr(10) AS content FROM documents")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,6 +81,7 @@ def word_files(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch[[key]].assign(content=[docx_of((t or "").split("\n")) for t in batch[text]])
+            made = pa.array((docx_of((t.as_py() or "").split("\n")) for t in batch[1]), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch[0], made], [key, "content"])
 
-    return small_batches(docs.select(key, text)).mapInPandas(run, f"{key} {kind}, content binary")
+    return small_batches(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, content binary")

@@ -363,3 +363,28 @@ def test_files_go_to_python_in_batches_of_bytes(spark):
     n = files.load(rows).where("status = 'indexed'").count()
     sizes = rows.mapInPandas(lambda batches: (b.iloc[:1, :1].assign(n=len(b))[["n"]] for b in batches), "n long").collect()
     assert n == 300 and max(r["n"] for r in sizes) < 60 and sum(r["n"] for r in sizes) == 300
+
+
+def test_pdf_pages_take_one_python_step_and_equal_the_sql(spark, duck, tmp_path):
+    from marlstone.plans import files as plans
+    from marlstone.plans.base import ORACLES
+
+    texts = [None, "", "one", "\n", *("\n".join(f"line ({k})" for k in range(n)) for n in (19, 20, 21, 40, 41))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.pdf_pages(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapIn") == 1  # each step has a Python process a core
+    sql = ORACLES["pdf_pages"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(duck.execute(sql).fetchall())
+
+
+def test_units_go_back_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([("/a/x.txt", b"")], "path string, content binary")
+    seen = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, shape: seen.append(run))
+    files.load(rows, {"txt": lambda c: ["y" * 1000] * c[0]})
+    batch = pa.record_batch([["/a/x.txt", "/a/y.xyz", None], ["x.txt", "y.xyz", None], ["txt", "xyz", None], pa.array([b"\xff", b"", None]), pa.nulls(3, pa.string())], ["path", "filename", "file_type", "content", "upload_time"])
+    back = list(seen[0](iter([batch] * 40)))
+    assert max(b.num_rows for b in back) < 1100 and sum(b.num_rows for b in back) == 40 * 257
+    assert list(seen[0](iter([]))) == []
